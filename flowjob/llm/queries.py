@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from flowjob.llm.tables import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import quality
+
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowjob.llm import decontaminate
 
@@ -15,6 +21,6 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= 2).alias("contaminated"), "longest_match")
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
