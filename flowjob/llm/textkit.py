@@ -137,6 +137,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (without the break) of the lines that \\n separates, and their texts' numbers; an empty text is one empty line."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    text = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
+    order = np.lexsort((starts, text))
+    starts, text = starts[order], text[order]
+    ends = offsets[1:][text]
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    ends[inner] = starts[inner + 1] - 1
+    return starts, ends, text
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """Running count of code points before each byte, with one more entry at the end."""
     out = np.zeros(len(data) + 1, np.int64)
