@@ -21,6 +21,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= 2).alias("contaminated"), "longest_match")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import nearmin
+
+    return nearmin.label(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowjob.llm import linechunks
 
@@ -28,6 +34,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.dedup(docs, report="r").select("doc_id", "r.*", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op5_minhash_near_dedup, op8_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
