@@ -212,10 +212,11 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return docs.mapInArrow(run, schema)
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_items: int = 2) -> DataFrame:
-    """The documents, all columns kept, without those that hold windows of `min_items` or more benchmark items.
+def remove(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = WINDOW) -> DataFrame:
+    """The documents, all columns kept, without those with a verbatim match of `min_words` words or more.
 
-    The verdict is computed beside each row, so neither null nor repeated ids matter.
+    Items of fewer words than that remove nothing.  The verdict is computed beside
+    each row, so neither null nor repeated ids matter.
     """
     sc = documents.sparkSession.sparkContext
     held = [sc.broadcast(b) for b in blocks_of(benchmark, "item_id", "text", window)]
@@ -225,7 +226,7 @@ def remove(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
         for batch in batches:
             texts = batch.column(at)
             for a, b in K.slices(texts, SHARD_BYTES):
-                n = _shard(pa.nulls(b - a), texts[a:b], (x.value for x in held), False)["n_items"]
-                yield batch.slice(a, b - a).filter(pa.compute.less(n, min_items))
+                n = _shard(pa.nulls(b - a), texts[a:b], (x.value for x in held), False)["longest_match"]
+                yield batch.slice(a, b - a).filter(pa.compute.less(n, min_words))
 
     return documents.mapInArrow(run, documents.schema)

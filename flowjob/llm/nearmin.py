@@ -265,3 +265,16 @@ def label(documents: DataFrame, **options) -> DataFrame:
     rows, found = classes(documents, **options)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(found, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def keep(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, all columns kept: that with the least id, of its texts the one with the least hash, of equal rows any.
+
+    Texts without words are all kept.
+    """
+    rows, found = classes(documents, id_col=id_col, text_col=text_col, **options)
+    best = found.select("rep.doc_id", "rep.tkey").distinct()
+    tkey, word = free_name(documents, "text_key"), free_name(documents, "has_words")
+    docs = documents.withColumn(tkey, F.xxhash64(F.col(text_col).cast("string"))).withColumn(word, F.coalesce(F.col(text_col).cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    chosen = docs.where(word).join(best, (docs[tkey] == best["tkey"]) & docs[id_col].eqNullSafe(best["doc_id"]), "left_semi").dropDuplicates([id_col, tkey])
+    return chosen.select(*documents.columns).unionByName(docs.where(~F.col(word)).select(*documents.columns))

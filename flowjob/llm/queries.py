@@ -34,6 +34,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.dedup(docs, report="r").select("doc_id", "r.*", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op5_minhash_near_dedup, op8_line_dedup)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op5_minhash_near_dedup, op8_line_dedup, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
