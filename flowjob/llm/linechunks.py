@@ -157,7 +157,7 @@ def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     key, gone = free_name(documents, "chunk_key"), free_name(documents, "chunks_gone")
     drop = repeated(documents, id_col=id_col, text_col=text_col).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("no")).alias(gone))
     docs = documents.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    joined = docs.join(drop, (docs[key] == drop["key"]) & docs[id_col].eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in documents.columns), drop[gone])
+    joined = docs.join(drop.hint("merge"), (docs[key] == drop["key"]) & docs[id_col].eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in documents.columns), drop[gone])
     at = documents.columns.index(text_col)
     counts = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
     extra = [T.StructField(report, T.StructType([T.StructField(n, T.LongType()) for n in counts]))] if report else []
