@@ -33,7 +33,7 @@ from flowjob.llm import textkit as K
 WINDOW = 8
 #: Characters of benchmark text in one block; a block has fewer than 2**21 different words.
 BLOCK_CHARS = 1 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _BITS, _PER_KEY = 21, 3
 
 MATCH = "array<struct<item_id:string,item_pos:bigint,doc_pos:bigint,n_words:bigint>>"

@@ -21,7 +21,7 @@ NON_ALNUM = np.zeros(256, bool)
 NON_ALNUM[:128] = True
 NON_ALNUM[48:58] = NON_ALNUM[65:91] = NON_ALNUM[97:123] = False
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _TABLE.copy()
