@@ -21,6 +21,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= 2).alias("contaminated"), "longest_match")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import toxicity
+
+    def fold():
+        return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold() != 1)
+    found = toxicity.score(docs, toxicity.train(docs, labels), "score")
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowjob.llm import nearmin
 
@@ -40,6 +52,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op5_minhash_near_dedup, op8_line_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op5_minhash_near_dedup, op8_line_dedup, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
