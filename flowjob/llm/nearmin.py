@@ -4,15 +4,17 @@ Texts with equal shingle sets form a class; one text stands for it.  A class has
 a signature: one minhash for each tree's root, and a sketch of `SKETCH` further
 minhashes of one byte.  In each of `trees` independent trees a class goes to the
 node that the root's minhash names.  Nodes of at most `limit` classes are compared
-exhaustively on the sketch.  Larger ones branch: each class goes on to two
+exhaustively on the sketch; in larger ones all classes are compared with one pivot
+first.  Candidates are confirmed on the full sets, recomputed from the texts, and
+confirmed links give components.  Large nodes whose classes are in one component
+by then are done, so a large group of copies is never paired within itself.  The
+others branch, as long as they have over `split` classes: each class goes on to two
 children, chosen by tokens (coordinates of the sketch) that the node's path
-selects; before that, all classes of a large node are compared with one pivot of
-it.  A pair of similarity 0.8 shares a root node with probability 0.8 in each tree,
-so with 12 trees all but 4 in 10**9 such pairs meet (``trees_for``).
-
-Candidates are confirmed on the full sets, recomputed from the texts.  Confirmed
-links give components; nodes of later levels whose classes are in one component
-already are dropped, so a large group of copies is never paired within itself.
+selects.  What is left is compared exhaustively, in pairs of blocks that no task
+exceeds: the classes outside the node's largest component with all others, on the
+full sets, until they are linked.  A pair of similarity 0.8 shares a root node with
+probability 0.8 in each tree, so with 12 trees all but 4 in 10**9 such pairs meet
+(``trees_for``).
 
 Defined results: a text without words (also null or empty) has no shingles, is
 linked with nothing and is its own component; rows with equal texts, or with equal
@@ -38,7 +40,7 @@ from flowjob.llm.components import components
 from flowjob.llm.tables import free_name, written
 
 SHINGLE, PERCENT = 2, 80
-TREES, SKETCH, LIMIT, DEPTH = 12, 64, 32, 5
+TREES, SKETCH, LIMIT, SPLIT, DEPTH, BLOCK = 12, 64, 32, 8192, 5, 512
 #: A pair of similarity 0.8 agrees on 51 of 64 sketch bytes, with a deviation of 3.2.
 AGREE = 36
 _rng = np.random.default_rng(7)
@@ -117,43 +119,105 @@ def _pairs(first: list, second: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(first, second, strict=True)], pa.binary()), pa.array([max(x) for x in zip(first, second, strict=True)], pa.binary())], ["a", "b"])
 
 
-def _compare_nodes(rows: DataFrame, percent: int, limit: int) -> DataFrame:
-    """rows: node, cls, n, sketch, label.  Candidate pairs of different labels within each node.
-
-    A node beyond the limit (only at the last level) is compared in consecutive
-    blocks and against its first block, so that no task holds a node.
-    """
-
-    def block(rest: list, heads: list) -> tuple[list, list]:
-        all_rows = heads + rest
-        sk = np.frombuffer(b"".join(r[2] for r in all_rows), np.uint8).reshape(len(all_rows), SKETCH)
-        n = np.array([r[1] for r in all_rows])
-        mine = slice(len(heads), None) if heads else slice(0, None)
-        agree = (sk[:, None, :] == sk[None, mine, :]).sum(2) >= AGREE
-        agree &= _fit(n[:, None], n[None, mine], percent)
-        i, j = np.nonzero(agree)
-        j += len(heads)
-        keep = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x < y and all_rows[x][0] != all_rows[y][0] and all_rows[x][3] != all_rows[y][3]]
-        return [all_rows[x][0] for x, _ in keep], [all_rows[y][0] for _, y in keep]
+def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: node, cls, n, sketch of small nodes.  Candidate pairs within each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held, heads = None, [], []
+        def compared(held: list) -> tuple[list, list]:
+            sk = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), SKETCH)
+            n = np.array([r[1] for r in held])
+            i, j = np.nonzero(((sk[:, None, :] == sk[None, :, :]).sum(2) >= AGREE) & _fit(n[:, None], n[None, :], percent))
+            keep = i < j
+            return [held[x][0] for x in i[keep].tolist()], [held[x][0] for x in j[keep].tolist()]
+
+        node, held = None, []
         for batch in batches:
             out: tuple[list, list] = [], []
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != node or len(held) == limit:
-                    if len(held) + len(heads) > 1:
-                        got = block(held, heads)
-                        out[0].extend(got[0])
-                        out[1].extend(got[1])
-                    heads = [] if key != node else heads or held
+                if key != node:
+                    if len(held) > 1:
+                        for o, got in zip(out, compared(held), strict=True):
+                            o.extend(got)
                     node, held = key, []
                 held.append(row)
             yield _pairs(*out)
-        if len(held) + len(heads) > 1:
-            yield _pairs(*block(held, heads))
+        if len(held) > 1:
+            yield _pairs(*compared(held))
+
+    return rows.select("node", "cls", "n", "sketch").repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, _PAIRS)
+
+
+def _compare_blocks(rows: DataFrame, texts: DataFrame, size: int, percent: int, block: int, once: bool) -> DataFrame:
+    """Links between different labels within each node of rows (node, tree, roots, cls, n, sketch, label).
 
-    return rows.select("node", "cls", "n", "sketch", "label").repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, _PAIRS)
+    A node's largest label is dealt to some blocks, the rest to others; each block
+    of the rest meets every block, so no task has more than two blocks.  once: a
+    pair that shares the root of an earlier tree is left to that tree.
+    """
+    counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
+    blocks = lambda c: F.greatest(F.ceil(c / F.lit(block)), F.lit(1)).cast("int")
+    r = rows.join(sizes, "node").withColumn("main", F.col("label") == F.col("top.label"))
+    r = r.withColumn("nm", blocks(F.col("top.c"))).withColumn("nr", blocks(F.col("m") - F.col("top.c")))
+    own = F.pmod(F.xxhash64("cls", "node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
+    # the rest's block k meets main block b under key (-1 - b, k), and rest block l >= k under key (k, l)
+    rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda b: F.struct((-1 - b).alias("i"), F.col("own").alias("j"))), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
+    main = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct((-1 - F.col("own")).alias("i"), k.alias("j")))
+    dealt = r.withColumn("own", own).select("node", "tree", "roots", "cls", "n", "sketch", "label", F.explode(F.when(F.col("main"), main).otherwise(rest)).alias("k"))
+    full = dealt.join(texts, "cls").select("node", "k.i", "k.j", "cls", "n", "sketch", "label", "tree", "roots", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cls, label, n = t["cls"].to_pylist(), t["label"].to_pylist(), np.asarray(t["n"])
+            sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(cls), SKETCH)
+            roots = np.array(t["roots"].to_pylist())[:, : t["tree"][0].as_py()] if once else None
+            column, sets, parent = t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"], {}, {}
+
+            def find(x):
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            def shingles(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = next(iter(shingle_sets(column.slice(i, 1), size)))
+                return sets[i]
+
+            names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+            number = np.array([names[x] for x in label])
+            out: tuple[list, list] = [], []
+            for i in range(len(cls)):
+                agree = (sk[i + 1 :] == sk[i]).sum(1)
+                ok = (agree >= AGREE) & _fit(n[i + 1 :], n[i], percent) & (number[i + 1 :] != number[i])
+                if once:
+                    ok &= ~(roots[i + 1 :] == roots[i]).any(1)
+                at = np.flatnonzero(ok)
+                for j in (at[np.argsort(-agree[at], kind="stable")] + i + 1).tolist():
+                    a, b = find(number[i]), find(number[j])
+                    if a == b:
+                        continue
+                    same = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
+                    if 100 * same >= percent * (n[i] + n[j] - same):
+                        parent[a] = b
+                        out[0].append(cls[i])
+                        out[1].append(cls[j])
+            return _pairs(*out)
+
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            key = np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(3)])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), x.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and any(held[0].column(k)[0] != x.column(k)[a] for k in range(3)):
+                        yield linked(held)
+                        held = []
+                    held.append(x.slice(a, b - a))
+        if held:
+            yield linked(held)
+
+    return full.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(run, _PAIRS)
 
 
 def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
@@ -172,12 +236,13 @@ def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
 
 def _children(rows: DataFrame) -> DataFrame:
     """Each row in two children of its node, by two coordinates that the node's path selects."""
+    rows = rows.select("node", "sketch", "tree", "roots", "cls", "n", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
-            node, sk = np.asarray(x.column(0)).view(np.uint64), _matrix(x.column(3))
+            node, sk = np.asarray(x.column(0)).view(np.uint64), _matrix(x.column(1))
             pick = K.mix(node)
             i = (pick % np.uint64(SKETCH)).astype(np.int64)
             j = (i + 1 + (pick >> np.uint64(32)).astype(np.int64) % (SKETCH - 1)) % SKETCH
@@ -185,7 +250,7 @@ def _children(rows: DataFrame) -> DataFrame:
                 child = K.pair(K.pair(node, k.astype(np.uint64)), sk[np.arange(len(k)), k].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *x.columns[1:]], x.schema.names)
 
-    return rows.select("node", "cls", "n", "sketch", "label").mapInArrow(run, rows.select("node", "cls", "n", "sketch", "label").schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -212,7 +277,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, _PAIRS)
 
 
-def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT, split: int = SPLIT, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): doc_id, tkey, n, cls for each document, and cls, component_id, rep for each class.
 
     tkey is the text's xxhash64; rep (doc_id, tkey) is the document that stands for the class's component.
@@ -222,38 +287,37 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     known = written(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")), "classes")
 
     def sized(rows: DataFrame) -> DataFrame:
+        """The rows of nodes with more than one label, with their nodes' sizes."""
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("m > 1 and l1 <> l2").select("node", "m")
-        return written(rows.join(sizes, "node").select("node", "cls", "n", "sketch", "label", "m"), "nodes")
-
-    texts: list[DataFrame] = []
+        return written(rows.join(sizes, "node").select("node", "tree", "roots", "cls", "n", "sketch", "label", "m"), "nodes")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(known, "cls").select("cls", F.col("rep.doc_id").alias("i"), F.col("rep.tkey").alias("k"))
-        got = written(docs.join(wanted, (docs["tkey"] == wanted["k"]) & docs["doc_id"].eqNullSafe(wanted["i"])).select("cls", "text"), "texts")
-        texts.append(got)
-        return written(_confirm(pairs, got.dropDuplicates(["cls"]), shingle, percent), "links")
+    def wanted(names: DataFrame) -> DataFrame:
+        """cls, text for the classes named."""
+        reps = names.distinct().join(known, "cls").select("cls", F.col("rep.doc_id").alias("i"), F.col("rep.tkey").alias("k"))
+        got = docs.join(reps, (docs["tkey"] == reps["k"]) & docs["doc_id"].eqNullSafe(reps["i"])).select("cls", "text")
+        return written(got.dropDuplicates(["cls"]), "texts")
 
-    rows = sized(known.select(F.explode("roots").alias("node"), "cls", "n", "sketch", F.col("cls").alias("label")))
+    rows = sized(known.select("cls", "n", "sketch", F.col("cls").alias("label"), "roots", F.posexplode("roots").alias("tree", "node")).withColumn("tree", F.col("tree").cast("int")))
     large = rows.where(F.col("m") > limit)
-    links = confirm(_compare_nodes(rows.where(F.col("m") <= limit), percent, limit).unionByName(_compare_pivots(large, percent)))
+    pairs = written(_compare_nodes(rows.where(F.col("m") <= limit), percent).unionByName(_compare_pivots(large, percent)).distinct(), "candidates")
+    links = written(_confirm(pairs, wanted(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), shingle, percent), "links")
     joined = components(links)
     if not large.isEmpty():
-        rows = large.join(joined, large["cls"] == joined["node"], "left").select(large["node"], "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
+        rows = large.join(joined, large["cls"] == joined["node"], "left").select(large["node"], "tree", "roots", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
         rows = sized(rows)
-        more = None
-        for level in range(1, depth + 1):
-            if rows.isEmpty():
+        done, once = None, True
+        for _ in range(depth):
+            over = rows.where(F.col("m") > split)
+            if over.isEmpty():
                 break
-            rows = sized(_children(rows))
-            last = level == depth
-            got = _compare_nodes(rows if last else rows.where(F.col("m") <= limit), percent, limit)
-            if not last:
-                rows = rows.where(F.col("m") > limit)
-                got = got.unionByName(_compare_pivots(rows, percent))
-            more = got if more is None else more.unionByName(got)
-        if more is not None:
-            joined = components(links.unionByName(confirm(more)))
+            once = False
+            part = rows.where(F.col("m") <= split)
+            done = part if done is None else done.unionByName(part)
+            rows = sized(_children(over))
+        rows = rows if done is None else done.unionByName(rows)
+        if not rows.isEmpty():
+            links = links.unionByName(_compare_blocks(rows.drop("m"), wanted(rows.select("cls")), shingle, percent, block, once))
+            joined = components(links)
     full = known.join(joined, known["cls"] == joined["node"], "left").select("cls", "least", "rep", F.coalesce("root", "cls").alias("root"))
     best = full.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("rep.doc_id").isNotNull(), F.col("rep"))).alias("r1"), F.min("rep").alias("r2"))
     least = best.select("root", "component_id", F.coalesce("r1", "r2").alias("rep"))
