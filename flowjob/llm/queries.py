@@ -39,6 +39,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearmin.label(table(spark, sf_dir, "documents"))
 
 
+def op7_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import pii
+
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowjob.llm import linechunks
 
@@ -52,6 +64,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op5_minhash_near_dedup, op8_line_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op5_minhash_near_dedup, op7_url_language_model, op8_line_dedup, op9_personal_data, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
