@@ -39,6 +39,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearmin.label(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowjob.llm import urls
 
@@ -64,6 +70,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op5_minhash_near_dedup, op7_url_language_model, op8_line_dedup, op9_personal_data, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_url_language_model, op8_line_dedup, op9_personal_data, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
