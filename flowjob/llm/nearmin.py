@@ -40,7 +40,9 @@ from flowjob.llm.components import components
 from flowjob.llm.tables import free_name, written
 
 SHINGLE, PERCENT = 2, 80
-TREES, SKETCH, LIMIT, SPLIT, DEPTH, BLOCK = 12, 64, 32, 8192, 5, 512
+TREES, SKETCH, LIMIT, SPLIT, DEPTH, BLOCK = 12, 64, 32, 8192, 5, 2048
+#: Shingles of all classes in a block, at most, unless it has fewer than 64 classes.
+BLOCK_SHINGLES = 8_000_000
 #: A pair of similarity 0.8 agrees on 51 of 64 sketch bytes, with a deviation of 3.2.
 AGREE = 36
 _rng = np.random.default_rng(7)
@@ -154,9 +156,10 @@ def _compare_blocks(rows: DataFrame, texts: DataFrame, size: int, percent: int,
     of the rest meets every block, so no task has more than two blocks.  once: a
     pair that shares the root of an earlier tree is left to that tree.
     """
-    counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
-    blocks = lambda c: F.greatest(F.ceil(c / F.lit(block)), F.lit(1)).cast("int")
+    counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    sizes = counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("n").alias("longest"))
+    most = F.greatest(F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))), F.lit(min(64, block)))
+    blocks = lambda c: F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
     r = rows.join(sizes, "node").withColumn("main", F.col("label") == F.col("top.label"))
     r = r.withColumn("nm", blocks(F.col("top.c"))).withColumn("nr", blocks(F.col("m") - F.col("top.c")))
     own = F.pmod(F.xxhash64("cls", "node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
