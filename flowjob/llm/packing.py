@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from flowjob.llm import textkit as K
 
 CAPACITY = 2048
-SHARD_ROWS = 20_000
+SHARD_ROWS = 8_192
 
 
 class Shelf:
