@@ -33,6 +33,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowjob.llm import lm
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, lm.train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowjob.llm import nearmin
 
@@ -70,6 +79,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_url_language_model, op8_line_dedup, op9_personal_data, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_toxicity, op4_lm_scoring, op5_minhash_near_dedup, op6_html_extraction, op7_url_language_model, op8_line_dedup, op9_personal_data, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -36,3 +36,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def shared_file(spark: SparkSession, path: str) -> str:
+    """Copies a file of the driver to the shared folder; gives its place there."""
+    out = f"{shared_dir(spark).rstrip('/')}/{os.path.basename(path)}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), where)
+    return files.makeQualified(where).toString()
