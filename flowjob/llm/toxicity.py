@@ -84,8 +84,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, alpha:
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets with a weight, and their weights; the last bucket is the bias.
 
-    Only the sample's texts are hashed to features; one task then learns from
-    them, and only weights come to the driver.
+    Only the sample's texts are hashed to features, by all tasks; one task then
+    learns from them, and only weights come to the driver.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     sample = known.withColumn("h", F.xxhash64("i", "y")).orderBy("h", "i").limit(max_rows)
@@ -108,7 +108,7 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["bucket", "weight"])
 
-    one = held.mapInArrow(hashed, schema).coalesce(1).sortWithinPartitions("h", "i", "f")
+    one = held.mapInArrow(hashed, schema).repartition(1).sortWithinPartitions("h", "i", "f")  # texts are read and hashed where they lie; only features move
     got = one.mapInArrow(learn, "bucket bigint, weight double").toArrow()
     return got.column(0).to_numpy(), got.column(1).to_numpy()
 
