@@ -7,7 +7,8 @@ before it; from `THRESHOLD` on it is reported, unless it overlaps a base span.
 
 The patterns are those of the contract, guarded so that each run of characters is
 tried once, however long it is: a match can only begin where a run begins or where
-the match before ended (``\\G``).  Positions come from the lengths of matches and of
+the match before ended (``\\G``), and repetitions that nothing follows are possessive,
+so that no run, however long, deepens the stack.  Positions come from the lengths of matches and of
 the pieces between them, in code points.
 
 Defined results: a null text is an empty one and has no spans; each row is judged
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 CONTEXT, THRESHOLD = 40, 0.75
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
-EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 #: Maximal runs of digits with single separators, of 13 to 19 digits; longer and shorter runs are no cards.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
