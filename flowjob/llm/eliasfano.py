@@ -2,8 +2,8 @@
 
 Upper bits stand in unary in a bit vector (a one for each element, a zero for each
 next value of the upper part), lower bits packed.  A directory of zeros before each
-word of 64 bits answers where an upper value's elements begin; the search for an
-element then compares lower bits in that bucket alone.  All arrays may be mapped
+word of 64 bits answers where an upper value's elements begin; a binary search over
+the lower bits of that bucket alone finds an element or its successor.  All arrays may be mapped
 from a file; queries are vectorised.
 """
 
@@ -91,15 +91,18 @@ class EliasFano:
         values = np.asarray(values, np.int64)
         upper = values >> self.low_bits
         low = (values & ((1 << self.low_bits) - 1)).astype(_U)
-        at, end = self.below(upper), self.below(upper + 1)
+        at, stop = self.below(upper), self.below(upper + 1)
+        end = stop.copy()
         open_ = np.flatnonzero(at < end)
+        while len(open_):  # halve each bucket's range: a context with many successors fills one
+            middle = (at[open_] + end[open_]) >> 1
+            less = unpack_bits(self.low, self.low_bits, middle) < low[open_]
+            at[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+            open_ = open_[at[open_] < end[open_]]
         hit = np.zeros(len(values), bool)
-        while len(open_):
-            here = unpack_bits(self.low, self.low_bits, at[open_])
-            hit[open_[here == low[open_]]] = True
-            less = open_[here < low[open_]]
-            at[less] += 1
-            open_ = less[at[less] < end[less]]
+        some = np.flatnonzero(at < stop)
+        hit[some] = unpack_bits(self.low, self.low_bits, at[some]) == low[some]
         return np.where(hit, at, -1 - at)
 
     def get(self, i: np.ndarray) -> np.ndarray:
