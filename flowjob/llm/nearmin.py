@@ -1,9 +1,10 @@
 """Near-duplicate documents by a chosen-path set similarity join over minhashes.
 
 Texts with equal shingle sets form a class; one text stands for it.  A class has
-a signature: one minhash for each tree's root, and a sketch of `SKETCH` further
-minhashes of one byte.  In each of `trees` independent trees a class goes to the
-node that the root's minhash names.  Nodes of at most `limit` classes are compared
+`SKETCH` minhashes, of which it keeps one byte each as its sketch.  In each of
+`trees` independent trees a class goes to the node that two minhashes of its own
+name (the first `PATH` tokens of a path, chosen at once, as a corpus of any size
+needs them).  Nodes of at most `limit` classes are compared
 exhaustively on the sketch; in larger ones all classes are compared with one pivot
 first.  Candidates are confirmed on the full sets, recomputed from the texts, and
 confirmed links give components.  Large nodes whose classes are in one component
@@ -11,9 +12,10 @@ by then are done, so a large group of copies is never paired within itself.  The
 others branch, as long as they have over `split` classes: each class goes on to two
 children, chosen by tokens (coordinates of the sketch) that the node's path
 selects.  What is left is compared exhaustively, in pairs of blocks that no task
-exceeds: the classes outside the node's largest component with all others, on the
-full sets, until they are linked.  A pair of similarity 0.8 shares a root node with
-probability 0.8 in each tree, so with 12 trees all but 4 in 10**9 such pairs meet
+exceeds: the classes outside the node's largest component with all others, first on
+the sketches, which leaves the classes with any candidate, and those on the full
+sets, until they are linked.  A pair of similarity 0.8 shares a root node with
+probability 0.64 in each tree, so with 21 trees all but 5 in 10**10 such pairs meet
 (``trees_for``).
 
 Defined results: a text without words (also null or empty) has no shingles, is
@@ -40,7 +42,7 @@ from flowjob.llm.components import components
 from flowjob.llm.tables import free_name, written
 
 SHINGLE, PERCENT = 2, 80
-TREES, SKETCH, LIMIT, SPLIT, DEPTH, BLOCK = 12, 64, 32, 8192, 5, 2048
+PATH, TREES, SKETCH, LIMIT, SPLIT, DEPTH, BLOCK = 2, 21, 64, 32, 8192, 5, 2048
 #: Shingles of all classes in a block, at most, unless it has fewer than 64 classes.
 BLOCK_SHINGLES = 8_000_000
 #: A pair of similarity 0.8 agrees on 51 of 64 sketch bytes, with a deviation of 3.2.
@@ -52,7 +54,7 @@ _XOR = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 
 def trees_for(recall: float, similarity: float = 0.8) -> int:
     """Trees that find a pair of this similarity with the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity))
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**PATH))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -80,6 +82,8 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 def _signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
     """docs: doc_id, tkey, text.  doc_id, tkey, n, cls, roots, sketch; the last three null without shingles."""
     schema = T.StructType([docs.schema["doc_id"], docs.schema["tkey"], T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("roots", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    if trees * PATH > SKETCH:
+        raise ValueError(f"at most {SKETCH // PATH} trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,15 +93,18 @@ def _signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
                 some = np.flatnonzero(n)
                 at = np.cumsum(n[some]) - n[some]
                 values = np.concatenate([sets[i] for i in some]) if len(some) else np.zeros(0, np.uint64)
-                least = np.zeros((len(some), trees + SKETCH), np.uint64)
+                least = np.zeros((len(some), SKETCH), np.uint64)
                 if len(some):
-                    for k in range(trees + SKETCH):
+                    for k in range(SKETCH):
                         least[:, k] = np.minimum.reduceat((values ^ _XOR[k]) * _MULTIPLY[k], at)
                     one = np.add.reduceat(K.mix(values), at)
                     two = np.bitwise_xor.reduceat(K.mix(values + np.uint64(0x5851F42D4C957F2D)), at)
                     name = np.stack([K.mix(one + n[some].astype(np.uint64)), two], 1).astype(">u8")
-                    roots = K.mix(least[:, :trees] + np.arange(trees, dtype=np.uint64)).view(np.int64).reshape(len(some), trees)
-                    sketch = (K.mix(least[:, trees:]) & np.uint64(255)).astype(np.uint8)
+                    paths = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(some), trees))
+                    for k in range(PATH):
+                        paths = K.pair(paths, least[:, k * trees : (k + 1) * trees])
+                    roots = np.ascontiguousarray(paths).view(np.int64)
+                    sketch = (K.mix(least) & np.uint64(255)).astype(np.uint8)
                 cls, root, sk = [None] * (b - a), [None] * (b - a), [None] * (b - a)
                 for j, i in enumerate(some.tolist()):
                     cls[i], root[i], sk[i] = name[j].tobytes(), roots[j], sketch[j].tobytes()
@@ -149,12 +156,11 @@ def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "cls", "n", "sketch").repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, _PAIRS)
 
 
-def _compare_blocks(rows: DataFrame, texts: DataFrame, size: int, percent: int, block: int, once: bool) -> DataFrame:
-    """Links between different labels within each node of rows (node, tree, roots, cls, n, sketch, label).
+def _deal(rows: DataFrame, block: int) -> DataFrame:
+    """rows (node, tree, heads, cls, n, sketch, label) with i, j: the pairs of blocks that each goes to.
 
     A node's largest label is dealt to some blocks, the rest to others; each block
-    of the rest meets every block, so no task has more than two blocks.  once: a
-    pair that shares the root of an earlier tree is left to that tree.
+    of the rest meets every block, so no task has more than two blocks.
     """
     counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     sizes = counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("n").alias("longest"))
@@ -166,16 +172,75 @@ def _compare_blocks(rows: DataFrame, texts: DataFrame, size: int, percent: int,
     # the rest's block k meets main block b under key (-1 - b, k), and rest block l >= k under key (k, l)
     rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda b: F.struct((-1 - b).alias("i"), F.col("own").alias("j"))), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
     main = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct((-1 - F.col("own")).alias("i"), k.alias("j")))
-    dealt = r.withColumn("own", own).select("node", "tree", "roots", "cls", "n", "sketch", "label", F.explode(F.when(F.col("main"), main).otherwise(rest)).alias("k"))
-    full = dealt.join(texts, "cls").select("node", "k.i", "k.j", "cls", "n", "sketch", "label", "tree", "roots", "text")
+    dealt = r.withColumn("own", own).select("node", "tree", "heads", "cls", "n", "sketch", "label", F.explode(F.when(F.col("main"), main).otherwise(rest)).alias("k"))
+    return dealt.select("node", "k.i", "k.j", "cls", "n", "sketch", "label", "tree", "heads")
+
+
+class _Block:
+    """The rows of a pair of blocks, and which of them may be linked."""
+
+    def __init__(self, held: list[pa.RecordBatch], percent: int, once: bool):
+        t = pa.Table.from_batches(held).combine_chunks()
+        self.table, self.percent = t, percent
+        self.cls, self.n = t["cls"].to_pylist(), np.asarray(t["n"])
+        self.sketch = _matrix(t["sketch"])
+        self.heads = np.frombuffer(b"".join(t["heads"].to_pylist()), np.uint32).reshape(len(self.cls), -1)[:, : t["tree"][0].as_py()] if once else None
+        label = t["label"].to_pylist()
+        names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+        self.label = np.array([names[x] for x in label])
+
+    def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The later rows of other labels that i may be similar to, and how many sketch bytes agree."""
+        agree = (self.sketch[i + 1 :] == self.sketch[i]).sum(1)
+        ok = (agree >= AGREE) & _fit(self.n[i + 1 :], self.n[i], self.percent) & (self.label[i + 1 :] != self.label[i])
+        if self.heads is not None:
+            ok &= ~(self.heads[i + 1 :] == self.heads[i]).any(1)
+        at = np.flatnonzero(ok)
+        return at + i + 1, agree[at]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+    """done(the batches of a node, i, j) for each of them; the rows come sorted by these."""
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        key = np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(3)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), x.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                if held and any(held[0].column(k)[0] != x.column(k)[a] for k in range(3)):
+                    yield done(held)
+                    held = []
+                held.append(x.slice(a, b - a))
+    if held:
+        yield done(held)
+
+
+def _promising(dealt: DataFrame, percent: int, once: bool) -> DataFrame:
+    """The dealt rows with a candidate among the rows they meet; no more than came in, and no texts are needed yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            block = _Block(held, percent, once)
+            keep = np.zeros(len(block.cls), bool)
+            for i in range(len(keep)):
+                at, _ = block.candidates(i)
+                keep[at] = True
+                keep[i] |= len(at) > 0
+            return block.table.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else held[0].slice(0, 0)
+
+        yield from _by_block(batches, some)
+
+    return dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(run, dealt.schema)
+
+
+def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent: int, once: bool) -> DataFrame:
+    """Links between different labels within each pair of blocks.  once: a pair that shares the root of an earlier tree is left to that tree."""
+    full = promising.join(texts, "cls").select("node", "i", "j", "cls", "n", "sketch", "label", "tree", "heads", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            cls, label, n = t["cls"].to_pylist(), t["label"].to_pylist(), np.asarray(t["n"])
-            sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(cls), SKETCH)
-            roots = np.array(t["roots"].to_pylist())[:, : t["tree"][0].as_py()] if once else None
-            column, sets, parent = t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"], {}, {}
+            block, sets, parent = _Block(held, percent, once), {}, {}
+            column, n, label = block.table["text"].combine_chunks(), block.n, block.label
 
             def find(x):
                 while x in parent:
@@ -187,38 +252,21 @@ def _compare_blocks(rows: DataFrame, texts: DataFrame, size: int, percent: int,
                     sets[i] = next(iter(shingle_sets(column.slice(i, 1), size)))
                 return sets[i]
 
-            names = {x: i for i, x in enumerate(dict.fromkeys(label))}
-            number = np.array([names[x] for x in label])
             out: tuple[list, list] = [], []
-            for i in range(len(cls)):
-                agree = (sk[i + 1 :] == sk[i]).sum(1)
-                ok = (agree >= AGREE) & _fit(n[i + 1 :], n[i], percent) & (number[i + 1 :] != number[i])
-                if once:
-                    ok &= ~(roots[i + 1 :] == roots[i]).any(1)
-                at = np.flatnonzero(ok)
-                for j in (at[np.argsort(-agree[at], kind="stable")] + i + 1).tolist():
-                    a, b = find(number[i]), find(number[j])
+            for i in range(len(n)):
+                at, agree = block.candidates(i)
+                for j in at[np.argsort(-agree, kind="stable")].tolist():
+                    a, b = find(label[i]), find(label[j])
                     if a == b:
                         continue
                     same = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
                     if 100 * same >= percent * (n[i] + n[j] - same):
                         parent[a] = b
-                        out[0].append(cls[i])
-                        out[1].append(cls[j])
+                        out[0].append(block.cls[i])
+                        out[1].append(block.cls[j])
             return _pairs(*out)
 
-        held: list[pa.RecordBatch] = []
-        for x in batches:
-            key = np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(3)])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), x.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b:
-                    if held and any(held[0].column(k)[0] != x.column(k)[a] for k in range(3)):
-                        yield linked(held)
-                        held = []
-                    held.append(x.slice(a, b - a))
-        if held:
-            yield linked(held)
+        yield from _by_block(batches, linked)
 
     return full.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(run, _PAIRS)
 
@@ -239,7 +287,7 @@ def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
 
 def _children(rows: DataFrame) -> DataFrame:
     """Each row in two children of its node, by two coordinates that the node's path selects."""
-    rows = rows.select("node", "sketch", "tree", "roots", "cls", "n", "label")
+    rows = rows.select("node", "sketch", "tree", "heads", "cls", "n", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -292,7 +340,7 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def sized(rows: DataFrame) -> DataFrame:
         """The rows of nodes with more than one label, with their nodes' sizes."""
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("m > 1 and l1 <> l2").select("node", "m")
-        return written(rows.join(sizes, "node").select("node", "tree", "roots", "cls", "n", "sketch", "label", "m"), "nodes")
+        return written(rows.join(sizes, "node").select("node", "tree", "heads", "cls", "n", "sketch", "label", "m"), "nodes")
 
     def wanted(names: DataFrame) -> DataFrame:
         """cls, text for the classes named."""
@@ -300,13 +348,19 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         got = docs.join(reps, (docs["tkey"] == reps["k"]) & docs["doc_id"].eqNullSafe(reps["i"])).select("cls", "text")
         return written(got.dropDuplicates(["cls"]), "texts")
 
-    rows = sized(known.select("cls", "n", "sketch", F.col("cls").alias("label"), "roots", F.posexplode("roots").alias("tree", "node")).withColumn("tree", F.col("tree").cast("int")))
+    # node and class alone meet first; what a node compares is joined to the rows of nodes with two classes or more
+    light = known.select("cls", F.posexplode("roots").alias("tree", "node"))
+    sizes = light.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+    met = written(light.join(sizes, "node"), "met")
+    heads = F.unhex(F.array_join(F.transform("roots", lambda r: F.right(F.lpad(F.hex(r), 16, "0"), F.lit(8))), ""))  # four bytes tell the roots of a pair apart
+    rows = met.join(known.select("cls", "n", "sketch", heads.alias("heads")), "cls").select("node", "tree", "heads", "cls", "n", "sketch", F.col("cls").alias("label"), "m")
+    rows = written(rows, "nodes")
     large = rows.where(F.col("m") > limit)
     pairs = written(_compare_nodes(rows.where(F.col("m") <= limit), percent).unionByName(_compare_pivots(large, percent)).distinct(), "candidates")
     links = written(_confirm(pairs, wanted(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), shingle, percent), "links")
     joined = components(links)
     if not large.isEmpty():
-        rows = large.join(joined, large["cls"] == joined["node"], "left").select(large["node"], "tree", "roots", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
+        rows = large.join(joined, large["cls"] == joined["node"], "left").select(large["node"], "tree", "heads", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
         rows = sized(rows)
         done, once = None, True
         for _ in range(depth):
@@ -319,7 +373,8 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             rows = sized(_children(over))
         rows = rows if done is None else done.unionByName(rows)
         if not rows.isEmpty():
-            links = links.unionByName(_compare_blocks(rows.drop("m"), wanted(rows.select("cls")), shingle, percent, block, once))
+            near = written(_promising(_deal(rows.drop("m"), block), percent, once), "promising")
+            links = links.unionByName(_compare_blocks(near, wanted(near.select("cls")), shingle, percent, once))
             joined = components(links)
     full = known.join(joined, known["cls"] == joined["node"], "left").select("cls", "least", "rep", F.coalesce("root", "cls").alias("root"))
     best = full.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("rep.doc_id").isNotNull(), F.col("rep"))).alias("r1"), F.min("rep").alias("r2"))
