@@ -160,13 +160,15 @@ def _deal(rows: DataFrame, block: int) -> DataFrame:
     """rows (node, tree, heads, cls, n, sketch, label) with i, j: the pairs of blocks that each goes to.
 
     A node's largest label is dealt to some blocks, the rest to others; each block
-    of the rest meets every block, so no task has more than two blocks.
+    of the rest meets every block, so no task has more than two blocks.  What nodes
+    are joined with is written first: then both sides of the join are plain
+    exchanges, and a hot node's rows can be split.
     """
     counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     sizes = counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("n").alias("longest"))
     most = F.greatest(F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))), F.lit(min(64, block)))
     blocks = lambda c: F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
-    r = rows.join(sizes, "node").withColumn("main", F.col("label") == F.col("top.label"))
+    r = rows.join(written(sizes, "blocks"), "node").withColumn("main", F.col("label") == F.col("top.label"))
     r = r.withColumn("nm", blocks(F.col("top.c"))).withColumn("nr", blocks(F.col("m") - F.col("top.c")))
     own = F.pmod(F.xxhash64("cls", "node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
     # the rest's block k meets main block b under key (-1 - b, k), and rest block l >= k under key (k, l)
@@ -274,7 +276,7 @@ def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent:
 def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of each row with its node's pivot; the pivot is one row, so a hot node's rows can be split."""
     pivots = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls", "node").alias("h"), "cls", "n", "sketch", "label")).alias("p"))
-    both = rows.join(pivots, "node").where("cls <> p.cls and label <> p.label").select("cls", "n", "sketch", F.col("p.cls").alias("c2"), F.col("p.n").alias("n2"), F.col("p.sketch").alias("s2"))
+    both = rows.join(written(pivots, "pivots"), "node").where("cls <> p.cls and label <> p.label").select("cls", "n", "sketch", F.col("p.cls").alias("c2"), F.col("p.n").alias("n2"), F.col("p.sketch").alias("s2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -340,6 +342,7 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def sized(rows: DataFrame) -> DataFrame:
         """The rows of nodes with more than one label, with their nodes' sizes."""
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("m > 1 and l1 <> l2").select("node", "m")
+        sizes = written(sizes, "sizes")
         return written(rows.join(sizes, "node").select("node", "tree", "heads", "cls", "n", "sketch", "label", "m"), "nodes")
 
     def wanted(names: DataFrame) -> DataFrame:
