@@ -337,7 +337,9 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(text_col).cast("string").alias("text"))
     sig = written(_signatures(docs, shingle, trees), "signatures")
-    known = written(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")), "classes")
+    who = F.struct("doc_id", "tkey")
+    rep = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), who)), F.min(who))  # a row with an id, where there is one
+    known = written(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), rep.alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")), "classes")
 
     def sized(rows: DataFrame) -> DataFrame:
         """The rows of nodes with more than one label, with their nodes' sizes."""
