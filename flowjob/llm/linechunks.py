@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from flowjob.llm import textkit as K
 from flowjob.llm.tables import free_name, written
 
-WINDOW, MEAN_LINES, MIN_LINES, MAX_LINES = 2, 4, 2, 64
+#: A line ends a chunk of MIN_LINES or more with probability 1 / MEAN_LINES, so chunks have three lines on average.
+WINDOW, MEAN_LINES, MIN_LINES, MAX_LINES = 2, 2, 2, 64
 SALTS = 64
 
 
