@@ -163,16 +163,15 @@ def test_line_dedup(docs, none, spark):
     own = [f"own {k} " + PROSE for k in range(6)]
     plain = [(k, f"{own[k]}\n{block}\n{own[k]} again") for k in range(6)]
     frame = spark.createDataFrame(plain, "doc_id bigint, text string")
-    for salts in (1, 4):
-        out = {r["doc_id"]: r for r in linechunks.dedup(frame, report="r").collect()}
-        assert out[0]["text"] == plain[0][1]
-        for k in range(1, 6):
-            assert out[k]["r"]["n_removed_lines"] >= 30 and own[k] in out[k]["text"] and own[k] + " again" in out[k]["text"]
+    out = {r["doc_id"]: r for r in linechunks.dedup(frame, report="r").collect()}
+    assert out[0]["text"] == plain[0][1]
+    for k in range(1, 6):
+        assert out[k]["r"]["n_removed_lines"] >= 25 and own[k] in out[k]["text"] and own[k] + " again" in out[k]["text"]
     with pytest.raises(ValueError):
         linechunks.dedup(docs, report="key")
 
 
-def test_line_dedup_hot_chunks(spark, monkeypatch):
+def test_line_dedup_hot_chunks(spark):
     """A chunk that most documents have is salted, and one copy stays all the same."""
     from flowjob.llm import linechunks
 
