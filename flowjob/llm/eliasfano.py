@@ -86,12 +86,24 @@ class EliasFano:
         out[some] = place - j
         return out
 
+    def _ones(self, place: np.ndarray) -> np.ndarray:
+        """How many ones follow one another from these places on, 64 at most."""
+        word, shift = place >> 6, (place & 63).astype(_U)
+        x = self.high[word] >> shift
+        some = shift > 0
+        x[some] |= self.high[word[some] + 1] << (_U(64) - shift[some])
+        x = ~x
+        return np.bitwise_count((x & (~x + _U(1))) - _U(1)).astype(np.int64)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Each value's place in the sequence (its successor's, where it is missing, as -1 - place)."""
         values = np.asarray(values, np.int64)
         upper = values >> self.low_bits
         low = (values & ((1 << self.low_bits) - 1)).astype(_U)
-        at, stop = self.below(upper), self.below(upper + 1)
+        at = self.below(upper)
+        stop = at + self._ones(at + upper)
+        far = np.flatnonzero(stop - at == 64)
+        stop[far] = self.below(upper[far] + 1)
         end = stop.copy()
         open_ = np.flatnonzero(at < end)
         while len(open_):  # halve each bucket's range: a context with many successors fills one
