@@ -1,3 +1,4 @@
+import numbers
 import os
 
 import pytest
@@ -7,9 +8,15 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows_of(df):
+    """Rows in an order of their own; a number is a number, whether a column with nulls holds it as a float or not."""
     df = df.reindex(sorted(df.columns), axis=1)
-    plain = lambda v: None if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v)
-    return sorted((tuple(plain(float(v) if hasattr(v, "dtype") and v.dtype.kind == "f" else v) for v in r) for r in df.astype(object).itertuples(index=False)), key=str)
+
+    def plain(v):
+        if v is None or v != v:
+            return None
+        return round(float(v), 6) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
+
+    return sorted((tuple(plain(v) for v in r) for r in df.astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
