@@ -98,7 +98,7 @@ def _settle(rows: DataFrame, pass_on: bool) -> DataFrame:
     schema = T.StructType([*(rows.schema[n] for n in ("doc_id", "key", "no", "chunk")), T.StructField("bytes", T.BinaryType()), T.StructField("first", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen = None, set()
+        current, seen = None, {}  # bytes: doc_id, key and no of the first place; rows that repeat it are that place again
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(3)), np.asarray(batch.column(5)).astype(np.int64)])
             again = np.zeros(batch.num_rows, bool)
@@ -113,13 +113,14 @@ def _settle(rows: DataFrame, pass_on: bool) -> DataFrame:
             for i in np.flatnonzero(runs).tolist():
                 key = (int(keys[0, i]), int(keys[1, i]))
                 if key != current:
-                    current, seen = key, set()
-                value = batch.column(4)[i].as_py()
+                    current, seen = key, {}
+                value, place = batch.column(4)[i].as_py(), tuple(batch.column(k)[i].as_py() for k in range(3))
                 if value in seen:
-                    emit.append(i)
-                    first.append(False)
+                    if seen[value] != place:
+                        emit.append(i)
+                        first.append(False)
                 else:
-                    seen.add(value)
+                    seen[value] = place
                     if pass_on and salted[i]:
                         emit.append(i)
                         first.append(True)

@@ -182,6 +182,19 @@ def test_line_dedup_hot_chunks(spark):
     assert min(count.values()) == 1 and all(f"first {i}" in set(text) for i in (0, 7, 1499))
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    """Rows that repeat id and text, null ids too, keep their text; a later document with it loses it; salted chunks as well."""
+    from flowjob.llm import linechunks
+
+    block = "\n".join(f"line number {i} of a text that stands twice" for i in range(30))
+    for ids in ([1, 1, 2], [None, None, 2]):
+        got = linechunks.dedup(spark.createDataFrame([(i, block) for i in ids], "doc_id bigint, text string")).collect()
+        assert [r["text"] for r in got if r["doc_id"] != 2] == [block, block]
+        assert len(next(r["text"] for r in got if r["doc_id"] == 2)) < len(block) // 2
+    many = spark.createDataFrame([(i // 2, block) for i in range(2400)], "doc_id bigint, text string")
+    assert [r["text"] for r in linechunks.dedup(many).where("doc_id = 0").collect()] == [block, block]
+
+
 def test_personal_data(docs, none):
     from flowjob.llm import pii
 
