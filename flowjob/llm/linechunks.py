@@ -1,25 +1,29 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by overlapping chunks of lines, bounded by the lines themselves.
 
-A text's lines are hashed; a rolling hash over the last `window` line hashes puts
-a chunk's end where it is divisible by `mean_lines`, so that an inserted line
-moves boundaries near it alone.  Chunks of two or more non-empty lines that stand
-elsewhere in the corpus, earlier in the order of (doc_id, hash of the text, chunk
-number), are removed once their bytes have been compared; the first one stays.
+A line of LONG_WORDS words or more is a chunk; so are two lines in a row of which
+one is shorter, with blank lines between them left out of account.  Chunks depend
+on nothing around them, so a passage of two or more lines, or of one long line, is
+covered from end to end wherever it stands.  Lines of chunks that stand elsewhere
+in the corpus, earlier in the order of (doc_id, hash of the text, place in it), are
+removed once the chunks' 256-bit digests have been compared.  A line is only removed
+where the same line stands earlier, so the first one of each always stays.
 
-Chunks meet their equals by one shuffle on the chunk's hash.  Hashes with more
+Chunks meet their equals by one shuffle on a 64-bit hash.  Hashes with more
 than a thousandth of all chunks (a thousand at most, so their list is a bounded
 broadcast) are dealt to `salts` tasks each; only what those tasks leave as first,
 one chunk a task, meets again.  Documents are joined with their own list of
 removed chunks.
 
-Defined results: a null text stays null and has no lines; an empty text stays; a
-chunk of one line or of empty lines is never removed; null ids come first in the
-order; rows that repeat both id and text count as one document and come out
-alike; an empty table gives an empty one.
+Defined results: a null text stays null and has no lines; an empty text stays; blank
+lines (without words) go with the line before them, and with all others where no
+other line is left; a short line is never removed for itself alone; null ids come
+first in the order; rows that repeat both id and text count as one document and come
+out alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,49 +36,29 @@ from pyspark.sql import types as T
 from flowjob.llm import textkit as K
 from flowjob.llm.tables import free_name, written
 
-#: A line ends a chunk of MIN_LINES or more with probability 1 / MEAN_LINES, so chunks have three lines on average.
-WINDOW, MEAN_LINES, MIN_LINES, MAX_LINES = 2, 2, 2, 64
+#: Fewer words make a line short: it is compared together with its neighbours.
+LONG_WORDS = 10
 SALTS = 64
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of a slice of texts: each chunk's text, number in it, first and last byte, lines, non-empty lines and hash."""
+    """Of a slice of texts: "starts", "ends", "text" and "blank" of each line; of each chunk "first" and "last", its lines, "owner", its text, and "no", twice the first line's number in the text, and one more for two lines."""
     starts, ends, text = K.lines(data, offsets)
-    if not len(starts):
-        return {k: np.zeros(0, np.int64) for k in ("text", "no", "start", "end", "lines", "full")} | {"hash": np.zeros(0, np.uint64)}
-    h = K.span_hashes(data, starts, ends)
-    rolled = K.mix(h + np.uint64(1))
-    for k in range(1, WINDOW):
-        before = np.zeros(len(h), np.uint64)
-        before[k:] = np.where(text[k:] == text[:-k], h[:-k], np.uint64(0))
-        rolled = K.pair(rolled, before)
-    wants = (rolled % np.uint64(MEAN_LINES) == 0).tolist()
-    last = np.append(text[1:] != text[:-1], True).tolist()
-    cut, size = [], 0
-    for i, want in enumerate(wants):
-        size += 1
-        if last[i] or size >= MAX_LINES or (want and size >= MIN_LINES):
-            cut.append(i)
-            size = 0
-    stop = np.array(cut)
-    first = np.append(0, stop[:-1] + 1)
-    n = stop - first + 1
-    k = np.arange(len(h)) - np.repeat(first, n)
+    words = K.spans(data, offsets, ~K.SPACES)[0]
+    n = np.searchsorted(words, ends) - np.searchsorted(words, starts)
+    some = np.flatnonzero(n)
+    long = n[some] >= LONG_WORDS
+    two = np.flatnonzero((text[some[1:]] == text[some[:-1]]) & ~(long[1:] & long[:-1])) if len(some) else some
+    first, last = np.concatenate([some[long], some[two]]), np.concatenate([some[long], some[two + 1] if len(two) else some[:0]])
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    begin = np.searchsorted(text, np.arange(len(offsets) - 1))
     owner = text[first]
-    begin = np.searchsorted(owner, np.arange(len(offsets) - 1))
-    return {
-        "text": owner,
-        "no": np.arange(len(owner)) - begin[owner],
-        "start": starts[first],
-        "end": ends[stop],
-        "lines": n,
-        "full": np.add.reduceat((ends > starts).astype(np.int64), first),
-        "hash": K.mix(np.add.reduceat(K.mix(h) * K.powers(int(n.max()))[k], first) + n.astype(np.uint64)),
-    }
+    return {"starts": starts, "ends": ends, "text": text, "blank": n == 0, "first": first, "last": last, "owner": owner, "no": 2 * (first - begin[owner]) + (last > first)}
 
 
 def _chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """docs: doc_id, key, text.  One row for each chunk of two or more non-empty lines."""
+    """docs: doc_id, key, text.  One row for each chunk; bytes is its digest."""
     kinds = [docs.schema["doc_id"], docs.schema["key"], T.StructField("no", T.LongType()), T.StructField("chunk", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +66,14 @@ def _chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
             for a, b in K.slices(batch.column(2)):
                 data, offsets = K.buffers(batch.column(2)[a:b])
                 c = chunks(data, offsets)
-                keep = np.flatnonzero(c["full"] >= 2)
-                at = pa.array(c["text"][keep] + a)
-                out = [batch.column(0).take(at), batch.column(1).take(at), pa.array(c["no"][keep]), pa.array(c["hash"][keep].view(np.int64))]
+                h = K.span_hashes(data, c["starts"], c["ends"])
+                hashes = np.where(c["last"] > c["first"], K.pair(h[c["first"]], h[c["last"]]), h[c["first"]])
+                at = pa.array(c["owner"] + a)
+                out = [batch.column(0).take(at), batch.column(1).take(at), pa.array(c["no"]), pa.array(hashes.view(np.int64))]
                 if with_bytes:
-                    raw = data.tobytes()
-                    out.append(pa.array([raw[s:e] for s, e in zip(c["start"][keep].tolist(), c["end"][keep].tolist(), strict=True)], pa.binary()))
+                    raw, starts, ends = data.tobytes(), c["starts"].tolist(), c["ends"].tolist()
+                    one = lambda i, j: raw[starts[i] : ends[i]] if i == j else raw[starts[i] : ends[i]] + b"\n" + raw[starts[j] : ends[j]]
+                    out.append(pa.array([hashlib.blake2b(one(i, j), digest_size=32).digest() for i, j in zip(c["first"].tolist(), c["last"].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "key", "no", "chunk", "bytes"][: len(out)])
 
     return docs.mapInArrow(run, T.StructType([*kinds, *[T.StructField("bytes", T.BinaryType())] * with_bytes]))
@@ -149,7 +135,7 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", report: str | None = None) -> DataFrame:
-    """The documents, all columns kept, without repeated chunks in their texts.
+    """The documents, all columns kept, without the lines of repeated chunks in their texts.
 
     report: name of a further column with a struct of n_lines, n_chunks,
     n_removed_chunks and n_removed_lines (0 for a null text).
@@ -172,23 +158,28 @@ def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 texts, lists = part.column(at), part.column(part.num_columns - 1)
                 data, offsets = K.buffers(texts)
                 c = chunks(data, offsets)
-                ptr = np.searchsorted(c["text"], np.arange(len(texts) + 1))
-                removed = np.zeros(len(c["text"]), bool)
+                ptr, own = (np.searchsorted(c[k], np.arange(len(texts) + 1)) for k in ("text", "owner"))
+                removed, taken = np.zeros(len(c["text"]), bool), np.zeros(len(texts), np.int64)
                 change = np.flatnonzero(np.asarray(lists.is_valid()))
                 for d in change.tolist():
-                    removed[ptr[d] + np.array(lists[d].as_py(), np.int64)] = True
+                    nos = np.array(lists[d].as_py(), np.int64)
+                    hit = own[d] + np.flatnonzero(np.isin(c["no"][own[d] : own[d + 1]], nos))
+                    removed[c["first"][hit]] = removed[c["last"][hit]] = True
+                    taken[d] = len(nos)
                 if len(change):
                     new = texts.to_pylist()
                     raw = data.tobytes()
                     for d in change.tolist():
-                        stay = [k for k in range(ptr[d], ptr[d + 1]) if not removed[k]]
-                        new[d] = b"\n".join(raw[c["start"][k] : c["end"][k]] for k in stay).decode("utf-8", "replace")
+                        here, blank = removed[ptr[d] : ptr[d + 1]], c["blank"][ptr[d] : ptr[d + 1]]
+                        before = np.maximum.accumulate(np.where(blank, -1, np.arange(len(blank))))
+                        here[:] = (before >= 0) & here[before] | (here | blank).all()
+                        new[d] = b"\n".join(raw[c["starts"][k] : c["ends"][k]] for k in range(ptr[d], ptr[d + 1]) if not removed[k]).decode("utf-8", "replace")
                     texts = pa.array(new, texts.type)
                 cols = [*part.columns[:-1]]
                 cols[at] = texts
                 if report:
                     there = np.asarray(part.column(at).is_valid()).astype(np.int64)
-                    figures = [K.sums(c["lines"], ptr), np.diff(ptr), K.sums(removed.astype(np.int64), ptr), K.sums(c["lines"] * removed, ptr)]
+                    figures = [np.diff(ptr), np.diff(own), taken, K.sums(removed.astype(np.int64), ptr)]
                     cols.append(pa.StructArray.from_arrays([pa.array((f * there).astype(np.int64)) for f in figures], list(counts)))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 

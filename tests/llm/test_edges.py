@@ -195,6 +195,27 @@ def test_line_dedup_of_repeated_rows(spark):
     assert [r["text"] for r in linechunks.dedup(many).where("doc_id = 0").collect()] == [block, block]
 
 
+def test_line_dedup_of_short_passages(spark):
+    """Passages of any number of lines, between lines of their own, with blank lines or without, go from end to end."""
+    import random
+
+    from flowjob.llm import linechunks
+
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    for gap in ("\n", "\n\n", "\n \n\n"):
+        passages = [[line(n) for n in sizes] for sizes in ([60], [10], [30, 30], [3, 3], [40, 2], [2, 40], [3, 1, 4], [20] * 5, [5] * 20) for _ in range(5)]
+        plain = [(k, gap.join([line(12), line(3), *p, line(3), line(12)])) for k, p in enumerate(passages * 2)]
+        out = {r["doc_id"]: r["text"] for r in linechunks.dedup(spark.createDataFrame(plain, "doc_id bigint, text string")).collect()}
+        for k, p in enumerate(passages):
+            own = plain[k + len(passages)][1].split(gap)
+            assert out[k] == plain[k][1] and out[k + len(passages)] == gap.join([*own[:2], *own[-2:]])
+    plain = [(1, "\n" + PROSE + "\n\n" + PROSE + "\n"), (2, PROSE + "\n"), (3, "one\ntwo"), (4, "one"), (5, "\r\none\n\n\ntwo"), (6, "\n\n")]
+    got = linechunks.dedup(spark.createDataFrame(plain, "doc_id bigint, text string"), report="r").orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["\n" + PROSE + "\n", "", "one\ntwo", "one", "", "\n\n"]
+    assert [tuple(r["r"]) for r in got] == [(5, 2, 1, 2), (2, 1, 1, 2), (2, 1, 0, 0), (1, 0, 0, 0), (5, 1, 1, 5), (3, 0, 0, 0)]
+
+
 def test_personal_data(docs, none):
     from flowjob.llm import pii
 
