@@ -234,6 +234,29 @@ def test_personal_data_oddities(spark):
     assert [r["spans"] for r in got[8:]] == ["iban:6:33", "tel:5:17", "", "ssn:4:15"]
 
 
+def test_account_numbers_and_context_on_both_sides(spark):
+    from flowjob.llm import pii
+
+    de, gb, free = "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "ZZ33 1234 5678 9012 345"
+    cases = {
+        f"IBAN {de} Bitte zahlen": [de],
+        f"IBAN {de.replace(' ', '')} BIC COBADEFFXXX": [de.replace(" ", "")],
+        f"{de} {gb} NO9386011117947 A": [de, gb, "NO9386011117947"],
+        f"{free} UND DANN {de} A1": [free, de],
+        "AB12 CDEF GHIJ KLMN " + de: [de],
+        f"{de}X {de[:-1]}1 DE89 3704": [],
+        "123-45-6789 is the SSN": ["123-45-6789"],
+        "202-555-0123 (mobile)": ["202-555-0123"],
+        "202-555-0123" + " " * 39 + "tel": ["202-555-0123"],
+        "202-555-0123" + " " * 40 + "tel": [],
+        "202-555-0123" + " " * 36 + "telegram": [],
+    }
+    got = pii.digest(pii.spans(spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string"))).orderBy("doc_id").collect()
+    for r, (text, want) in zip(got, cases.items(), strict=True):
+        places = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith(("iban", "ssn", "tel"))]
+        assert [text[a:b] for a, b in places] == want, text
+
+
 def test_html():
     from flowjob.llm.html import main_text
 
