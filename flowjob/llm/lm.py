@@ -1,54 +1,63 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Words (lower case) and a closing mark are tokens.  Spark counts the words, pairs
-and triples of all training documents.  The model keeps the `max_words` most
-frequent words (others are one unknown word), and the `max_ngrams` most frequent
-pairs and triples; what is kept is bounded, whatever the corpus.  Probabilities are
-smoothed by absolute discounting: each order gives what it takes from its n-grams,
-and all that belongs to n-grams not kept, to the order below.  An unknown word's
-probability is shared by all words that the model doesn't know.
-
-The trie has three levels in one file that the executors map into memory.  A node
-of a level is its parent's place and the word, as one number, parent * words + word:
-these grow, so they are an Elias-Fano sequence, a parent's children are a range of
-it, and a look-up is the search for a successor within that range.  Probabilities
-and back-off weights are 8-bit codes of a codebook of quantiles.
-
-The base score needs exact counts of every training word.  The `base_words` most
-frequent ones go along with the model; a text's other words are joined with the
-table of counts.  Words are told apart by 64-bit hashes throughout.
+"""Language-model scoring with an Elias-Fano n-gram trie in shards.
+
+Words (lower case) and a closing mark are tokens.  The model has every word, pair and
+triple of the training documents, however rare, so it grows with the corpus; no part
+of it stands in one place.  A triple (a, b, c), the token c after a b, belongs to the
+shard of its middle word b, and so do the pairs (b, c): what one token's probability
+needs lies in one shard.  Frequent middle words are dealt to several shards by the
+word before them, in proportion to their count; their pairs go to each of these.
+
+A shard is a trie rooted at middle words.  A root points to its successors c, and to
+the words a before it; each of those points to the triples, whose last word is stored
+as its number among the root's successors.  All of these lists are Elias-Fano
+sequences with monotone pointers (``eliasfano.Ranges``), in one buffer of mapped
+memory; a look-up is a successor search within the range of its context.
+Probabilities and back-off weights are 8-bit codes of a codebook of quantiles.
+
+Each order is interpolated with the one below by absolute discounting: after a context
+with count n and t different successors, p = (c - D) / n + D * t / n * p_below.  Single
+tokens have p = (c + 0.5) / (N + 0.5 (V + 1)); words beyond the `base_words` most
+frequent ones share the mean of theirs (and of one unknown word).  That bounds what is
+broadcast; pairs and triples with such words are kept like all others.
+
+Events (training counts, and the tokens to be scored) are dealt to the shards as arrays
+of packed numbers, and each document's parts are added up.  The base score needs exact
+counts of every word: those of a text's words that are not among the broadcast ones are
+joined with the table of counts.  Words are told apart by 64-bit hashes (62 bits in
+shards).
 
 Defined results: a null or empty text is its closing mark alone; texts of null ids
 are scored and, their fold being unknown, learnt from; repeated rows are rows of
 their own; without training documents the score is that of unknown words; an empty
-table gives an empty result.
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowjob.llm import textkit as K
-from flowjob.llm.eliasfano import EliasFano, load, save
-from flowjob.llm.tables import shared_file, written
+from flowjob.llm.eliasfano import EliasFano, Ranges, from_buffer, mapped, to_bytes
+from flowjob.llm.tables import written
 
-MAX_WORDS = 100_000
-MAX_NGRAMS = 1_500_000
+#: Words that are broadcast with their counts.
 BASE_WORDS = 1_000_000
+#: Training tokens of one shard, about.
+SHARD_TOKENS = 1 << 20
 DISCOUNT = 0.75
-BITS = 17  # of a word's number; numbers 0 to 2 are unknown, begin, end
-UNKNOWN, BEGIN, END = 0, 1, 2
-_MASK = (1 << BITS) - 1
+PAD, BEGIN, END, ANY, FIRST = range(5)  # codes of marks; from FIRST on the frequent words
+_NARROW = 21  # bits of a frequent word's code
+_RARE = 1 << 62  # other words' codes: this, and 62 bits of their hash
+_ENTRIES = 256  # of one row on its way to a shard
+CHUNK_BYTES, CHUNK_TEXTS = 4 << 20, 1 << 16
 
 
 class Index:
@@ -74,24 +83,24 @@ class Index:
         return out
 
 
-def _buckets(count: Column) -> Column:
+def _classes(count: Column) -> Column:
     """Counts in classes whose order is that of the counts: exact below 1024, sixteenths of a doubling above."""
     return F.when(count < 1024, count).otherwise(F.lit(1024) + F.floor(F.log2(count) * 16)).cast("bigint")
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows (column n) of the highest classes of counts that hold no more than `most` rows; at most a few thousand classes reach the driver."""
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(_buckets(F.col("n"))).count().collect()), reverse=True)
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(_classes(F.col("n"))).count().collect()), reverse=True)
     total, least = 0, None
     for k, size in sizes:
         if total + size > most:
             break
         total, least = total + size, k
-    return counts.where(_buckets(F.col("n")) >= least) if least is not None else counts.where("false")
+    return counts.where(_classes(F.col("n")) >= least) if least is not None else counts.where("false")
 
 
-def _counted(docs: DataFrame, make) -> DataFrame:
-    """key, n over all texts; make(words, hashes) gives keys, which tasks count before Spark does."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """key, n: each word's hash with its count, and under END the number of texts; tasks count before Spark does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -99,12 +108,11 @@ def _counted(docs: DataFrame, make) -> DataFrame:
         def out():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             for a in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000].astype(np.uint64).view(np.int64)), pa.array(n[a : a + 200_000].astype(np.int64))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000].astype(np.int64))], ["key", "n"])
 
         for x in batches:
             for a, b in K.slices(x.column(0)):
-                words = K.split_words(x.column(0)[a:b])
-                held.append(make(words, words.hashes(lower=True)))
+                held.append(np.append(K.split_words(x.column(0)[a:b]).hashes(lower=True), np.full(b - a, END, np.uint64)))
                 size += len(held[-1])
                 if size > 6_000_000:
                     yield from out()
@@ -115,203 +123,412 @@ def _counted(docs: DataFrame, make) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def numbered(words: K.Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text as begin, words, end; and where each token's text begins."""
-    n = words.counts + 2
-    first = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), np.int64)
-    out[first], out[first + n - 1] = BEGIN, END
-    out[np.arange(len(ids)) + 2 * words.text_of() + 1] = ids
-    return out, first
-
-
 class Vocabulary:
-    """Hashes of frequent words with their counts and, of the most frequent ones, numbers."""
+    """The frequent words' hashes and counts, totals of the corpus, and how words are dealt to shards."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, known: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int, shard_tokens: int):
         order = np.argsort(hashes)
         self.index, self.counts = Index(hashes[order]), counts[order]
-        self.ids = np.zeros(len(hashes), np.int32)
-        known = known[order]
-        self.ids[known] = np.arange(3, 3 + known.sum())
-        self.size = int(3 + known.sum())
-
-    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: its place (-1: not here), its count, its number."""
+        self.tokens, self.types, self.texts = tokens, types, texts
+        self.shards = max(1, -(-tokens // shard_tokens))
+        self.code_counts = np.concatenate([[0, texts, texts, 0], self.counts])  # by code; BEGIN stands in each text once
+        rare = max(types - (texts > 0) - len(counts), 0)
+        rare_tokens = tokens - texts - int(counts.sum())
+        size = tokens + 0.5 * (types + 1)
+        self.p1 = (self.code_counts + 0.5) / size
+        self.p1_rare = (rare_tokens + 0.5 * (rare + 1)) / (size * (rare + 1))
+
+    def codes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its place among the frequent ones (-1: it is none) and its code."""
         at = self.index.find(hashes)
-        if not len(self.counts):
-            return at, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        return at, np.where(at >= 0, self.counts[at], 0), np.where(at >= 0, self.ids[at], UNKNOWN).astype(np.int64)
+        return at, np.where(at >= 0, at + FIRST, (hashes >> np.uint64(2)).astype(np.int64) | _RARE)
+
+    def probability(self, codes: np.ndarray) -> np.ndarray:
+        narrow = codes < len(self.p1)
+        return np.where(narrow, self.p1[np.where(narrow, codes, 0)], self.p1_rare)
+
+    def salts(self, middle: np.ndarray) -> np.ndarray:
+        """To how many shards a middle word is dealt."""
+        narrow = middle < len(self.code_counts)
+        n = np.where(narrow, self.code_counts[np.where(narrow, middle, 0)], 0)
+        return np.minimum(1 + n * self.shards // max(self.tokens, 1), self.shards)
+
+    def shard(self, middle: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (K.mix(middle.astype(np.uint64) + K.mix(salt.astype(np.uint64))) % np.uint64(self.shards)).astype(np.int64)
+
+    def shard_of(self, before: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        return self.shard(middle, (K.mix(before.astype(np.uint64)) % self.salts(middle).astype(np.uint64)).astype(np.int64))
+
+
+def events(words: K.Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token with the two before it, and its text: words and an end, after two marks."""
+    n = words.counts + 3
+    first = np.cumsum(n) - n
+    tokens = np.full(int(n.sum()), END, np.int64)
+    tokens[first], tokens[first + 1] = PAD, BEGIN
+    text = words.text_of()
+    tokens[np.arange(len(codes)) + 3 * text + 2] = codes
+    at = np.ones(len(tokens), bool)
+    at[first] = at[first + 1] = False
+    at = np.flatnonzero(at)
+    return tokens[at - 2], tokens[at - 1], tokens[at], np.repeat(np.arange(len(n)), words.counts + 1)
+
+
+def _bytes_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as sums of bytes: how many each takes, and all of them."""
+    times = -(-n // 255)
+    out = np.full(int(times.sum()), 255, np.uint8)
+    out[np.cumsum(times) - 1] = n - 255 * (times - 1)
+    return times, out
+
+
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return b << 2 * _NARROW | a << _NARROW | c
+
+
+def _counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray | None = None):
+    """The different triples and how often they stand there."""
+    n = np.ones(len(a), np.int64) if n is None else n
+    outs = []
+    wide = (a | b | c) >> _NARROW > 0
+    for narrow in (True, False):
+        some = np.flatnonzero(wide != narrow)
+        x, y, z = a[some], b[some], c[some]
+        order = np.argsort(_packed(x, y, z)) if narrow else np.lexsort((z, x, y))
+        x, y, z, m = x[order], y[order], z[order], n[some][order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+        new = np.flatnonzero(new)
+        outs.append((x[new], y[new], z[new], np.add.reduceat(m, new) if len(new) else m))
+    return tuple(np.concatenate(p) for p in zip(*outs, strict=True))
+
+
+def _shipped(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, aux: np.ndarray, base: int) -> Iterator[dict[str, pa.Array]]:
+    """Rows of up to _ENTRIES entries for a shard: shard, kind (1: packed, 2: wide), base, keys, aux."""
+    wide = (a | b | c) >> _NARROW > 0
+    for kind, some in ((1, np.flatnonzero(~wide)), (2, np.flatnonzero(wide))):
+        if not len(some):
+            continue
+        order = some[np.argsort(shard[some].astype(np.int32), kind="stable")]
+        s = shard[order]
+        begin = np.flatnonzero(np.diff(s, prepend=-1))
+        place = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
+        begin = np.flatnonzero(place % _ENTRIES == 0)
+        keys = _packed(a[order], b[order], c[order]) if kind == 1 else np.stack([a[order], b[order], c[order]], 1)
+        offsets = np.append(begin, len(s)).astype(np.int32)
+
+        def binary(values: np.ndarray, width: int, offsets=offsets, rows=len(begin)) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets * np.int32(width)), pa.py_buffer(np.ascontiguousarray(values))])
+
+        x = aux[order]
+        yield {"shard": pa.array(s[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), kind, np.int8)), "base": pa.array(np.full(len(begin), base, np.int64)), "keys": binary(keys, 8 if kind == 1 else 24), "aux": binary(x, x.dtype.itemsize)}
+
+
+def _entries(kinds: list[int], keys: list[bytes], aux: list[bytes], aux_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, c and aux of shipped rows, packed ones first."""
+    packed = np.frombuffer(b"".join(k for k, t in zip(keys, kinds, strict=True) if t == 1), np.int64)
+    wide = np.frombuffer(b"".join(k for k, t in zip(keys, kinds, strict=True) if t == 2), np.int64).reshape(-1, 3)
+    x = np.frombuffer(b"".join([*(v for v, t in zip(aux, kinds, strict=True) if t == 1), *(v for v, t in zip(aux, kinds, strict=True) if t == 2)]), aux_type)
+    mask = (1 << _NARROW) - 1
+    return np.append(packed >> _NARROW & mask, wide[:, 0]), np.append(packed >> 2 * _NARROW, wide[:, 1]), np.append(packed & mask, wide[:, 2]), x
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    for a, b in K.slices(column, CHUNK_BYTES):
+        for c in range(a, b, CHUNK_TEXTS):
+            yield c, min(c + CHUNK_TEXTS, b)
+
+
+# ---------------------------------------------------------------- a shard's trie
 
 
 def codebook(values: np.ndarray, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the values and the codebook: means of equally frequent ranges."""
+    """Codes of the values and the codebook: the values themselves if they are few, else means of ranges with equally many different values."""
     if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(size, np.float64)
-    cuts = np.quantile(values, np.linspace(0, 1, size + 1)[1:-1])
+        return np.zeros(0, np.uint8), np.zeros(size)
+    uniq = K.distinct(values)
+    if len(uniq) <= size:
+        return np.searchsorted(uniq, values).astype(np.uint8), np.append(uniq, np.zeros(size - len(uniq)))
+    cuts = uniq[np.arange(1, size) * len(uniq) // size]
     codes = np.searchsorted(cuts, values, "right")
     n = np.bincount(codes, minlength=size)
     return codes.astype(np.uint8), np.bincount(codes, values, size) / np.maximum(n, 1)
 
 
-def build(path: str, unigrams: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray], strangers: int, discount: float = DISCOUNT) -> None:
-    """unigrams: counts by number; the others: sorted keys and counts.  strangers: words that share the unknown word's probability."""
-    v = len(unigrams)
-    p1 = (unigrams + 0.5) / (unigrams.sum() + 0.5 * v)
-    k2, c2 = bigrams
-    w1, w2 = k2 >> BITS, k2 & _MASK
-    context = unigrams.copy().astype(np.float64)
-    context[BEGIN] = unigrams[END]
-    kept2 = np.maximum(c2 - discount, 0)
-    left1 = 1 - np.bincount(w1, kept2 / np.maximum(context[w1], 1), v)
-    left1 = np.clip(left1, 1e-6, 1)
-    p2 = kept2 / np.maximum(context[w1], 1) + left1[w1] * p1[w2]
-    level2 = EliasFano.build(w1 * v + w2, v * v)
-    k3, c3 = trigrams
-    parent = np.searchsorted(k2, k3 >> BITS)
-    w3 = k3 & _MASK
-    kept3 = np.maximum(c3 - discount, 0)
-    left2 = np.clip(1 - np.bincount(parent, kept3 / c2[parent], len(k2)), 1e-6, 1) if len(k2) else np.zeros(0)
-    lower = level2.find((k3 >> BITS & _MASK) * v + w3) if len(k3) else np.zeros(0, np.int64)
-    middle = k3 >> BITS & _MASK
-    p_lower = np.where(lower >= 0, p2[np.maximum(lower, 0)] if len(p2) else 0.0, left1[middle] * p1[w3]) if len(k3) else np.zeros(0)
-    p3 = kept3 / np.maximum(c2[parent], 1) + left2[parent] * p_lower if len(k3) else np.zeros(0)
-    level3 = EliasFano.build(parent * v + w3, max(len(k2), 1) * v)
-    arrays = {"p1": np.log10(p1), "b1": np.log10(left1)}
-    for name, values in (("p2", np.log10(p2)), ("b2", np.log10(left2)), ("p3", np.log10(p3))):
-        arrays[name], arrays[f"{name}_book"] = codebook(values)
-    for name, level in (("l2", level2), ("l3", level3)):
-        arrays |= {f"{name}_{k}": a for k, a in level.arrays().items()}
-    meta = {"v": v, "n2": level2.n, "n3": level3.n, "low2": level2.low_bits, "low3": level3.low_bits, "stranger": -math.log10(max(strangers, 1))}
-    save(path, arrays, meta)
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[new], np.add.reduceat(n[order], new) if len(new) else n
+
+
+def _places(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where these values, all of which are there, stand in the sorted codes."""
+    narrow = int(np.searchsorted(codes, 1 << _NARROW))
+    table = np.zeros(1 << _NARROW, np.int64)
+    table[codes[:narrow]] = np.arange(narrow)
+    out = table[np.minimum(x, (1 << _NARROW) - 1)]
+    wide = np.flatnonzero(x >> _NARROW)
+    out[wide] = np.searchsorted(codes, x[wide])
+    return out
+
+
+def _discounted(counts: np.ndarray, parent: np.ndarray, parents: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each count's own part of its probability, and each parent's weight of the order below."""
+    total = np.bincount(parent, counts, parents)
+    return (counts - discount) / total[parent], discount * np.bincount(parent, minlength=parents) / np.maximum(total, 1)
+
+
+def build(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, words: Vocabulary, discount: float = DISCOUNT) -> bytes:
+    """The trie of a shard's counts; a is ANY for the pairs of words that have several shards."""
+    n = n.astype(np.int64)
+    pair = a == ANY
+    codes = K.distinct(np.concatenate([K.distinct(x) for x in (a, b, c)]))
+    size = len(codes)
+    a, b, c = (_places(codes, x) for x in (a, b, c))
+    dealt = np.zeros(size, bool)
+    dealt[b[pair]] = True
+    one = ~pair & ~dealt[b]
+    k2, n2 = _summed(np.append(b[pair], b[one]) * size + np.append(c[pair], c[one]), np.append(n[pair], n[one]))
+    roots = K.distinct(k2 // size)
+    parent2 = np.searchsorted(roots, k2 // size)
+    own2, weight2 = _discounted(n2, parent2, len(roots), discount)
+    p2 = own2 + weight2[parent2] * words.probability(codes[k2 % size])
+    starts = np.searchsorted(parent2, np.arange(len(roots) + 1))
+    a, b, c, n = (x[~pair] for x in (a, b, c, n))
+    place = np.empty(len(a), np.int64)
+    order = np.argsort(b * size + c)  # sorted questions stay close to one another
+    place[order] = np.searchsorted(k2, (b * size + c)[order])
+    order = np.argsort(b * size + a)
+    number, n = (place - starts[parent2[place]])[order], n[order]
+    key = (b * size + a)[order]
+    new = np.diff(key, prepend=-1) != 0
+    node, context = key[new], np.cumsum(new) - 1
+    widest = int(np.diff(starts).max()) if len(roots) else 1
+    k3, n3 = _summed(context * widest + number, n)
+    parent3, number = k3 // widest, k3 % widest
+    own3, weight3 = _discounted(n3, parent3, len(node), discount)
+    root3 = np.searchsorted(roots, node // size)
+    p3 = own3 + weight3[parent3] * p2[starts[root3[parent3]] + number]
+    levels = {
+        "words": EliasFano.build(codes, 1 << 63),
+        "roots": EliasFano.build(roots, size + 1),
+        "successors": Ranges.build(np.diff(starts), k2 % size),
+        "before": Ranges.build(np.bincount(root3, minlength=len(roots)), node % size),
+        "triples": Ranges.build(np.bincount(parent3, minlength=len(node)), number),
+    }
+    arrays = {}
+    for name, values in (("p2", p2), ("b2", weight2), ("p3", p3), ("b3", weight3)):
+        arrays[name], arrays[f"{name}_book"] = codebook(np.log10(values))
+    return to_bytes(levels, arrays, {})
+
+
+def _once(x: np.ndarray, look) -> np.ndarray:
+    """look(x), once for each run of equal values; negative ones are not looked up and give -1."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    uniq = x[new]
+    got = np.full(len(uniq), -1, np.int64)
+    got[uniq >= 0] = look(uniq[uniq >= 0])
+    return np.maximum(got, -1)[np.cumsum(new) - 1]
 
 
 class Trie:
-    """The mapped file, and scores of texts."""
-
-    def __init__(self, path: str):
-        a, m = load(path)
-        self.a, self.m, self.v = a, m, m["v"]
-        self.level2 = EliasFano(m["n2"], m["low2"], a["l2_low"], a["l2_high"], a["l2_zeros"])
-        self.level3 = EliasFano(m["n3"], m["low3"], a["l3_low"], a["l3_high"], a["l3_zeros"])
-
-    def score(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the two before it in its text; 0 for begin marks."""
-        a, v = self.a, self.v
-        before = np.append(BEGIN, tokens[:-1])
-        pair = self.level2.find(before * v + tokens)
-        pair[first] = -1
-        parent = np.append(-1, pair[:-1])
-        parent[first] = -1
-        triple = np.full(len(tokens), -1, np.int64)
-        deep = np.flatnonzero(parent >= 0)
-        triple[deep] = self.level3.find(parent[deep] * v + tokens[deep])
-        out = a["b1"][before] + a["p1"][tokens]
-        two = np.flatnonzero(pair >= 0)
-        out[two] = a["p2_book"][a["p2"][pair[two]]]
-        out[deep] += a["b2_book"][a["b2"][parent[deep]]]
-        three = np.flatnonzero(triple >= 0)
-        out[three] = a["p3_book"][a["p3"][triple[three]]]
-        out += np.where(tokens == UNKNOWN, self.m["stranger"], 0.0)
-        out[first] = 0
+    """A shard's mapped levels, and probabilities of tokens."""
+
+    def __init__(self, raw: bytes):
+        self.levels, self.arrays, _ = from_buffer(mapped(raw))
+
+    def _value(self, name: str, at: np.ndarray) -> np.ndarray:
+        return self.arrays[f"{name}_book"][self.arrays[name][at]]
+
+    def score(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, words: Vocabulary) -> np.ndarray:
+        """log10 of each token c's probability after a b."""
+        uniq = K.distinct(np.concatenate([K.distinct(x) for x in (a, b, c)]))
+        local = self.levels["words"].find(uniq)
+        la, lb, lc = (local[_places(uniq, x)] for x in (a, b, c))
+        pair, node, triple = (np.full(len(a), -1, np.int64) for _ in range(3))
+        root = _once(lb, lambda x: self.levels["roots"].find(x))
+        some = np.flatnonzero((root >= 0) & (lc >= 0))
+        key = root[some] << 31 | lc[some]
+        order = np.argsort(key)
+        pair[some[order]] = _once(key[order], lambda x: self.levels["successors"].find(x >> 31, x & (1 << 31) - 1))
+        some = np.flatnonzero((root >= 0) & (la >= 0))
+        node[some] = _once(root[some] << 31 | la[some], lambda x: self.levels["before"].find(x >> 31, x & (1 << 31) - 1))
+        some = np.flatnonzero((pair >= 0) & (node >= 0))
+        first = _once(root[some], self.levels["successors"].pointers.get)
+        triple[some] = self.levels["triples"].find(node[some], pair[some] - first)
+        out = np.zeros(len(a))
+        one = np.flatnonzero(pair < 0)
+        out[one] = np.log10(words.probability(c[one]))
+        some = one[root[one] >= 0]
+        out[some] += self._value("b2", root[some])
+        two = np.flatnonzero((pair >= 0) & (triple < 0))
+        out[two] = self._value("p2", pair[two])
+        some = np.flatnonzero((triple < 0) & (node >= 0))
+        out[some] += self._value("b3", node[some])
+        some = np.flatnonzero(triple >= 0)
+        out[some] = self._value("p3", triple[some])
         return out
 
 
-_tries: dict[str, Trie] = {}
-
-
-def _trie(name: str) -> Trie:
-    if name not in _tries:
-        _tries.clear()
-        _tries[name] = Trie(SparkFiles.get(name))
-    return _tries[name]
+# ---------------------------------------------------------------- over the documents
 
 
 class Model:
-    """What ``train`` gives to ``score``: the trie's file, the broadcast vocabulary, the table of counts."""
-
-    def __init__(self, spark: SparkSession, docs: DataFrame, max_words: int, max_ngrams: int, base_words: int):
-        if max_words > (1 << BITS) - 3:
-            raise ValueError(f"at most {(1 << BITS) - 3} words")
-        self.counts = written(_counted(docs, lambda words, h: h), "words")
-        texts = docs.count()
-        total = self.counts.agg(F.sum("n"), F.count("*")).first()
-        self.n, self.types, self.texts = int(total[0] or 0) + texts, int(total[1]) + (texts > 0), texts
-        got = most_frequent(self.counts, base_words).toArrow()
-        hashes, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-        top = most_frequent(self.counts, max_words).agg(F.min("n")).first()[0]
-        known = n >= top if top is not None else np.zeros(len(n), bool)
-        words = Vocabulary(hashes, n, known)
-        self.words = spark.sparkContext.broadcast(words)
-        unigrams = np.zeros(words.size, np.int64)
-        unigrams[words.ids[words.ids > 0]] = words.counts[words.ids > 0]
-        unigrams[UNKNOWN], unigrams[END] = self.n - texts - unigrams.sum(), texts
-        held = self.words
-
-        def pairs(w: K.Words, h: np.ndarray) -> np.ndarray:
-            tokens, first = numbered(w, held.value.look(h)[2])
-            key = tokens[:-1] << BITS | tokens[1:]
-            return np.delete(key, first[1:] - 1)
-
-        two = most_frequent(written(_counted(docs, pairs), "pairs"), max_ngrams).orderBy("key").toArrow()
-        k2, c2 = two.column(0).to_numpy(), two.column(1).to_numpy()
-        kept = spark.sparkContext.broadcast(k2)
-
-        def triples(w: K.Words, h: np.ndarray) -> np.ndarray:
-            tokens, first = numbered(w, held.value.look(h)[2])
-            key = tokens[:-1] << BITS | tokens[1:]
-            at = np.minimum(np.searchsorted(kept.value, key), max(len(kept.value) - 1, 0))
-            there = kept.value[at] == key if len(kept.value) else np.zeros(len(key), bool)
-            there[first[1:] - 1] = False
-            both = there[:-1] & there[1:]
-            return (key[:-1][both] << BITS) | tokens[2:][both]
-
-        three = most_frequent(written(_counted(docs, triples), "triples").where("n > 1"), max_ngrams).orderBy("key").toArrow()
-        self.file = f"flowjob-trie-{uuid.uuid4().hex}"
-        with tempfile.TemporaryDirectory() as folder:  # the driver's own; executors fetch the copy in the shared folder
-            path = os.path.join(folder, self.file)
-            build(path, unigrams, (k2, c2), (three.column(0).to_numpy(), three.column(1).to_numpy()), self.types - words.size + 4)
-            spark.sparkContext.addFile(shared_file(spark, path))
-
-
-def train(documents: DataFrame, *, text_col: str = "text", max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS, base_words: int = BASE_WORDS) -> Model:
+    """What ``train`` gives to ``score``: the broadcast vocabulary, the table of counts, the table of tries (shard, trie)."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, base_words: int, shard_tokens: int):
+        if base_words > (1 << _NARROW) - FIRST:
+            raise ValueError(f"at most {(1 << _NARROW) - FIRST} words can be broadcast")
+        self.counts = written(count_words(docs), "words")
+        total = self.counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("key") == END, F.col("n")))).first()
+        got = most_frequent(self.counts.where(F.col("key") != END), base_words).toArrow()
+        words = Vocabulary(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy(), int(total[0] or 0), int(total[1]), int(total[2] or 0), shard_tokens)
+        self.words = held = spark.sparkContext.broadcast(words)
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = held.value
+            for x in batches:
+                for i, j in _chunks(x.column(0)):
+                    words = K.split_words(x.column(0)[i:j])
+                    a, b, c, n = _counted(*events(words, v.codes(words.hashes(lower=True))[1])[:3])
+                    _, b2, c2, n2 = _counted(np.full(len(b), ANY), b, c, n)
+                    times = v.salts(b2)
+                    times[times == 1] = 0  # a word of one shard has its pairs there in its triples
+                    salt = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    b2, c2, n2 = (np.repeat(y, times) for y in (b2, c2, n2))
+                    shard = np.append(v.shard_of(a, b), v.shard(b2, salt))
+                    more, parts = _bytes_of(np.append(n, n2))
+                    entries = (shard, np.append(a, np.full(len(b2), ANY)), np.append(b, b2), np.append(c, c2))
+                    for row in _shipped(*(np.repeat(y, more) for y in entries), parts, 0):
+                        yield pa.RecordBatch.from_pydict(row)
+
+        def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held_rows = None, ([], [], [])
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([build(*_entries(*held_rows, np.uint8), held.value)], pa.binary())], ["shard", "trie"])
+
+            for x in batches:
+                for shard, *row in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True):
+                    if shard != now:
+                        if now is not None:
+                            yield made()
+                        now, held_rows = shard, ([], [], [])
+                    for y, value in zip(held_rows, row, strict=True):
+                        y.append(value)
+            if now is not None:
+                yield made()
+
+        rows = docs.select("text").mapInArrow(emit, "shard int, kind tinyint, base bigint, keys binary, aux binary")
+        self.tries = written(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(tries, "shard int, trie binary"), "tries")
+
+
+def train(documents: DataFrame, *, text_col: str = "text", base_words: int = BASE_WORDS, shard_tokens: int = SHARD_TOKENS) -> Model:
     docs = documents.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return Model(documents.sparkSession, docs, max_words, max_ngrams, base_words)
+    return Model(documents.sparkSession, docs, base_words, shard_tokens)
 
 
 def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held, file, texts = model.words, model.file, model.texts
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(file)
+    held = model.words
+    ways = T._parse_datatype_string("shard int, kind tinyint, base bigint, keys binary, aux binary")
+    facts = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_tokens bigint, known bigint, logs double, rare array<bigint>, score double").fields])
+    names = [*ways.names, *facts.names]
+    schema = T.StructType([*ways.fields, *facts.fields])
+    kinds = dict(zip(names, _arrow(schema), strict=True))
+
+    def filled(rows: int, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[n] if n in given else pa.nulls(rows, kinds[n]) for n in names], names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens on their way to the shards, and, with kind 3, each document's own facts."""
+        v, row = held.value, TaskContext.get().partitionId() << 33
         for x in batches:
-            for a, b in K.slices(x.column(1)):
-                words = K.split_words(x.column(1)[a:b])
+            for i, j in _chunks(x.column(1)):
+                words = K.split_words(x.column(1)[i:j])
                 h = words.hashes(lower=True)
-                at, count, ids = held.value.look(h)
-                tokens, first = numbered(words, ids)
-                known = K.sums((count > 0).astype(np.int64), words.ptr) + (texts > 0)
-                logs = K.sums(np.log10(2.0 * count + 1), words.ptr) + math.log10(2 * texts + 1)
-                parts = K.sums(trie.score(tokens, first), np.append(first, len(tokens)))
-                missing = at < 0
+                at, codes = v.codes(h)
+                n = np.where(at >= 0, v.counts[at] if len(v.counts) else 0, 0)
+                a, b, c, text = events(words, codes)
+                known = K.sums((at >= 0).astype(np.int64), words.ptr) + (v.texts > 0)
+                logs = K.sums(np.log10(2.0 * n + 1), words.ptr) + math.log10(2 * v.texts + 1)
                 ptr = np.zeros(len(words.ptr), np.int32)
-                np.cumsum(K.sums(missing.astype(np.int64), words.ptr), out=ptr[1:])
-                rare = pa.ListArray.from_arrays(pa.array(ptr), pa.array(h[missing].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([x.column(0)[a:b], pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(parts), rare], ["doc_id", "n_tokens", "known", "logs", "score", "rare"])
+                np.cumsum(K.sums((at < 0).astype(np.int64), words.ptr), out=ptr[1:])
+                own = np.arange(row, row + j - i)
+                rare = pa.ListArray.from_arrays(pa.array(ptr), pa.array(h[at < 0].view(np.int64)))
+                yield filled(j - i, shard=pa.array((own % v.shards).astype(np.int32)), kind=pa.array(np.full(j - i, 3, np.int8)), base=pa.array(own), doc_id=x.column(0)[i:j], n_tokens=pa.array(words.counts.astype(np.int64) + 1), known=pa.array(known), logs=pa.array(logs), rare=rare)
+                for part in _shipped(v.shard_of(a, b), a, b, c, text.astype(np.uint16), row):
+                    yield filled(len(part["shard"]), **part)
+                row += j - i
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's trie comes first (kind 0), then the tokens; the sums of each document's tokens go out."""
+        now, trie, waiting, size = None, None, ([], [], [], []), 0
+
+        def sums() -> pa.RecordBatch:
+            order = sorted(range(len(waiting[0])), key=lambda i: waiting[0][i])  # packed rows first, as entries come
+            base = np.repeat(np.array([waiting[3][i] for i in order]), [len(waiting[2][i]) // 2 for i in order])
+            a, b, c, text = _entries(*([w[i] for i in order] for w in waiting[:3]), np.uint16)
+            wide = (a | b | c) >> _NARROW > 0
+            packed = int((~wide).sum())
+            key = _packed(a[:packed], b[:packed], c[:packed])
+            order = np.argsort(key)
+            new = np.diff(key[order], prepend=-1) != 0
+            back = np.empty(packed, np.int64)
+            back[order] = np.cumsum(new) - 1
+            pick = np.append(order[new], np.arange(packed, len(a)))
+            if trie is None:
+                got = np.log10(held.value.probability(c[pick]))
+            else:
+                got = trie.score(a[pick], b[pick], c[pick], held.value)
+            values = np.append(got[: int(new.sum())][back], got[int(new.sum()) :])
+            doc, at = np.unique(base + text, return_inverse=True)
+            return filled(len(doc), base=pa.array(doc), score=pa.array(np.bincount(at, values, len(doc))))
+
+        for x in batches:
+            kind = np.asarray(x.column(1))
+            if len(done := np.flatnonzero(kind == 3)):
+                yield x.take(pa.array(done))
+            part = x.take(pa.array(np.flatnonzero(kind < 3)))
+            for shard, *row in zip(*(part.column(k).to_pylist() for k in (0, 1, 3, 4, 2)), strict=True):
+                if shard != now or size > 1 << 19:
+                    if size:
+                        yield sums()
+                    waiting, size = ([], [], [], []), 0
+                if shard != now:
+                    now, trie = shard, None
+                if row[0] == 0:
+                    trie = Trie(row[1])
+                    continue
+                for y, value in zip(waiting, row, strict=True):
+                    y.append(value)
+                size += len(row[2]) // 2
+        if size:
+            yield sums()
 
-    rows = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")  # written, so that a row keeps its number
-    each = rows.select("row", F.explode("rare").alias("key"))
+    tries = model.tries.select("shard", F.lit(0).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("base"), F.col("trie").alias("keys"), F.lit(None).cast("binary").alias("aux"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.fields))
+    rows = docs.mapInArrow(emit, schema).unionByName(tries).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look, schema)
+    whole = rows.groupBy("base").agg(*(F.max(n).alias(n) if n != "rare" else F.first(n, ignorenulls=True).alias(n) for n in facts.names if n != "score"), F.sum("score").alias("score"))
+    whole = written(whole.withColumnRenamed("base", "row"), "scored")
+    each = whole.select("row", F.explode("rare").alias("key"))
     found = each.join(model.counts, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(2.0 * F.col("n") + 1)).alias("add"))
-    zero = F.log10(F.lit(0.5 / (model.n + 0.5 * (model.types + 1))))
-    out = rows.drop("rare").join(found, "row", "left")
+    v = held.value
+    zero = F.log10(F.lit(0.5 / (v.tokens + 0.5 * (v.types + 1))))
+    out = whole.drop("rare").join(found, "row", "left")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("bigint").alias("train_tokens"),
+        F.lit(v.tokens).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.coalesce("add", F.lit(0.0)) + F.col("n_tokens") * zero).alias("base_score"),
         "score",
     )
+
+
+def _arrow(schema: T.StructType) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return [f.type for f in to_arrow_schema(schema)]

@@ -133,7 +133,7 @@ def _pieces(docs: DataFrame, capacity: int, with_text: bool) -> DataFrame:
                 own = np.zeros(len(n), np.uint64)
                 if len(h):
                     some = n > 0
-                    own[some] = K.mix(np.add.reduceat(h * K.powers(int(n.max()))[k], words.ptr[:-1][some]) + n[some].astype(np.uint64))
+                    own[some] = K.mix(np.add.reduceat(K.mix(h + K.mix(k.astype(np.uint64))), words.ptr[:-1][some]) + n[some].astype(np.uint64))
                 own_cluster = pa.array(own.view(np.int64), mask=n == 0)
                 pieces = np.maximum(-(-n // capacity), 1)
                 at = np.repeat(np.arange(len(n)), pieces)

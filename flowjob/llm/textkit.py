@@ -22,11 +22,11 @@ NON_ALNUM[:128] = True
 NON_ALNUM[48:58] = NON_ALNUM[65:91] = NON_ALNUM[97:123] = False
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _LOWER[97:123]
-_powers = np.ones(1, np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: What remains of eight bytes when so many of them belong to a span.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,20 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    s = np.sort(x)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return s[new]
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An order-dependent hash of two hashes."""
     return mix(np.asarray(a, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(b, np.uint64))
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers[:n]
-
-
 @dataclass
 class Words:
     """The words of a slice of texts; word i of text d: ``ptr[d] <= i < ptr[d + 1]``."""
@@ -76,20 +75,58 @@ class Words:
         return np.repeat(np.arange(len(self.ptr) - 1), self.counts)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place (one more than there are bytes) the eight bytes that begin there, zeros beyond the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (none empty) in pieces of eight bytes: where each begins, its number in its span, the mask of its bytes; and the first piece of each span."""
+    n = (ends - starts + 7) >> 3
+    first = np.cumsum(n) - n
+    k = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * k
+    return at, k, _MASKS[np.minimum(np.repeat(ends, n) - at, 8)], first
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span of bytes (empty spans: 0); spans must not overlap and must be in order."""
-    lens = ends - starts
+    """A 64-bit hash of each span of bytes (empty spans: 0).
+
+    Each piece of eight bytes is mixed, then mixed again with its place, so no
+    arrangement of equal pieces cancels out.
+    """
     out = np.zeros(len(starts), np.uint64)
-    some = lens > 0
-    if not some.any():
-        return out
-    s, n = starts[some], lens[some]
-    first = np.cumsum(n) - n
-    k = np.arange(int(n.sum()), dtype=np.int64)
-    k -= np.repeat(first, n)
-    values = (_LOWER if lower else _TABLE)[data[k + np.repeat(s, n)]]
-    values *= powers(int(n.max()))[k]
-    out[some] = mix(np.add.reduceat(values, first) + n.astype(np.uint64))
+    some = np.flatnonzero(ends > starts)
+    if len(some):
+        at, k, mask, first = _pieces(starts[some], ends[some])
+        values = mix(eights(_LOWER[data] if lower else data)[at] & mask)
+        later = np.flatnonzero(k)
+        values[later] = mix(values[later] + k[later].astype(np.uint64) * _ODD)
+        out[some] = mix(np.add.reduceat(values, first) + (ends - starts)[some].astype(np.uint64) * _ODD)
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether spans a[i] and b[i] hold the same bytes."""
+    out = (ends - starts)[a] == (ends - starts)[b]
+    some = np.flatnonzero(out & (ends > starts)[a])
+    if len(some):
+        x, _, mask, first = _pieces(starts[a[some]], ends[a[some]])
+        y = _pieces(starts[b[some]], ends[b[some]])[0]
+        eight = eights(data)
+        out[some] = np.bitwise_or.reduceat((eight[x] ^ eight[y]) & mask, first) == 0
+    return out
+
+
+def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each span the place of the first span with the same bytes: by hash, and settled by the bytes themselves."""
+    _, at, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    out = at[back]
+    wrong = np.flatnonzero(~same_bytes(data, starts, ends, np.arange(len(out)), out))
+    if len(wrong):  # different bytes with one hash
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(out, out[wrong])).tolist():
+            out[i] = seen.setdefault(data[starts[i] : ends[i]].tobytes(), i)
     return out
 
 

@@ -133,3 +133,35 @@ def personal(text):
     spans = {k: [m.span() for m in re.finditer(p, text or "") if ok(m.group())] for k, (p, ok) in KINDS.items()}
     named = ",".join(f"{k}:{a}:{b}" for k, found in spans.items() for a, b in found)
     return *(len(x) for x in spans.values()), hashlib.sha256(named.encode()).hexdigest()
+
+
+class PlainModel:
+    """Interpolated absolute discounting over dictionaries; words that aren't frequent share the mean of theirs and of one unknown word."""
+
+    def __init__(self, texts, frequent, discount):
+        self.discount, self.uni, self.n = discount, Counter(), [defaultdict(Counter), defaultdict(Counter)]
+        for t in texts:
+            for a, b, c in self.events(t):
+                self.uni[c] += 1
+                self.n[0][b][c] += 1
+                self.n[1][a, b][c] += 1
+        size = sum(self.uni.values()) + 0.5 * (len(self.uni) + 1)
+        rare = [w for w in self.uni if w not in frequent and w != "</s>"]
+        self.p1 = {w: (n + 0.5) / size for w, n in self.uni.items() if w not in rare}
+        self.rest = (sum(self.uni[w] for w in rare) + 0.5 * (len(rare) + 1)) / size / (len(rare) + 1)
+
+    @staticmethod
+    def events(text):
+        words = ["<pad>", "<s>", *WORD.findall((text or "").translate(LOWER)), "</s>"]
+        return zip(words, words[1:], words[2:])
+
+    def score(self, text):
+        total = 0.0
+        for a, b, c in self.events(text):
+            p = self.p1.get(c, self.rest)
+            for counts in (self.n[0].get(b), self.n[1].get((a, b))):
+                if counts:
+                    n = sum(counts.values())
+                    p = max(counts[c] - self.discount, 0) / n + self.discount * len(counts) / n * p
+            total += math.log10(p)
+        return total

@@ -91,8 +91,8 @@ def test_language_model(docs, none):
     plain = [(r[0], r[1]) for r in rows()]
     tokens = [[*brute.WORD.findall((t or "").translate(brute.LOWER)), None] for _, t in plain]
     total = sum(map(len, tokens))
-    for base_words in (1_000_000, 3):  # with the table of counts joined or not
-        got = lm.score(docs, lm.train(docs, base_words=base_words, max_words=100 if base_words > 3 else 3)).collect()
+    for options in ({}, {"base_words": 3, "shard_tokens": 20_000}):  # all words broadcast or not, one shard or several
+        got = lm.score(docs, lm.train(docs, **options)).collect()
         assert sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in got if r["doc_id"] is not None) == sorted((i, len(t), len(t)) for (i, _), t in zip(plain, tokens, strict=True) if i is not None)
         assert {r["train_tokens"] for r in got} == {total} and all(r["base_score"] < 0 and r["score"] < 0 for r in got)
     assert lm.score(none, lm.train(docs)).count() == 0
@@ -100,20 +100,51 @@ def test_language_model(docs, none):
     assert {r["n_known"] for r in nothing} == {0} and {r["train_tokens"] for r in nothing} == {0}
 
 
-def test_language_model_sums_to_one(spark):
-    """Over all words that the trie knows and the unknown one, after any context, the probabilities add up to one."""
+def test_language_model_against_a_plain_one(spark):
+    """Every shard layout gives the probabilities of a model of dictionaries; all of a context add up to one."""
+    import random
+
+    import numpy as np
+
+    from flowjob.llm import lm
+    from flowjob.llm import textkit as K
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("aaaaabbbccdefghij") for _ in range(rng.randrange(30))) for _ in range(20)]
+    other = [" ".join(rng.choice("aabcxyz j") for _ in range(20)) for _ in range(20)] + ["a" * 90 + " b a", ""]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked = spark.createDataFrame(list(enumerate(texts + other)), "doc_id bigint, text string")
+    for base_words, shard_tokens in ((1000, 10**6), (4, 10**6), (1000, 60), (4, 37)):
+        model = lm.train(train, base_words=base_words, shard_tokens=shard_tokens)
+        v = model.words.value
+        frequent = [w for w in "abcdefghij" if v.index.find(K.split_words(lm.pa.array([w])).hashes(True))[0] >= 0]
+        plain = brute.PlainModel(texts, frequent, lm.DISCOUNT)
+        got = {r["doc_id"]: r["score"] for r in lm.score(asked, model).collect()}
+        for i, t in enumerate(texts + other):
+            assert abs(got[i] - plain.score(t)) < 1e-6, (base_words, shard_tokens, i)  # few enough different values for exact codes
+        tries = {r["shard"]: lm.Trie(bytes(r["trie"])) for r in model.tries.collect()}
+        assert len(tries) > (shard_tokens < 100)
+        code = {w: int(v.codes(K.split_words(lm.pa.array([w])).hashes(True))[1][0]) for w in "abcdefghijx"}
+        known = [lm.END, *(code[w] for w in "abcdefghij")]
+        for a, b in ((lm.PAD, lm.BEGIN), (lm.BEGIN, code["a"]), (code["a"], code["b"]), (code["j"], code["d"]), (code["x"], code["a"]), (code["a"], code["x"])):
+            ends = np.array([*known, code["x"]])
+            shard = int(v.shard_of(np.array([a]), np.array([b]))[0])
+            full = (np.full(len(ends), a), np.full(len(ends), b), ends)
+            logs = tries[shard].score(*full, v) if shard in tries else np.log10(v.probability(ends))
+            assert abs((10**logs).sum() - 1) < 1e-6
+
+
+def test_codebook():
     import numpy as np
 
     from flowjob.llm import lm
 
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b", "b c a", "c c a b", "a b a"])], "doc_id bigint, text string")
-    trie = lm.Trie(lm.SparkFiles.get(lm.train(docs).file))
-    for before in ([], [3], [3, 4], [4, 5], [5, 5], [0]):
-        total = 0.0
-        for w in (0, *range(2, trie.v)):
-            s = trie.score(np.array([lm.BEGIN, *before, w]), np.array([0]))
-            total += 10 ** (s[-1] - (trie.m["stranger"] if w == 0 else 0))
-        assert abs(total + 10 ** trie.a["b1"][lm.BEGIN] * 0 - 1) < 0.2
+    rng = np.random.default_rng(4)
+    for values in (np.zeros(0), rng.integers(0, 200, 5000) / 7, np.append(rng.normal(size=20_000), np.full(10_000, -1.0))):
+        codes, book = lm.codebook(values)
+        assert codes.dtype == np.uint8 and len(book) == 256
+        error = np.abs(book[codes] - values)
+        assert not len(values) or (error.max() < 1e-12 if len(np.unique(values)) < 257 else np.median(error) < 0.005)
 
 
 def test_near_duplicates(docs, none):
@@ -338,14 +369,53 @@ def test_elias_fano():
     from flowjob.llm.eliasfano import EliasFano
 
     rng = np.random.default_rng(1)
-    for n, universe in ((0, 10), (1, 1), (5, 1000), (1000, 1001), (20_000, 10**10)):
+    for n, universe in ((0, 10), (1, 1), (5, 1000), (1000, 1001), (20_000, 10**10), (5, 2**62)):
         v = np.unique(np.concatenate([rng.integers(0, universe, n), universe // 2 + rng.integers(0, max(universe // 2, 1), n // 4) % 5000])) if n else np.zeros(0, np.int64)
         v = v[v < universe]
         e = EliasFano.build(v, universe)
-        q = np.concatenate([v, rng.integers(0, universe, 500)])
+        q = np.concatenate([v, rng.integers(0, universe, 500), [universe, universe + 5]])
         at = np.searchsorted(v, q)
-        there = np.isin(q, v)
-        assert (e.find(q) == np.where(there, at, -1 - at)).all() and (not len(v) or (e.get(np.arange(len(v))) == v).all())
+        assert (e.find(q) == np.where(np.isin(q, v), at, -1 - at)).all() and (not len(v) or (e.get(np.arange(len(v))) == v).all())
+
+
+def test_lists_behind_monotone_pointers():
+    import numpy as np
+
+    from flowjob.llm.eliasfano import Ranges, from_buffer, mapped, to_bytes
+
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 6, 2000)
+    lists = [np.sort(rng.choice(50, n, False)) for n in sizes]
+    levels, arrays, meta = from_buffer(mapped(to_bytes({"r": Ranges.build(sizes, np.concatenate(lists))}, {"x": np.arange(3)}, {"a": 1})))
+    begin = np.append(0, np.cumsum(sizes))
+    i, q = rng.integers(0, 2000, 5000), rng.integers(0, 60, 5000)
+    want = [next((begin[a] + k for k, y in enumerate(lists[a].tolist()) if y == b), -1) for a, b in zip(i.tolist(), q.tolist(), strict=True)]
+    assert levels["r"].find(i, q).tolist() == want and arrays["x"].tolist() == [0, 1, 2] and meta == {"a": 1}
+
+
+def test_hashes_of_arranged_words():
+    """Words whose polynomials agree modulo 2**64 hash apart; numbers settle hashes by bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flowjob.llm import quality
+    from flowjob.llm import textkit as K
+
+    a, swap = "a", str.maketrans("ab", "ba")
+    for n in range(12):
+        a += a.translate(swap)
+        if n >= 8:
+            words = K.split_words(pa.array([f"{a} {a.translate(swap)}"]))
+            assert len(set(words.hashes().tolist())) == 2
+            assert quality.duplicate_lines(K.split_words(pa.array([f"{a}\n{a.translate(swap)}\n{a}"]))).tolist() == [1]
+    words = K.split_words(pa.array(["b a b ccccccccc a ccccccccd ccccccccc"]))
+    assert K.numbers(words.data, words.starts, words.ends).tolist() == [0, 1, 0, 3, 1, 5, 3]
+    right = K.span_hashes
+    try:
+        K.span_hashes = lambda data, starts, ends, lower=False: np.zeros(len(starts), np.uint64)
+        assert K.numbers(words.data, words.starts, words.ends).tolist() == [0, 1, 0, 3, 1, 5, 3]
+    finally:
+        K.span_hashes = right
 
 
 def test_kneser_ney_sums_to_one():
