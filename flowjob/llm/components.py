@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowjob.llm.tables import written
+from flowjob.llm.tables import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges a, b (no nulls) of any sortable type; gives node, root for every node with a link, root the least node of its component."""
     now, before = written(edges.select("a", "b").where("a <> b").distinct(), "edges"), None
     for _ in range(rounds):
-        now = written(_small(_large(now)), "stars")
+        last, now = now, written(_small(_large(now)), "stars")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -51,7 +51,7 @@ from flowjob.llm.tables import written
 #: Words that are broadcast with their counts.
 BASE_WORDS = 1_000_000
 #: Training tokens of one shard, about.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 DISCOUNT = 0.75
 PAD, BEGIN, END, ANY, FIRST = range(5)  # codes of marks; from FIRST on the frequent words
 _NARROW = 21  # bits of a frequent word's code

@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where none is named, as in tests."""
+    """The folder of spark.checkpoint.dir.
+
+    Where none is named, as in tests, one is made for a master of this machine
+    alone; on a cluster its executors could not see it, so that is an error.
+    """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), f"flowjob-checkpoints-{os.getpid()}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="flowjob-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    """The same rows, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    The shuffles of the write are removed as soon as it is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/flowjob-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote for these, which nothing may read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -36,12 +65,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def shared_file(spark: SparkSession, path: str) -> str:
-    """Copies a file of the driver to the shared folder; gives its place there."""
-    out = f"{shared_dir(spark).rstrip('/')}/{os.path.basename(path)}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(out)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), where)
-    return files.makeQualified(where).toString()
