@@ -20,8 +20,8 @@ tokens have p = (c + 0.5) / (N + 0.5 (V + 1)); words beyond the `base_words` mos
 frequent ones share the mean of theirs (and of one unknown word).  That bounds what is
 broadcast; pairs and triples with such words are kept like all others.
 
-Events (training counts, and the tokens to be scored) are dealt to the shards as arrays
-of packed numbers, and each document's parts are added up.  The base score needs exact
+Training counts and the tokens to be scored are dealt to the shards as arrays of packed
+numbers; a shard's task builds its trie, asks it, and each document's parts are added up.  The base score needs exact
 counts of every word: those of a text's words that are not among the broadcast ones are
 joined with the table of counts.  Words are told apart by 64-bit hashes (62 bits in
 shards).
@@ -129,9 +129,12 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int, shard_tokens: int):
         order = np.argsort(hashes)
         self.index, self.counts = Index(hashes[order]), counts[order]
+        by_count = np.argsort(-self.counts, kind="stable")  # the more frequent, the smaller the code
+        self.code_at = np.empty(len(counts), np.int64)
+        self.code_at[by_count] = np.arange(FIRST, FIRST + len(counts))
         self.tokens, self.types, self.texts = tokens, types, texts
         self.shards = max(1, -(-tokens // shard_tokens))
-        self.code_counts = np.concatenate([[0, texts, texts, 0], self.counts])  # by code; BEGIN stands in each text once
+        self.code_counts = np.concatenate([[0, texts, texts, 0], self.counts[by_count]])  # by code; BEGIN stands in each text once
         rare = max(types - (texts > 0) - len(counts), 0)
         rare_tokens = tokens - texts - int(counts.sum())
         size = tokens + 0.5 * (types + 1)
@@ -141,7 +144,10 @@ class Vocabulary:
     def codes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word its place among the frequent ones (-1: it is none) and its code."""
         at = self.index.find(hashes)
-        return at, np.where(at >= 0, at + FIRST, (hashes >> np.uint64(2)).astype(np.int64) | _RARE)
+        codes = (hashes >> np.uint64(2)).astype(np.int64) | _RARE
+        some = np.flatnonzero(at >= 0)
+        codes[some] = self.code_at[at[some]]
+        return at, codes
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
         narrow = codes < len(self.p1)
@@ -203,34 +209,57 @@ def _counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray | None =
     return tuple(np.concatenate(p) for p in zip(*outs, strict=True))
 
 
-def _shipped(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, aux: np.ndarray, base: int) -> Iterator[dict[str, pa.Array]]:
-    """Rows of up to _ENTRIES entries for a shard: shard, kind (1: packed, 2: wide), base, keys, aux."""
+def _planes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Entries as bytes, those of full rows byte by byte: all first bytes, then all second ones (they compress better so)."""
+    out = values.copy()
+    full = begin[np.diff(np.append(begin, len(values))) == _ENTRIES]
+    at = full[:, None] + np.arange(_ENTRIES)
+    out[at] = values[at].transpose(0, 2, 1).reshape(len(full), _ENTRIES, values.shape[1])
+    return out
+
+
+def _from_planes(rows: list[bytes], width: int) -> np.ndarray:
+    full = _ENTRIES * width
+    flat = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+    sizes = np.array([len(r) for r in rows], np.int64)
+    out = flat.copy()
+    at = ((np.cumsum(sizes) - sizes) // width)[sizes == full][:, None] + np.arange(_ENTRIES)
+    out[at] = flat[at].reshape(len(at), width, _ENTRIES).transpose(0, 2, 1)
+    return out
+
+
+def _shipped(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, aux: np.ndarray, base: int, first_kind: int) -> Iterator[dict[str, pa.Array]]:
+    """Rows of up to _ENTRIES entries for a shard: shard, kind (the first one: three bytes for each word; the next: eight), base, keys, aux."""
     wide = (a | b | c) >> _NARROW > 0
-    for kind, some in ((1, np.flatnonzero(~wide)), (2, np.flatnonzero(wide))):
+    for kind, some in ((0, np.flatnonzero(~wide)), (1, np.flatnonzero(wide))):
         if not len(some):
             continue
-        order = some[np.argsort(shard[some].astype(np.int32), kind="stable")]
+        order = some[np.argsort(shard[some].astype(np.uint16 if shard.max() < 1 << 16 else np.int64), kind="stable")]
         s = shard[order]
         begin = np.flatnonzero(np.diff(s, prepend=-1))
         place = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
         begin = np.flatnonzero(place % _ENTRIES == 0)
-        keys = _packed(a[order], b[order], c[order]) if kind == 1 else np.stack([a[order], b[order], c[order]], 1)
+        words = [x[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, : 8 if kind else 3] for x in (c, a, b)]
         offsets = np.append(begin, len(s)).astype(np.int32)
 
-        def binary(values: np.ndarray, width: int, offsets=offsets, rows=len(begin)) -> pa.Array:
-            return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets * np.int32(width)), pa.py_buffer(np.ascontiguousarray(values))])
+        def binary(values: np.ndarray, offsets=offsets) -> pa.Array:
+            planes = _planes(values, offsets[:-1])
+            return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets * np.int32(values.shape[1])), pa.py_buffer(planes)])
 
         x = aux[order]
-        yield {"shard": pa.array(s[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), kind, np.int8)), "base": pa.array(np.full(len(begin), base, np.int64)), "keys": binary(keys, 8 if kind == 1 else 24), "aux": binary(x, x.dtype.itemsize)}
+        yield {"shard": pa.array(s[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), first_kind + kind, np.int8)), "base": pa.array(np.full(len(begin), base, np.int64)), "keys": binary(np.concatenate(words, 1)), "aux": binary(x.view(np.uint8).reshape(len(x), -1))}
 
 
-def _entries(kinds: list[int], keys: list[bytes], aux: list[bytes], aux_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, c and aux of shipped rows, packed ones first."""
-    packed = np.frombuffer(b"".join(k for k, t in zip(keys, kinds, strict=True) if t == 1), np.int64)
-    wide = np.frombuffer(b"".join(k for k, t in zip(keys, kinds, strict=True) if t == 2), np.int64).reshape(-1, 3)
-    x = np.frombuffer(b"".join([*(v for v, t in zip(aux, kinds, strict=True) if t == 1), *(v for v, t in zip(aux, kinds, strict=True) if t == 2)]), aux_type)
-    mask = (1 << _NARROW) - 1
-    return np.append(packed >> _NARROW & mask, wide[:, 0]), np.append(packed >> 2 * _NARROW, wide[:, 1]), np.append(packed & mask, wide[:, 2]), x
+def _entries(keys: tuple[list[bytes], list[bytes]], aux: tuple[list[bytes], list[bytes]], aux_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, c and aux of shipped rows, narrow ones first."""
+    parts = []
+    for rows, width in zip(keys, (3, 8), strict=True):
+        flat = np.zeros((sum(map(len, rows)) // (3 * width), 3, 8), np.uint8)
+        flat[:, :, :width] = _from_planes(rows, 3 * width).reshape(-1, 3, width)
+        parts.append(flat.reshape(-1).view("<i8").reshape(-1, 3))
+    c, a, b = np.ascontiguousarray(np.concatenate(parts).T)
+    width = np.dtype(aux_type).itemsize
+    return a, b, c, np.concatenate([_from_planes(rows, width).reshape(-1).view(aux_type) for rows in aux])
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -375,8 +404,31 @@ class Trie:
 # ---------------------------------------------------------------- over the documents
 
 
+#: Kinds of rows on their way to a shard; those of training and of tokens have a narrow and a wide form.
+TRIE, COUNTS, TOKENS, DOCUMENT = 0, 1, 3, 5
+_WAYS = "shard int, kind tinyint, base bigint, keys binary, aux binary"
+
+
+class _Shard:
+    """What came of a shard's training counts so far, and the trie of them."""
+
+    def __init__(self, words: Vocabulary):
+        self.words, self.keys, self.counts = words, ([], []), ([], [])
+
+    def add(self, kind: int, keys: bytes, counts: bytes) -> None:
+        self.keys[kind - COUNTS].append(keys)
+        self.counts[kind - COUNTS].append(counts)
+
+    def built(self) -> bytes | None:
+        return build(*_entries(self.keys, self.counts, np.uint8), self.words) if any(self.keys) else None
+
+
 class Model:
-    """What ``train`` gives to ``score``: the broadcast vocabulary, the table of counts, the table of tries (shard, trie)."""
+    """What ``train`` gives to ``score``: the broadcast vocabulary, the table of counts, and `rows` for the shards.
+
+    The rows are training counts, which ``score`` brings to the shards along with
+    the tokens, or, once ``keep_tries`` has written these, the tries.
+    """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, base_words: int, shard_tokens: int):
         if base_words > (1 << _NARROW) - FIRST:
@@ -397,32 +449,39 @@ class Model:
                     times = v.salts(b2)
                     times[times == 1] = 0  # a word of one shard has its pairs there in its triples
                     salt = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                    b2, c2, n2 = (np.repeat(y, times) for y in (b2, c2, n2))
-                    shard = np.append(v.shard_of(a, b), v.shard(b2, salt))
+                    which = np.repeat(np.arange(len(b2)), times)
+                    which, shard = np.divmod(K.distinct(which * v.shards + v.shard(b2[which], salt)), v.shards)  # once to each shard
+                    b2, c2, n2 = b2[which], c2[which], n2[which]
+                    shard = np.append(v.shard_of(a, b), shard)
                     more, parts = _bytes_of(np.append(n, n2))
                     entries = (shard, np.append(a, np.full(len(b2), ANY)), np.append(b, b2), np.append(c, c2))
-                    for row in _shipped(*(np.repeat(y, more) for y in entries), parts, 0):
+                    for row in _shipped(*(np.repeat(y, more) for y in entries), parts, 0, COUNTS):
                         yield pa.RecordBatch.from_pydict(row)
 
+        self.rows = docs.select("text").mapInArrow(emit, _WAYS)
+
+    def keep_tries(self) -> Model:
+        """Writes the tries in the shared folder, so that they are built once for any number of calls of ``score``."""
+        held = self.words
+
         def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, held_rows = None, ([], [], [])
+            now, shard = None, None
 
             def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([build(*_entries(*held_rows, np.uint8), held.value)], pa.binary())], ["shard", "trie"])
+                return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "kind": pa.array([TRIE], pa.int8()), "base": pa.nulls(1, pa.int64()), "keys": pa.array([shard.built()], pa.binary()), "aux": pa.nulls(1, pa.binary())})
 
             for x in batches:
-                for shard, *row in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True):
-                    if shard != now:
+                for number, kind, keys, aux in zip(*(x.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                    if number != now:
                         if now is not None:
                             yield made()
-                        now, held_rows = shard, ([], [], [])
-                    for y, value in zip(held_rows, row, strict=True):
-                        y.append(value)
+                        now, shard = number, _Shard(held.value)
+                    shard.add(kind, keys, aux)
             if now is not None:
                 yield made()
 
-        rows = docs.select("text").mapInArrow(emit, "shard int, kind tinyint, base bigint, keys binary, aux binary")
-        self.tries = written(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(tries, "shard int, trie binary"), "tries")
+        self.rows = written(self.rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(tries, _WAYS), "tries")
+        return self
 
 
 def train(documents: DataFrame, *, text_col: str = "text", base_words: int = BASE_WORDS, shard_tokens: int = SHARD_TOKENS) -> Model:
@@ -434,7 +493,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held = model.words
-    ways = T._parse_datatype_string("shard int, kind tinyint, base bigint, keys binary, aux binary")
+    ways = T._parse_datatype_string(_WAYS)
     facts = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_tokens bigint, known bigint, logs double, rare array<bigint>, score double").fields])
     names = [*ways.names, *facts.names]
     schema = T.StructType([*ways.fields, *facts.fields])
@@ -444,7 +503,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
         return pa.RecordBatch.from_arrays([given[n] if n in given else pa.nulls(rows, kinds[n]) for n in names], names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens on their way to the shards, and, with kind 3, each document's own facts."""
+        """Tokens on their way to the shards, and each document's own facts."""
         v, row = held.value, TaskContext.get().partitionId() << 33
         for x in batches:
             for i, j in _chunks(x.column(1)):
@@ -459,58 +518,64 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
                 np.cumsum(K.sums((at < 0).astype(np.int64), words.ptr), out=ptr[1:])
                 own = np.arange(row, row + j - i)
                 rare = pa.ListArray.from_arrays(pa.array(ptr), pa.array(h[at < 0].view(np.int64)))
-                yield filled(j - i, shard=pa.array((own % v.shards).astype(np.int32)), kind=pa.array(np.full(j - i, 3, np.int8)), base=pa.array(own), doc_id=x.column(0)[i:j], n_tokens=pa.array(words.counts.astype(np.int64) + 1), known=pa.array(known), logs=pa.array(logs), rare=rare)
-                for part in _shipped(v.shard_of(a, b), a, b, c, text.astype(np.uint16), row):
+                yield filled(j - i, shard=pa.array((own % v.shards).astype(np.int32)), kind=pa.array(np.full(j - i, DOCUMENT, np.int8)), base=pa.array(own), doc_id=x.column(0)[i:j], n_tokens=pa.array(words.counts.astype(np.int64) + 1), known=pa.array(known), logs=pa.array(logs), rare=rare)
+                order = np.argsort(_packed(a, b, c))
+                a, b, c, text = a[order], b[order], c[order], text[order]
+                for part in _shipped(v.shard_of(a, b), a, b, c, text.astype(np.uint16), row, TOKENS):
                     yield filled(len(part["shard"]), **part)
                 row += j - i
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's trie comes first (kind 0), then the tokens; the sums of each document's tokens go out."""
-        now, trie, waiting, size = None, None, ([], [], [], []), 0
+        """A shard's trie or counts come first, then the tokens; the sums of each document's tokens go out."""
+        v = held.value
+        now, shard, trie = None, None, None
+        waiting: list[tuple[int, bytes, bytes, int]] = []
+        size = 0
 
         def sums() -> pa.RecordBatch:
-            order = sorted(range(len(waiting[0])), key=lambda i: waiting[0][i])  # packed rows first, as entries come
-            base = np.repeat(np.array([waiting[3][i] for i in order]), [len(waiting[2][i]) // 2 for i in order])
-            a, b, c, text = _entries(*([w[i] for i in order] for w in waiting[:3]), np.uint16)
-            wide = (a | b | c) >> _NARROW > 0
-            packed = int((~wide).sum())
-            key = _packed(a[:packed], b[:packed], c[:packed])
+            by = [[w for w in waiting if w[0] == k] for k in (TOKENS, TOKENS + 1)]
+            a, b, c, text = _entries(tuple([w[1] for w in rows] for rows in by), tuple([w[2] for w in rows] for rows in by), np.uint16)
+            doc = text + np.repeat([w[3] for rows in by for w in rows], [len(w[2]) // 2 for rows in by for w in rows])
+            narrow = sum(len(w[2]) for w in by[0]) // 2
+            key = _packed(a[:narrow], b[:narrow], c[:narrow])
             order = np.argsort(key)
             new = np.diff(key[order], prepend=-1) != 0
-            back = np.empty(packed, np.int64)
+            back = np.empty(narrow, np.int64)
             back[order] = np.cumsum(new) - 1
-            pick = np.append(order[new], np.arange(packed, len(a)))
-            if trie is None:
-                got = np.log10(held.value.probability(c[pick]))
-            else:
-                got = trie.score(a[pick], b[pick], c[pick], held.value)
+            pick = np.append(order[new], np.arange(narrow, len(a)))
+            got = trie.score(a[pick], b[pick], c[pick], v) if trie else np.log10(v.probability(c[pick]))
             values = np.append(got[: int(new.sum())][back], got[int(new.sum()) :])
-            doc, at = np.unique(base + text, return_inverse=True)
-            return filled(len(doc), base=pa.array(doc), score=pa.array(np.bincount(at, values, len(doc))))
+            order = np.argsort(doc, kind="stable")
+            begin = np.flatnonzero(np.diff(doc[order], prepend=-1))
+            return filled(len(begin), base=pa.array(doc[order][begin]), score=pa.array(np.add.reduceat(values[order], begin)))
 
         for x in batches:
-            kind = np.asarray(x.column(1))
-            if len(done := np.flatnonzero(kind == 3)):
+            kinds = np.asarray(x.column(1))
+            if len(done := np.flatnonzero(kinds == DOCUMENT)):
                 yield x.take(pa.array(done))
-            part = x.take(pa.array(np.flatnonzero(kind < 3)))
-            for shard, *row in zip(*(part.column(k).to_pylist() for k in (0, 1, 3, 4, 2)), strict=True):
-                if shard != now or size > 1 << 19:
+            part = x.take(pa.array(np.flatnonzero(kinds != DOCUMENT)))
+            for number, kind, keys, aux, base in zip(*(part.column(k).to_pylist() for k in (0, 1, 3, 4, 2)), strict=True):
+                if number != now or size > 1 << 19:
                     if size:
                         yield sums()
-                    waiting, size = ([], [], [], []), 0
-                if shard != now:
-                    now, trie = shard, None
-                if row[0] == 0:
-                    trie = Trie(row[1])
-                    continue
-                for y, value in zip(waiting, row, strict=True):
-                    y.append(value)
-                size += len(row[2]) // 2
+                    waiting, size = [], 0
+                if number != now:
+                    now, shard, trie = number, _Shard(v), None
+                if kind == TRIE:
+                    trie = Trie(keys)
+                elif kind < TOKENS:
+                    shard.add(kind, keys, aux)
+                else:
+                    if shard is not None:
+                        raw, shard = shard.built(), None
+                        trie = Trie(raw) if raw else trie
+                    waiting.append((kind, keys, aux, base))
+                    size += len(aux) // 2
         if size:
             yield sums()
 
-    tries = model.tries.select("shard", F.lit(0).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("base"), F.col("trie").alias("keys"), F.lit(None).cast("binary").alias("aux"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.fields))
-    rows = docs.mapInArrow(emit, schema).unionByName(tries).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look, schema)
+    more = model.rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.fields))
+    rows = docs.mapInArrow(emit, schema).unionByName(more).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look, schema)
     whole = rows.groupBy("base").agg(*(F.max(n).alias(n) if n != "rare" else F.first(n, ignorenulls=True).alias(n) for n in facts.names if n != "score"), F.sum("score").alias("score"))
     whole = written(whole.withColumnRenamed("base", "row"), "scored")
     each = whole.select("row", F.explode("rare").alias("key"))
