@@ -56,7 +56,7 @@ DISCOUNT = 0.75
 PAD, BEGIN, END, ANY, FIRST = range(5)  # codes of marks; from FIRST on the frequent words
 _NARROW = 21  # bits of a frequent word's code
 _RARE = 1 << 62  # other words' codes: this, and 62 bits of their hash
-_ENTRIES = 256  # of one row on its way to a shard
+_ENTRIES = 512  # of one row on its way to a shard
 CHUNK_BYTES, CHUNK_TEXTS = 4 << 20, 1 << 16
 
 
@@ -157,7 +157,7 @@ class Vocabulary:
         """To how many shards a middle word is dealt."""
         narrow = middle < len(self.code_counts)
         n = np.where(narrow, self.code_counts[np.where(narrow, middle, 0)], 0)
-        return np.minimum(1 + n * self.shards // max(self.tokens, 1), self.shards)
+        return np.minimum(1 + n * self.shards // max(2 * self.tokens, 1), self.shards)
 
     def shard(self, middle: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return (K.mix(middle.astype(np.uint64) + K.mix(salt.astype(np.uint64))) % np.uint64(self.shards)).astype(np.int64)
@@ -405,7 +405,7 @@ class Trie:
 
 
 #: Kinds of rows on their way to a shard; those of training and of tokens have a narrow and a wide form.
-TRIE, COUNTS, TOKENS, DOCUMENT = 0, 1, 3, 5
+TRIE, COUNTS, TOKENS, SUMS, DOCUMENT = 0, 1, 3, 5, 6
 _WAYS = "shard int, kind tinyint, base bigint, keys binary, aux binary"
 
 
@@ -532,7 +532,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
         waiting: list[tuple[int, bytes, bytes, int]] = []
         size = 0
 
-        def sums() -> pa.RecordBatch:
+        def sums() -> tuple[np.ndarray, np.ndarray]:
             by = [[w for w in waiting if w[0] == k] for k in (TOKENS, TOKENS + 1)]
             a, b, c, text = _entries(tuple([w[1] for w in rows] for rows in by), tuple([w[2] for w in rows] for rows in by), np.uint16)
             doc = text + np.repeat([w[3] for rows in by for w in rows], [len(w[2]) // 2 for rows in by for w in rows])
@@ -545,10 +545,20 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
             pick = np.append(order[new], np.arange(narrow, len(a)))
             got = trie.score(a[pick], b[pick], c[pick], v) if trie else np.log10(v.probability(c[pick]))
             values = np.append(got[: int(new.sum())][back], got[int(new.sum()) :])
+            return doc, values
+
+        def merged() -> pa.RecordBatch:
+            """One row for each part of the documents: their numbers, and the sums of their tokens."""
+            doc, values = (np.concatenate(x) for x in zip(*held_sums, strict=True))
             order = np.argsort(doc, kind="stable")
             begin = np.flatnonzero(np.diff(doc[order], prepend=-1))
-            return filled(len(begin), base=pa.array(doc[order][begin]), score=pa.array(np.add.reduceat(values[order], begin)))
+            doc, values = doc[order][begin], np.add.reduceat(values[order], begin).astype(np.float32)
+            cut = np.append(np.flatnonzero(np.diff(doc >> 33, prepend=-1)), len(doc)).astype(np.int32)
+            number = (doc & (1 << 33) - 1).astype(np.uint32)
+            binary = lambda y: pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut * np.int32(4)), pa.py_buffer(y)])
+            return filled(len(cut) - 1, kind=pa.array(np.full(len(cut) - 1, SUMS, np.int8)), base=pa.array(doc[cut[:-1]]), keys=binary(number), aux=binary(values))
 
+        held_sums, n_held = [], 0
         for x in batches:
             kinds = np.asarray(x.column(1))
             if len(done := np.flatnonzero(kinds == DOCUMENT)):
@@ -557,8 +567,12 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
             for number, kind, keys, aux, base in zip(*(part.column(k).to_pylist() for k in (0, 1, 3, 4, 2)), strict=True):
                 if number != now or size > 1 << 19:
                     if size:
-                        yield sums()
+                        held_sums.append(sums())
+                        n_held += size
                     waiting, size = [], 0
+                    if n_held > 1 << 22:
+                        yield merged()
+                        held_sums, n_held = [], 0
                 if number != now:
                     now, shard, trie = number, _Shard(v), None
                 if kind == TRIE:
@@ -572,12 +586,34 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
                     waiting.append((kind, keys, aux, base))
                     size += len(aux) // 2
         if size:
-            yield sums()
+            held_sums.append(sums())
+        if held_sums:
+            yield merged()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of a part's documents come first, then their facts."""
+        now, total = None, np.zeros(0)
+        for x in batches:
+            done = []
+            for i, (part, kind) in enumerate(zip((np.asarray(x.column(2)) >> 33).tolist(), x.column(1).to_pylist(), strict=True)):
+                if part != now:
+                    now, total = part, np.zeros(0)
+                if kind == SUMS:
+                    at, values = np.frombuffer(x.column(3)[i].as_py(), np.uint32), np.frombuffer(x.column(4)[i].as_py(), np.float32)
+                    if len(total) <= at[-1]:
+                        total = np.append(total, np.zeros(max(int(at[-1]) + 1 - len(total), len(total))))
+                    total[at] += values
+                else:
+                    done.append((i, total[int(x.column(2)[i].as_py()) & (1 << 33) - 1]))
+            if done:
+                docs = x.take(pa.array([i for i, _ in done]))
+                score = pa.array([v for _, v in done])
+                yield pa.RecordBatch.from_arrays([docs.column(2), *(score if n == "score" else docs.column(names.index(n)) for n in facts.names)], ["row", *facts.names])
 
     more = model.rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.fields))
     rows = docs.mapInArrow(emit, schema).unionByName(more).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look, schema)
-    whole = rows.groupBy("base").agg(*(F.max(n).alias(n) if n != "rare" else F.first(n, ignorenulls=True).alias(n) for n in facts.names if n != "score"), F.sum("score").alias("score"))
-    whole = written(whole.withColumnRenamed("base", "row"), "scored")
+    parts = rows.withColumn("part", F.shiftright("base", 33)).repartition("part").sortWithinPartitions("part", "kind").drop("part")
+    whole = written(parts.mapInArrow(finish, T.StructType([T.StructField("row", T.LongType()), *facts.fields])), "scored")
     each = whole.select("row", F.explode("rare").alias("key"))
     found = each.join(model.counts, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(2.0 * F.col("n") + 1)).alias("add"))
     v = held.value
