@@ -1,19 +1,28 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements (a tolerant parser: void elements, implied ends
-of p, li, cells and options, stray and missing end tags).  Elements that are never
-main text - scripts, styles, menus, forms and the like, by tag, role, or the words
-of class and id - are taken out first.  Every other element gets the composite text
-density of Sun, Song and Liao (2011), its characters per tag, adjusted for links:
+of p, li, cells and options, stray and missing end tags).  Elements that hold no page
+text by what they are - scripts, styles, menus (nav), forms, frames, footers, asides,
+by tag or role, or hidden - are taken out.  Names of classes and ids are never read.
+Every other element gets the composite text density of Sun, Song and Liao (2011), its
+characters per tag, adjusted for links:
 
     C/T * log(C/LC * T/LT) / log(ln(C * LC/NLC + C * LCb/Cb + e))
 
 with characters C, tags T, link characters LC and link tags LT, characters outside
 links NLC, and b for the body; what is counted as none counts as one.  The element
-with the largest sum of its children's densities is the core of the main text.  The
-least density on the path from the body to it is the threshold; the core is widened
-to each ancestor in turn as long as everything else below that ancestor reaches the
-threshold, and to an enclosing article or main element in any case.
+with the largest sum of its block children's densities is the core of the main text;
+single lines in containers don't count beside children that have blocks.  The
+least density on the path from the body to it is the threshold for what is around the
+core and in it:
+
+- The core is widened to its parent, and so on, while everything else there is text of
+  the article too: headings, or elements of the threshold's density that are text
+  elements (p, lists, tables, quotes) or of the same tag as the part at hand and, like
+  it, made of blocks.
+- Within it, containers (div, section and the like; lists and tables if most of their
+  characters are links) below the threshold go, unless they hold the h1, or most of
+  the core's text stands right in elements of their own tag.
 
 Its text is given block by block, one line each, white space in a block made one
 space.  Defined results: a null, empty or textless page gives an empty string;
@@ -26,6 +35,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,11 +61,10 @@ _IMPLIED = {
 }
 _GONE = frozenset("head script style noscript template nav aside footer form button select textarea input iframe object embed svg canvas audio video map dialog menu title link meta label fieldset xmp noembed noframes".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_WORDS = frozenset(
-    "nav navbar navigation menu menus submenu header masthead topbar footer foot sidebar sidebars aside ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar copyright skip tags rail".split()
-)
-_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup hr header".split())
+_TEXT = frozenset("p ul ol dl table blockquote pre figure".split())
+_LISTS = frozenset("ul ol dl table".split())
+_CONTAINERS = frozenset("div section article details center address".split())
 
 
 class Tree:
@@ -109,7 +118,7 @@ class Tree:
         self.tags.append(name)
         self.parents.append(self._open[-1])
         self.pieces.append([])
-        self.gone.append(name in _GONE or bool(attrs) and boilerplate(name, attrs))
+        self.gone.append(name in _GONE or bool(attrs) and hidden(attrs))
         self.pieces[self._open[-1]].append(number)
         if name not in _VOID and not (attrs.endswith("/") and name not in _BLOCKS and name not in _RAW):
             self._open.append(number)
@@ -121,20 +130,15 @@ class Tree:
                 return
 
 
-def boilerplate(name: str, attrs: str) -> bool:
-    if name in ("html", "body"):
-        return False
-    words: list[str] = []
+def hidden(attrs: str) -> bool:
+    """Whether the element isn't shown, or its role is none of text."""
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id"):
-            if name not in ("article", "main"):
-                words += _SPLIT.split(value)
-        elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return any(w.lower() in _WORDS for w in words)
+    return False
 
 
 def density(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> float:
@@ -152,7 +156,7 @@ def main_text(page: str | None) -> str:
     tree = Tree(page)
     tags, parents, n = tree.tags, tree.parents, len(tree.tags)
     gone = tree.gone
-    in_article, in_link = [False] * n, [False] * n
+    in_article, in_link, own = [False] * n, [False] * n, [0] * n
     has_title = [False] * n
     for i in range(n - 1, 0, -1):
         if tags[i] == "h1" or has_title[i]:
@@ -168,9 +172,9 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, -1, -1):
         if gone[i]:
             continue
-        own = sum(len("".join(x.split())) for x in tree.pieces[i] if x.__class__ is str)
-        chars[i] += own
-        link_chars[i] += own if in_link[i] else 0
+        own[i] = sum(len("".join(x.split())) for x in tree.pieces[i] if x.__class__ is str)
+        chars[i] += own[i]
+        link_chars[i] += own[i] if in_link[i] else 0
         if i:
             p = parents[i]
             chars[p] += chars[i]
@@ -179,24 +183,50 @@ def main_text(page: str | None) -> str:
             link_marks[p] += link_marks[i] + (tags[i] == "a")
     body = next((i for i in range(1, n) if tags[i] == "body" and not gone[i]), 0)
     dense = [0.0 if gone[i] else density(chars[i], marks[i], link_chars[i], link_marks[i], chars[body], link_chars[body]) for i in range(n)]
-    total = [0.0] * n
-    for i in range(1, n):
-        if not gone[i]:
-            total[parents[i]] += dense[i]
-    core = max(range(n), key=lambda i: (total[i], -i)) if any(total) else body
+    total, lines, bears = [0.0] * n, [0.0] * n, [False] * n
+    for i in range(n - 1, -1, -1):
+        if not bears[i]:
+            total[i] += lines[i]
+        if i and not gone[i] and tags[i] in _BLOCKS:  # marks inside a line make no part of a page
+            p = parents[i]
+            bears[p] = bears[p] or total[i] > 0
+            if tags[i] in _CONTAINERS and not total[i]:
+                lines[p] += dense[i]  # a line in no text element counts where it isn't beside parts of blocks
+            else:
+                total[p] += dense[i]
+    core = max(range(body, n), key=lambda i: (total[i], -i))
     path = [core]
     while path[-1] not in (body, 0):
         path.append(parents[path[-1]])
     threshold = min(dense[i] for i in path)
+
+    def fits(k: int, below: int) -> bool:
+        """Whether k, beside `below`, is text of the article too."""
+        if tags[k] in _HEADINGS:
+            return True
+        alike = tags[k] == tags[below] and (total[k] > 0) == (total[below] > 0)
+        return dense[k] >= threshold and (tags[k] in _TEXT or alike)
+
     top = core
-    for i, below in zip(path[1:], path, strict=False):
-        others = [k for k in tree.pieces[i] if k.__class__ is int and k != below and not gone[k] and chars[k]]
-        if top != below or any(dense[k] < threshold for k in others):
+    for i in path[1:]:
+        others = [k for k in tree.pieces[i] if k.__class__ is int and k != top and not gone[k] and chars[k]]
+        if not all(fits(k, top) for k in others):
             break
         top = i
-    for i in path:
-        if tags[i] in ("article", "main"):
-            top = min(top, i)
+    inside, block, held = [False] * n, [0] * n, Counter()
+    inside[top], block[top] = True, top
+    for i in range(top, n):
+        if i != top:
+            inside[i] = inside[parents[i]] and not gone[i]
+            block[i] = i if tags[i] in _BLOCKS else block[parents[i]]
+        if inside[i]:
+            held[tags[block[i]]] += own[i]
+    bearing = max(held, key=lambda t: held[t])
+    for i in range(top + 1, n):
+        gone[i] = gone[i] or gone[parents[i]]
+        if inside[i] and not gone[i] and chars[i] and dense[i] < threshold and not has_title[i]:
+            links = 2 * link_chars[i] > chars[i]
+            gone[i] = tags[i] in _CONTAINERS and (links or tags[i] != bearing) or tags[i] in _LISTS and links
     return "\n".join(blocks(tree, top, gone))
 
 

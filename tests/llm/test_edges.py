@@ -297,8 +297,8 @@ def test_html():
         "": "",
         "plain  text\n here": "plain text here",
         "<body><nav><a href=x>m</a></nav><article><h1>T</h1><p>A &amp; b<br>c<p>D</article><footer>f</footer>": "T\nA & b c\nD",
-        "<div class='post'><p>One long paragraph of text that is the main part.</p><p>And another.</p></div><div class=sidebar>x y</div><div id=comments><p>first!</p></div>": "One long paragraph of text that is the main part.\nAnd another.",
-        "<article><p>a</p><div class='ad'>buy</div><form><input><button>go</button></form><aside>s</aside><p>b</p><script>var x='</p>'</script><ul><li>i<li>j</ul></article>": "a\nb\ni\nj",
+        f"<div class='post'><p>{PROSE}.</p><p>And another.</p></div><div class=sidebar>x y</div><div id=comments><p>first!</p></div>": f"{PROSE}.\nAnd another.",
+        f"<article><p>{PROSE}</p><div class='ad'>buy</div><form><input><button>go</button></form><aside>s</aside><p>b</p><script>var x='</p>'</script><ul><li>{PROSE}<li>j</ul></article>": f"{PROSE}\nb\n{PROSE}\nj",
         "<p>unclosed <b>bold": "unclosed bold",
         "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>": "deep",
         "<article><p>" + "word " * 100_000 + "</p></article>": ("word " * 100_000).strip(),
@@ -307,6 +307,32 @@ def test_html():
         assert main_text(page) == text, page and page[:80]
 
 
+def page(main, around="<div>{}</div>"):
+    links = "".join(f"<li><a href=/{i}>entry {i}</a></li>" for i in range(8))
+    return f"<html><head><title>t</title></head><body><div><ul>{links}</ul></div><div>Buy one, get one free.</div>{around.format(main)}<div><ul>{links}</ul></div><div>Imprint and contact.</div></body></html>"
+
+
+def test_html_by_density(monkeypatch):
+    """No article or nav elements, wrappers whose names mislead, short paragraphs, titles in wrappers: density decides, and only density."""
+    from flowjob.llm import html
+
+    body = f"<h1>A title</h1><p>{PROSE}. {PROSE}.</p><p>Short.</p><p>{PROSE}, {PROSE}.</p>"
+    text = f"A title\n{PROSE}. {PROSE}.\nShort.\n{PROSE}, {PROSE}."
+    for around in ("<div>{}</div>", "<article>{}</article>", "<div id='page' class='has-sidebar'><div class='content-with-sidebar'>{}</div></div>", "<section class='social-science'>{}</section>", "<main><div class='ad'>{}</div></main>"):
+        assert html.main_text(page(body, around)) == text, around
+    titled = body.replace("<h1>A title</h1>", "<div class='entry-header'><h1>A title</h1></div>")
+    assert html.main_text(page(titled)) == text
+    parts = f"<section><h2>One</h2><p>{PROSE}.</p><p>{PROSE}!</p></section><section><h2>Two</h2><p>{PROSE}?</p></section>"
+    assert html.main_text(page(parts)) == f"One\n{PROSE}.\n{PROSE}!\nTwo\n{PROSE}?"
+    inner = body.replace("<p>Short.</p>", "<div><a href=x>share</a> <a href=y>mail</a></div><p>Short.</p><div>Advert</div>")
+    assert html.main_text(page(inner)) == text
+    lines = f"<div>{PROSE}.</div><div>Short.</div><div>{PROSE}!</div>"
+    assert html.main_text(page(lines)) == f"{PROSE}.\nShort.\n{PROSE}!"
+    for without in (lambda *a: 0.0, lambda *a: 1.0):
+        monkeypatch.setattr(html, "density", without)
+        assert "Buy one" in html.main_text(page(body)) or html.main_text(page(body)) != text
+
+
 def test_html_tables(spark):
     from flowjob.llm import html
 
