@@ -165,3 +165,65 @@ class PlainModel:
                     p = max(counts[c] - self.discount, 0) / n + self.discount * len(counts) / n * p
             total += math.log10(p)
         return total
+
+
+def line_dedup(rows, long_words=10, near=2):
+    """Content-defined chunks of lines, one dictionary of their lines; rows (doc_id, text) with different ids, in order."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flowjob.llm import textkit as K
+
+    def roll(x, y):
+        data = pa.array([x, y])
+        h = K.span_hashes(*K.buffers(data)[:1], *(np.array(v) for v in zip(*[(0, len(x.encode())), (len(x.encode()), len((x + y).encode()))])))
+        return int(K.pair(h[:1], h[1:])[0])
+
+    seen, out = {}, {}
+    for doc_id, text in rows:
+        every = text.split("\n")
+        at = [i for i, x in enumerate(every) if WORD.search(x)]
+        some = [every[i] for i in at]
+        long = [len(WORD.findall(x)) >= long_words for x in some]
+        r = [None if long[i] or long[i + 1] else roll(some[i], some[i + 1]) for i in range(len(some) - 1)]
+
+        def boundary(i):
+            if r[i] is None:
+                return True
+            return (i > 0 and r[i - 1] is not None and r[i] <= r[i - 1]) or (i + 1 < len(r) and r[i + 1] is not None and r[i] < r[i + 1])
+
+        parts, begin = [], 0
+        for i in range(len(some)):
+            if i + 1 == len(some) or boundary(i):
+                first, last = begin, i
+                if first == last and not long[first]:
+                    if last + 1 < len(some):
+                        last += 1
+                    elif first:
+                        first -= 1
+                    else:
+                        first = last + 1
+                if first <= last:
+                    parts.append((first, last))
+                begin = i + 1
+        gone = set()
+        for first, last in parts:
+            key = tuple(some[first : last + 1])
+            if key not in seen:
+                seen[key] = (some, first, last)
+                continue
+            there, f, t = seen[key]
+            gone.update(at[first : last + 1])
+            for step, here, other in ((-1, first, f), (1, last, t)):
+                for k in range(1, near + 1):
+                    i, j = here + step * k, other + step * k
+                    if not (0 <= i < len(some) and 0 <= j < len(there)) or some[i] != there[j]:
+                        break
+                    gone.add(at[i])
+        keep, last = [], False
+        for i, x in enumerate(every):
+            last = i in gone if i in at else last
+            if not last:
+                keep.append(x)
+        out[doc_id] = "" if gone and len(gone) == len(at) else "\n".join(keep)
+    return out

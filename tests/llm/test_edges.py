@@ -236,7 +236,7 @@ def test_line_dedup_of_short_passages(spark):
     rng = random.Random(11)
     line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
     for gap in ("\n", "\n\n", "\n \n\n"):
-        passages = [[line(n) for n in sizes] for sizes in ([60], [10], [30, 30], [3, 3], [40, 2], [2, 40], [3, 1, 4], [20] * 5, [5] * 20) for _ in range(5)]
+        passages = [[line(n) for n in sizes] for sizes in ([60], [10], [30, 30], [40, 2], [2, 40], [3, 2, 40, 1, 3], [3] * 5, [9] * 6, [3, 1, 4] * 4, [20] * 5, [5] * 20) for _ in range(5)]
         plain = [(k, gap.join([line(12), line(3), *p, line(3), line(12)])) for k, p in enumerate(passages * 2)]
         out = {r["doc_id"]: r["text"] for r in linechunks.dedup(spark.createDataFrame(plain, "doc_id bigint, text string")).collect()}
         for k, p in enumerate(passages):
@@ -248,6 +248,24 @@ def test_line_dedup_of_short_passages(spark):
     assert [tuple(r["r"]) for r in got] == [(5, 2, 1, 2), (2, 1, 1, 2), (2, 1, 0, 0), (1, 0, 0, 0), (5, 1, 1, 5), (3, 0, 0, 0)]
 
 
+def test_line_dedup_against_a_plain_one(spark):
+    """Chunks by the same rule in plain Python, their bytes compared in one dictionary."""
+    import random
+
+    from flowjob.llm import linechunks
+
+    rng = random.Random(12)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 3, 9, 10, 14]))) for _ in range(60)]
+    plain = []
+    for i in range(150):
+        text = [rng.choice(lines) if rng.random() < 0.5 else f"{i} {rng.random()} " + rng.choice(lines) for _ in range(rng.randrange(14))]
+        at = rng.randrange(50)
+        plain.append((i, "\n".join(text[:5] + lines[at : at + rng.randrange(9)] + text[5:])))
+    got = {r["doc_id"]: r["text"] for r in linechunks.dedup(spark.createDataFrame(plain, "doc_id bigint, text string")).collect()}
+    assert got == brute.line_dedup(plain)
+    assert sum(len(t) for _, t in plain) > sum(map(len, got.values()))
+
+
 def test_personal_data(docs, none):
     from flowjob.llm import pii
 
