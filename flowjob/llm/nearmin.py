@@ -1,22 +1,24 @@
 """Near-duplicate documents by a chosen-path set similarity join over minhashes.
 
 Texts with equal shingle sets form a class; one text stands for it.  A class has
-`SKETCH` minhashes, of which it keeps one byte each as its sketch.  In each of
-`trees` independent trees a class goes to the node that two minhashes of its own
-name (the first `PATH` tokens of a path, chosen at once, as a corpus of any size
-needs them).  Nodes of at most `limit` classes are compared
-exhaustively on the sketch; in larger ones all classes are compared with one pivot
-first.  Candidates are confirmed on the full sets, recomputed from the texts, and
-confirmed links give components.  Large nodes whose classes are in one component
-by then are done, so a large group of copies is never paired within itself.  The
-others branch, as long as they have over `split` classes: each class goes on to two
-children, chosen by tokens (coordinates of the sketch) that the node's path
-selects.  What is left is compared exhaustively, in pairs of blocks that no task
+`SKETCH` minwise tokens of 32 bits.  In each of `trees` independent trees all classes
+begin at the root, and a node of more than `limit` classes branches: its path selects
+a coordinate, and at times a second one (1 / 0.8 on average, so that what a pair of
+similarity 0.8 has in common neither grows nor dies out), and each of its classes goes
+on to the children that its own tokens there name.  A node of `limit` classes or fewer
+is compared exhaustively, on a byte of each token first.  Branching is DataFrame
+functions alone, and a level is one count and one join, so a hot node's rows are split.
+
+Nodes that are still large after `depth` levels hold groups of near copies.  All their
+classes are compared with one pivot; candidates are confirmed on the full sets,
+recomputed from the texts, and confirmed links give components.  Nodes whose classes
+are in one component by then are done, so a large group of copies is never paired
+within itself.  What is left is compared exhaustively, in pairs of blocks that no task
 exceeds: the classes outside the node's largest component with all others, first on
 the sketches, which leaves the classes with any candidate, and those on the full
-sets, until they are linked.  A pair of similarity 0.8 shares a root node with
-probability 0.64 in each tree, so with 21 trees all but 5 in 10**10 such pairs meet
-(``trees_for``).
+sets, until they are linked.  A pair of similarity 0.8 meets in a tree with probability
+0.52 at least (``meeting``), so with 21 trees all but 2 in 10**7 such pairs meet
+(``trees_for``), most of them far surer, as they need two levels or three.
 
 Defined results: a text without words (also null or empty) has no shingles, is
 linked with nothing and is its own component; rows with equal texts, or with equal
@@ -29,20 +31,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowjob.llm import textkit as K
 from flowjob.llm.components import components
-from flowjob.llm.tables import free_name, written
+from flowjob.llm.tables import discard, free_name, written
 
 SHINGLE, PERCENT = 2, 80
-PATH, TREES, SKETCH, LIMIT, SPLIT, DEPTH, BLOCK = 2, 21, 64, 32, 8192, 5, 2048
+TREES, SKETCH, LIMIT, DEPTH, BLOCK = 21, 64, 32, 5, 2048
 #: Shingles of all classes in a block, at most, unless it has fewer than 64 classes.
 BLOCK_SHINGLES = 8_000_000
 #: A pair of similarity 0.8 agrees on 51 of 64 sketch bytes, with a deviation of 3.2.
@@ -52,9 +55,17 @@ _MULTIPLY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.ui
 _XOR = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 
 
+def meeting(similarity: float = 0.8, percent: int = PERCENT, depth: int = DEPTH) -> float:
+    """The probability that a pair of this similarity is still in one node after so many levels of a tree."""
+    second, q = 100 / percent - 1, 1.0
+    for _ in range(depth):
+        q = (1 - second) * similarity * q + second * (1 - (1 - similarity * q) ** 2)
+    return q
+
+
 def trees_for(recall: float, similarity: float = 0.8) -> int:
     """Trees that find a pair of this similarity with the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**PATH))
+    return math.ceil(math.log(1 - recall) / math.log(1 - meeting(similarity)))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -79,11 +90,9 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
-    """docs: doc_id, tkey, text.  doc_id, tkey, n, cls, roots, sketch; the last three null without shingles."""
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["tkey"], T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("roots", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    if trees * PATH > SKETCH:
-        raise ValueError(f"at most {SKETCH // PATH} trees")
+def _signatures(docs: DataFrame, size: int) -> DataFrame:
+    """docs: doc_id, tkey, text.  doc_id, tkey, n, cls, tokens (SKETCH of four bytes), sketch (a byte of each); the last three null without shingles."""
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["tkey"], T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,15 +109,12 @@ def _signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
                     one = np.add.reduceat(K.mix(values), at)
                     two = np.bitwise_xor.reduceat(K.mix(values + np.uint64(0x5851F42D4C957F2D)), at)
                     name = np.stack([K.mix(one + n[some].astype(np.uint64)), two], 1).astype(">u8")
-                    paths = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(some), trees))
-                    for k in range(PATH):
-                        paths = K.pair(paths, least[:, k * trees : (k + 1) * trees])
-                    roots = np.ascontiguousarray(paths).view(np.int64)
-                    sketch = (K.mix(least) & np.uint64(255)).astype(np.uint8)
-                cls, root, sk = [None] * (b - a), [None] * (b - a), [None] * (b - a)
+                    token = (K.mix(least) >> np.uint64(32)).astype("<u4")
+                    sketch = (token & np.uint32(255)).astype(np.uint8)
+                cls, tok, sk = [None] * (b - a), [None] * (b - a), [None] * (b - a)
                 for j, i in enumerate(some.tolist()):
-                    cls[i], root[i], sk[i] = name[j].tobytes(), roots[j], sketch[j].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cls, pa.binary()), pa.array(root, pa.list_(pa.int64())), pa.array(sk, pa.binary())], schema.names)
+                    cls[i], tok[i], sk[i] = name[j].tobytes(), token[j].tobytes(), sketch[j].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cls, pa.binary()), pa.array(tok, pa.binary()), pa.array(sk, pa.binary())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -157,7 +163,7 @@ def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _deal(rows: DataFrame, block: int) -> DataFrame:
-    """rows (node, tree, heads, cls, n, sketch, label) with i, j: the pairs of blocks that each goes to.
+    """rows (node, cls, n, sketch, label) with i, j: the pairs of blocks that each goes to.
 
     A node's largest label is dealt to some blocks, the rest to others; each block
     of the rest meets every block, so no task has more than two blocks.  What nodes
@@ -174,19 +180,18 @@ def _deal(rows: DataFrame, block: int) -> DataFrame:
     # the rest's block k meets main block b under key (-1 - b, k), and rest block l >= k under key (k, l)
     rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda b: F.struct((-1 - b).alias("i"), F.col("own").alias("j"))), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
     main = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct((-1 - F.col("own")).alias("i"), k.alias("j")))
-    dealt = r.withColumn("own", own).select("node", "tree", "heads", "cls", "n", "sketch", "label", F.explode(F.when(F.col("main"), main).otherwise(rest)).alias("k"))
-    return dealt.select("node", "k.i", "k.j", "cls", "n", "sketch", "label", "tree", "heads")
+    dealt = r.withColumn("own", own).select("node", "cls", "n", "sketch", "label", F.explode(F.when(F.col("main"), main).otherwise(rest)).alias("k"))
+    return dealt.select("node", "k.i", "k.j", "cls", "n", "sketch", "label")
 
 
 class _Block:
     """The rows of a pair of blocks, and which of them may be linked."""
 
-    def __init__(self, held: list[pa.RecordBatch], percent: int, once: bool):
+    def __init__(self, held: list[pa.RecordBatch], percent: int):
         t = pa.Table.from_batches(held).combine_chunks()
         self.table, self.percent = t, percent
         self.cls, self.n = t["cls"].to_pylist(), np.asarray(t["n"])
         self.sketch = _matrix(t["sketch"])
-        self.heads = np.frombuffer(b"".join(t["heads"].to_pylist()), np.uint32).reshape(len(self.cls), -1)[:, : t["tree"][0].as_py()] if once else None
         label = t["label"].to_pylist()
         names = {x: i for i, x in enumerate(dict.fromkeys(label))}
         self.label = np.array([names[x] for x in label])
@@ -195,8 +200,6 @@ class _Block:
         """The later rows of other labels that i may be similar to, and how many sketch bytes agree."""
         agree = (self.sketch[i + 1 :] == self.sketch[i]).sum(1)
         ok = (agree >= AGREE) & _fit(self.n[i + 1 :], self.n[i], self.percent) & (self.label[i + 1 :] != self.label[i])
-        if self.heads is not None:
-            ok &= ~(self.heads[i + 1 :] == self.heads[i]).any(1)
         at = np.flatnonzero(ok)
         return at + i + 1, agree[at]
 
@@ -217,12 +220,12 @@ def _by_block(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatc
         yield done(held)
 
 
-def _promising(dealt: DataFrame, percent: int, once: bool) -> DataFrame:
+def _promising(dealt: DataFrame, percent: int) -> DataFrame:
     """The dealt rows with a candidate among the rows they meet; no more than came in, and no texts are needed yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            block = _Block(held, percent, once)
+            block = _Block(held, percent)
             keep = np.zeros(len(block.cls), bool)
             for i in range(len(keep)):
                 at, _ = block.candidates(i)
@@ -235,13 +238,13 @@ def _promising(dealt: DataFrame, percent: int, once: bool) -> DataFrame:
     return dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(run, dealt.schema)
 
 
-def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent: int, once: bool) -> DataFrame:
-    """Links between different labels within each pair of blocks.  once: a pair that shares the root of an earlier tree is left to that tree."""
-    full = promising.join(texts, "cls").select("node", "i", "j", "cls", "n", "sketch", "label", "tree", "heads", "text")
+def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different labels within each pair of blocks."""
+    full = promising.join(texts, "cls").select("node", "i", "j", "cls", "n", "sketch", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            block, sets, parent = _Block(held, percent, once), {}, {}
+            block, sets, parent = _Block(held, percent), {}, {}
             column, n, label = block.table["text"].combine_chunks(), block.n, block.label
 
             def find(x):
@@ -287,23 +290,13 @@ def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, _PAIRS)
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """Each row in two children of its node, by two coordinates that the node's path selects."""
-    rows = rows.select("node", "sketch", "tree", "heads", "cls", "n", "label")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            node, sk = np.asarray(x.column(0)).view(np.uint64), _matrix(x.column(1))
-            pick = K.mix(node)
-            i = (pick % np.uint64(SKETCH)).astype(np.int64)
-            j = (i + 1 + (pick >> np.uint64(32)).astype(np.int64) % (SKETCH - 1)) % SKETCH
-            for k in (i, j):
-                child = K.pair(K.pair(node, k.astype(np.uint64)), sk[np.arange(len(k)), k].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *x.columns[1:]], x.schema.names)
-
-    return rows.mapInArrow(run, rows.schema)
+def _children(node: Column, tokens: Column, percent: int) -> Column:
+    """array<bigint>: the children of its node that a class goes on to; the node alone selects their coordinates."""
+    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(SKETCH)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(SKETCH - 1)), F.lit(SKETCH)).cast("int")
+    child = lambda k: F.xxhash64(node, k, F.substr(tokens, 4 * k + 1, F.lit(4)))
+    twice = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(percent)) < 100 - percent
+    return F.when(twice, F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -330,22 +323,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, _PAIRS)
 
 
-def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT, split: int = SPLIT, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): doc_id, tkey, n, cls for each document, and cls, component_id, rep for each class.
 
     tkey is the text's xxhash64; rep (doc_id, tkey) is the document that stands for the class's component.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(text_col).cast("string").alias("text"))
-    sig = written(_signatures(docs, shingle, trees), "signatures")
+    sig = written(_signatures(docs, shingle), "signatures")
     who = F.struct("doc_id", "tkey")
     rep = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), who)), F.min(who))  # a row with an id, where there is one
-    known = written(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), rep.alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")), "classes")
-
-    def sized(rows: DataFrame) -> DataFrame:
-        """The rows of nodes with more than one label, with their nodes' sizes."""
-        sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("m > 1 and l1 <> l2").select("node", "m")
-        sizes = written(sizes, "sizes")
-        return written(rows.join(sizes, "node").select("node", "tree", "heads", "cls", "n", "sketch", "label", "m"), "nodes")
+    known = written(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), rep.alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("tokens").alias("tokens")), "classes")
 
     def wanted(names: DataFrame) -> DataFrame:
         """cls, text for the classes named."""
@@ -353,33 +340,36 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         got = docs.join(reps, (docs["tkey"] == reps["k"]) & docs["doc_id"].eqNullSafe(reps["i"])).select("cls", "text")
         return written(got.dropDuplicates(["cls"]), "texts")
 
-    # node and class alone meet first; what a node compares is joined to the rows of nodes with two classes or more
-    light = known.select("cls", F.posexplode("roots").alias("tree", "node"))
-    sizes = light.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-    met = written(light.join(sizes, "node"), "met")
-    heads = F.unhex(F.array_join(F.transform("roots", lambda r: F.right(F.lpad(F.hex(r), 16, "0"), F.lit(8))), ""))  # four bytes tell the roots of a pair apart
-    rows = met.join(known.select("cls", "n", "sketch", heads.alias("heads")), "cls").select("node", "tree", "heads", "cls", "n", "sketch", F.col("cls").alias("label"), "m")
-    rows = written(rows, "nodes")
-    large = rows.where(F.col("m") > limit)
-    pairs = written(_compare_nodes(rows.where(F.col("m") <= limit), percent).unionByName(_compare_pivots(large, percent)).distinct(), "candidates")
+    def met(rows: DataFrame) -> DataFrame:
+        """The rows of nodes with two classes or more, with m, their number; node and class alone meet."""
+        return written(rows.join(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"), "nodes")
+
+    def described(rows: DataFrame) -> DataFrame:
+        return rows.join(known.select("cls", "n", "sketch"), "cls").select("node", "cls", "n", "sketch", F.col("cls").alias("label"))
+
+    each = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
+    rows = known.select("cls", "tokens", each).select("cls", F.explode(_children(F.xxhash64("tree"), F.col("tokens"), percent)).alias("node"))
+    small, levels = [], []
+    for _ in range(depth):
+        levels.append(met(rows))
+        small.append(levels[-1].where(F.col("m") <= limit).select("cls", "node"))
+        large = levels[-1].where(F.col("m") > limit).select("cls", "node")
+        if large.isEmpty():
+            break
+        rows = large.join(known.select("cls", "tokens"), "cls").select("cls", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
+    large = written(described(large), "large")
+    pairs = _compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(_compare_pivots(large, percent))
+    pairs = written(pairs.distinct(), "candidates")
+    discard(*levels)
     links = written(_confirm(pairs, wanted(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), shingle, percent), "links")
     joined = components(links)
     if not large.isEmpty():
-        rows = large.join(joined, large["cls"] == joined["node"], "left").select(large["node"], "tree", "heads", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
-        rows = sized(rows)
-        done, once = None, True
-        for _ in range(depth):
-            over = rows.where(F.col("m") > split)
-            if over.isEmpty():
-                break
-            once = False
-            part = rows.where(F.col("m") <= split)
-            done = part if done is None else done.unionByName(part)
-            rows = sized(_children(over))
-        rows = rows if done is None else done.unionByName(rows)
+        rows = large.drop("label").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
+        mixed = rows.groupBy("node").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("node")
+        rows = written(rows.join(written(mixed, "mixed"), "node"), "left")
         if not rows.isEmpty():
-            near = written(_promising(_deal(rows.drop("m"), block), percent, once), "promising")
-            links = links.unionByName(_compare_blocks(near, wanted(near.select("cls")), shingle, percent, once))
+            near = written(_promising(_deal(rows, block), percent), "promising")
+            links = links.unionByName(_compare_blocks(near, wanted(near.select("cls")), shingle, percent))
             joined = components(links)
     full = known.join(joined, known["cls"] == joined["node"], "left").select("cls", "least", "rep", F.coalesce("root", "cls").alias("root"))
     best = full.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("rep.doc_id").isNotNull(), F.col("rep"))).alias("r1"), F.min("rep").alias("r2"))

@@ -180,11 +180,31 @@ def test_near_duplicates_in_large_nodes(spark):
     plain = list(enumerate(texts))
     docs = spark.createDataFrame(plain, "doc_id bigint, text string")
     want = brute.components(plain)
-    for options in ({"limit": 4, "split": 1_000, "block": 16}, {"limit": 4, "split": 30, "depth": 2, "block": 16}):
+    for options in ({"limit": 4, "block": 16}, {"limit": 4, "depth": 2, "block": 16}):
         got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearmin.label(docs, **options).collect())
         assert [g[1:] for g in got] == want
 
 
+def test_branching(spark, monkeypatch):
+    """At the default parameters nodes of more than 32 classes branch, level by level, and no link is lost."""
+    import random
+
+    from flowjob.llm import nearmin
+
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(12)]
+    texts = []
+    for i in range(150):
+        t = [w for k in range(30) for w in (rng.choice(common), f"u{i}-{k}" if k % 3 else rng.choice(common))]
+        texts += [" ".join(t), " ".join([*t[:50], "changed", *t[51:]])]
+    levels = []
+    real = nearmin._children
+    monkeypatch.setattr(nearmin, "_children", lambda *a: levels.append(1) or real(*a))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearmin.label(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert [g[1:] for g in got] == brute.components(list(enumerate(texts)))
+    assert len(levels) >= 2 and nearmin.trees_for(0.999999) <= nearmin.TREES
+
+
 def test_line_dedup(docs, none, spark):
     from flowjob.llm import linechunks
 
