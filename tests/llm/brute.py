@@ -227,3 +227,54 @@ def line_dedup(rows, long_words=10, near=2):
                 keep.append(x)
         out[doc_id] = "" if gone and len(gone) == len(at) else "\n".join(keep)
     return out
+
+
+def symbol_grams(text):
+    """The four-symbol number that ends at each symbol of a text, by the classes of the quality model."""
+    out = []
+    for c in text or "":
+        if c in " \t\n\v\f\r":
+            k = 0
+        elif c.isascii() and c.isalpha():
+            k = ord(c.lower()) - 96
+        elif c.isascii() and c.isdigit():
+            k = 27
+        elif c in ".,;:!?'\"()-":
+            k = 28
+        elif c.isascii():
+            k = 29
+        else:
+            k = 30 if ord(c) < 0x100 else 31
+        if k or not out or out[-1]:
+            out.append(k)
+    flat = [0, 0, 0, *out, 0]
+    return [sum(s << 5 * (3 - j) for j, s in enumerate(flat[i - 3 : i + 1])) for i in range(3, len(flat))]
+
+
+def kneser_ney(counts, order=4, bits=5):
+    """Modified Kneser-Ney by definition: n-gram counts of the full order; gives a function of an n-gram."""
+    levels = {order: {tuple(g >> bits * (order - 1 - j) & 31 for j in range(order)): n for g, n in counts.items()}}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def discount(k):
+        n = Counter(levels[k].values())
+        if min(n[1], n[2], n[3], n[4]) == 0:
+            return lambda c: 0.5 if c else 0.0
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    rules = {k: discount(k) for k in levels}
+
+    def p(g):
+        if not g:
+            return 1 / 32
+        level, rule = levels[len(g)], rules[len(g)]
+        after = [n for h, n in level.items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        c = level.get(g, 0)
+        return (c - rule(c)) / sum(after) + sum(map(rule, after)) / sum(after) * p(g[1:])
+
+    return lambda gram: p(tuple(gram >> bits * (order - 1 - j) & 31 for j in range(order)))

@@ -483,22 +483,51 @@ def test_hashes_of_arranged_words():
         K.span_hashes = right
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_against_a_plain_one():
     import numpy as np
+    import pyarrow as pa
 
     from flowjob.llm import quality as Q
+    from flowjob.llm import textkit as K
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("aaabbcd e.é1"), 200)) for _ in range(12)] + ["A  b\n\tc", "", "ö"]
+    grams, ptr = Q.stream(*K.buffers(pa.array(texts)))
+    want = [brute.symbol_grams(t) for t in texts]
+    assert [grams[a:b].tolist() for a, b in zip(ptr, ptr[1:], strict=False)] == want
+    uniq, n = np.unique(grams, return_counts=True)
+    model = Q.KneserNey(uniq, n)
+    plain = brute.kneser_ney(dict(zip(uniq.tolist(), n.tolist(), strict=True)))
+    asked = np.concatenate([uniq, rng.integers(0, 1 << 20, 500).astype(np.uint32)])
+    assert np.abs(10 ** model.score(asked) - [plain(int(g)) for g in asked]).max() < 1e-6
+    for context in (uniq[::40] >> np.uint32(5)).tolist() + [777]:
+        assert abs((10 ** model.score(np.arange(32, dtype=np.uint32) | np.uint32(context << 5))).sum() - 1) < 1e-5
+
+
+def test_perplexity_bands(spark):
+    """Outliers without symbols go on both sides, each in its language; other documents stay."""
+    import random
+
+    from flowjob.llm import quality
 
-    words = [b"banana", b"bandana", b"cabana", b"an", b"ban"]
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    symbols, last, number, _ = Q.stream(data, ends - [len(w) for w in words], ends)
-    keys = np.concatenate([Q.packed(symbols, last[number + 2 == k] if k < 5 else last[number + 2 >= k], k) for k in range(2, 6)])
-    model = Q.KneserNey(*np.unique(keys, return_counts=True))
-    for prefix in (b"", b"b", b"ba", b"ban", b"bana", b"zz", b"banan"):
-        at = 1 + len(prefix)
-        made = [np.frombuffer(b"\x20" + prefix + bytes([c]), np.uint8).astype(np.uint64) for c in range(256)]
-        total = sum(10 ** model.score(s, np.array([at]), np.array([len(prefix)]))[0] for s in made)
-        assert abs(total - 1) < 1e-4, prefix
+    rng = random.Random(9)
+    some = {"en": "the and of house tree river light walk under stone paper green".split(), "de": "der und von haus baum fluss licht gehen unter stein papier".split()}
+
+    def prose(lang):
+        return " ".join(rng.choice(some[lang]) + rng.choice(["", "", "s", "en"]) for _ in range(rng.randrange(400, 600)))
+
+    plain = [(i, prose(lang), lang) for i, lang in enumerate(["en"] * 150 + ["de"] * 150)]
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxyz ") for _ in range(600)) for _ in range(5)]
+    dull = [" ".join("tete" * rng.randrange(1, 9) for _ in range(90)) + " " + " ".join(f"et{'te' * k}" for k in range(40)) for _ in range(3)]
+    plain += [(1000 + i, t, "en") for i, t in enumerate(noise)] + [(2000 + i, t, "de") for i, t in enumerate(dull)] + [(3000, prose("en"), "xx"), (3001, prose("de"), None)]
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(plain, "doc_id int, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in range(300) if not got[i]["base_failed"])
+    assert not any(got[1000 + i]["kept"] for i in range(5)) and not any(got[1000 + i]["base_failed"] or got[1000 + i]["n_symbols"] for i in range(5))
+    low, high = min(got[i]["log10_per_char"] for i in range(300)), max(got[i]["log10_per_char"] for i in range(300))
+    assert all(got[1000 + i]["log10_per_char"] < low for i in range(5))
+    above = [got[2000 + i] for i in range(3) if not got[2000 + i]["base_failed"]]
+    assert above and all(r["log10_per_char"] > high and not r["kept"] for r in above)
+    assert got[3000]["kept"] and got[3001]["kept"]
 
 
 def test_components(spark):
