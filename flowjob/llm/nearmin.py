@@ -9,11 +9,12 @@ on to the children that its own tokens there name.  A node of `limit` classes or
 is compared exhaustively, on a byte of each token first.  Branching is DataFrame
 functions alone, and a level is one count and one join, so a hot node's rows are split.
 
-Nodes that are still large after `depth` levels hold groups of near copies.  All their
-classes are compared with one pivot; candidates are confirmed on the full sets,
+Nodes that are still large after two levels hold groups of near copies, most often.  All
+their classes are compared with one pivot; candidates are confirmed on the full sets,
 recomputed from the texts, and confirmed links give components.  Nodes whose classes
 are in one component by then are done, so a large group of copies is never paired
-within itself.  What is left is compared exhaustively, in pairs of blocks that no task
+within itself; the others go on branching.  What is still large after `depth` levels is
+treated alike once more, and then compared exhaustively, in pairs of blocks that no task
 exceeds: the classes outside the node's largest component with all others, first on
 the sketches, which leaves the classes with any candidate, and those on the full
 sets, until they are linked.  A pair of similarity 0.8 meets in a tree with probability
@@ -349,28 +350,38 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     each = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
     rows = known.select("cls", "tokens", each).select("cls", F.explode(_children(F.xxhash64("tree"), F.col("tokens"), percent)).alias("node"))
-    small, levels = [], []
-    for _ in range(depth):
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct(), "candidates")
+        return written(_confirm(pairs, wanted(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), shingle, percent), "links")
+
+    def mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+        """The rows of nodes whose classes are in several components by now, with these as labels."""
+        rows = rows.drop("label").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
+        several = rows.groupBy("node").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("node")
+        return written(rows.join(written(several, "several"), "node"), "mixed")
+
+    small, levels, links = [], [], []
+    for level in range(depth):
         levels.append(met(rows))
         small.append(levels[-1].where(F.col("m") <= limit).select("cls", "node"))
         large = levels[-1].where(F.col("m") > limit).select("cls", "node")
         if large.isEmpty():
             break
+        if level == 1:  # unrelated classes are apart by now: what stays together is most often one group of copies
+            heads = written(described(large), "large")
+            links.append(confirmed(_compare_pivots(heads, percent)))
+            large = mixed(heads, components(links[0])).select("cls", "node")
         rows = large.join(known.select("cls", "tokens"), "cls").select("cls", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
     large = written(described(large), "large")
-    pairs = _compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(_compare_pivots(large, percent))
-    pairs = written(pairs.distinct(), "candidates")
+    links.append(confirmed(_compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(_compare_pivots(large, percent))))
     discard(*levels)
-    links = written(_confirm(pairs, wanted(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), shingle, percent), "links")
-    joined = components(links)
+    joined = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():
-        rows = large.drop("label").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", "n", "sketch", F.coalesce("root", "cls").alias("label"))
-        mixed = rows.groupBy("node").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("node")
-        rows = written(rows.join(written(mixed, "mixed"), "node"), "left")
+        rows = mixed(large, joined)
         if not rows.isEmpty():
             near = written(_promising(_deal(rows, block), percent), "promising")
-            links = links.unionByName(_compare_blocks(near, wanted(near.select("cls")), shingle, percent))
-            joined = components(links)
+            links.append(_compare_blocks(near, wanted(near.select("cls")), shingle, percent))
+            joined = components(reduce(DataFrame.unionByName, links))
     full = known.join(joined, known["cls"] == joined["node"], "left").select("cls", "least", "rep", F.coalesce("root", "cls").alias("root"))
     best = full.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("rep.doc_id").isNotNull(), F.col("rep"))).alias("r1"), F.min("rep").alias("r2"))
     least = best.select("root", "component_id", F.coalesce("r1", "r2").alias("rep"))
