@@ -70,3 +70,19 @@ def expand_range(text: str) -> list[str]:
         a, _, b = part.partition("-")
         out += [f"{m[1]}{i:0{len(a)}d}{rest}" for i in range(int(a), int(b or a) + 1) for rest in expand_range(m[3])]
     return out
+
+
+def sequence_hash(items: Column) -> Column:
+    """A number that depends on a list's bigint items (absolute values below 2**40) and their order; 0 for an empty list."""
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: F.pmod(acc * 31 + x, F.lit(2**31 - 1)))
+
+
+def shuffled(items: Column, seed: int) -> Column:
+    """The list in an order drawn from the seed."""
+    return F.shuffle(items, seed)
+
+
+def compare_bytes(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by unsigned bytes; a prefix comes first; null if either is."""
+    x, y = a.cast("binary"), b.cast("binary")
+    return F.when(x < y, -1).when(x == y, 0).when(x > y, 1)

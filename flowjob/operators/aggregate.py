@@ -44,23 +44,28 @@ def group_fold(df: DataFrame, key: str, value: str, fold: Callable[[object, obje
             yield pd.DataFrame({"key": list(held), "value": list(held.values())})
 
     rows = df.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInPandas(partial, kind)
-    return rows.repartition("key").mapInPandas(_settle(fold), kind)
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_settle(fold), kind)
 
 
 def _settle(fold: Callable) -> Callable:
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        held: dict = {}
+        last: list[tuple] = []  # the key that the next batch may go on with
         for b in batches:
+            done = last
             for k, v in zip(b["key"].tolist(), b["value"].tolist(), strict=True):
-                held[k] = fold(held[k], v) if k in held else v
-        if held:
-            yield pd.DataFrame({"key": list(held), "value": list(held.values())})
+                if done and done[-1][0] == k:
+                    done[-1] = (k, fold(done[-1][1], v))
+                else:
+                    done.append((k, v))
+            last = done[-1:]
+            yield pd.DataFrame(done[:-1], columns=["key", "value"])
+        yield pd.DataFrame(last, columns=["key", "value"])
 
     return run
 
 
-def reduce_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Iterable[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
-    """fn(key, batches) -> batches for each group, 0 or more rows; the group streams by in batches and is never held whole."""
+def reduce_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Iterable[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str | T.StructType, order: Sequence[str] = ()) -> DataFrame:
+    """fn(key, batches) -> batches for each group, 0 or more rows; the group streams by in batches (in `order`) and is never held whole."""
     need(df, keys, "reduce_groups")
     where = [df.columns.index(k) for k in keys]
 
@@ -97,7 +102,7 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Itera
         if out:
             yield pd.concat(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:

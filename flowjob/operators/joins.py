@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowjob.operators.aggregate import reduce_groups
 from flowjob.types import PlanError, need, same_key_type
 
 HOW = ("inner", "left", "right", "full", "left_semi", "left_anti")
@@ -48,3 +49,47 @@ def cogroup(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on:
     need(left, left_on, "cogroup")
     need(right, right_on, "cogroup")
     return left.groupBy(*left_on).cogroup(right.groupBy(*right_on)).applyInPandas(fn, schema)
+
+
+def combine(inputs: Sequence[DataFrame], keys: Sequence[str], fn: Callable, schema: str | T.StructType) -> DataFrame:
+    """fn(key, batches) -> batches for each key of any of n inputs; rows stream by, input after input.
+
+    Each row has the keys, `input` (its number) and one struct column `rowN` for each
+    input, null but for its own.  Neither a key's rows nor an input are held whole.
+    """
+    tagged = []
+    for i, x in enumerate(inputs):
+        need(x, keys, "combine")
+        own = F.struct(*(F.col(c) for c in x.columns))
+        rows = [own.alias(f"row{j}") if j == i else F.lit(None).cast(y.schema).alias(f"row{j}") for j, y in enumerate(inputs)]
+        tagged.append(x.select(*keys, F.lit(i).alias("input"), *rows))
+    out = tagged[0]
+    for x in tagged[1:]:
+        out = out.unionByName(x)
+    return reduce_groups(out, keys, fn, schema, order=["input"])
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: Sequence[str]) -> DataFrame:
+    """Each left row with `value` of the last right row of the same `by` at or before its `time`; null where there is none.
+
+    One shuffle and one sort of both sides together, so right rows are never paired
+    with left rows.  Null keys are one group.  Of right rows at the same time, the
+    one that is last by `value` counts.
+    """
+    need(left, [*by, time], "asof_join")
+    need(right, [*by, time, *value], "asof_join")
+    mine = [c for c in left.columns if c not in (*by, time)]
+    a = left.select(*by, time, F.struct(*mine).alias("__mine"), F.lit(None).cast(right.select(*value).schema).alias("__theirs"), F.lit(1).alias("__side"))
+    b = right.select(*by, time, F.lit(None).cast(left.select(*mine).schema).alias("__mine"), F.struct(*value).alias("__theirs"), F.lit(0).alias("__side"))
+    w = Window.partitionBy(*by).orderBy(time, "__side", "__theirs").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b).withColumn("__theirs", F.last("__theirs", ignorenulls=True).over(w)).where("__side = 1")
+    return rows.select(*by, time, *(F.col("__mine")[c].alias(c) for c in mine), *(F.col("__theirs")[c].alias(c) for c in value))
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with low <= point < high.  Ranges go to every bucket of `width` that they touch, points to their own: an equi-join with a check."""
+    need(points, [point], "range_join")
+    need(ranges, [low, high], "range_join")
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    spread = ranges.where(F.col(low) < F.col(high)).withColumn("__bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    return points.withColumn("__bucket", bucket(F.col(point))).join(spread, "__bucket").where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("__bucket")

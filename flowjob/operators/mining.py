@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from heapq import heappush, heapreplace
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,8 +44,8 @@ def group_transactions(df: DataFrame, basket: str, item: str, ranked: DataFrame)
     return lists.select("basket", "all", F.explode(ends).alias("x")).select("basket", F.col("x.g").alias("group_id"), F.slice(F.transform("all", lambda y: y["rank"]), 1, F.col("x.n")).alias("items"))
 
 
-def grow(transactions: Iterable[tuple[tuple[int, ...], int]], own: set[int], min_support: int) -> Iterable[tuple[tuple[int, ...], int]]:
-    """All patterns with support, whose last item is one of the group's own, from (ascending ranks, count) pairs."""
+def grow(transactions: Iterable[tuple[tuple[int, ...], int]], own: set[int], min_support: int, longest: int | None = None) -> Iterable[tuple[tuple[int, ...], int]]:
+    """Patterns of up to `longest` items with support, whose last item is one of the group's own, from (ascending ranks, count) pairs."""
 
     def mine(base: list[tuple[tuple[int, ...], int]], suffix: tuple[int, ...], allowed: set[int] | None):
         counts: Counter = Counter()
@@ -53,6 +55,8 @@ def grow(transactions: Iterable[tuple[tuple[int, ...], int]], own: set[int], min
         for i, n in counts.items():
             if n >= min_support and (allowed is None or i in allowed):
                 yield (i, *suffix), n
+                if longest is not None and len(suffix) + 1 >= longest:
+                    continue
                 below: Counter = Counter()
                 for items, m in base:
                     if i in items and (at := items.index(i)):
@@ -62,37 +66,118 @@ def grow(transactions: Iterable[tuple[tuple[int, ...], int]], own: set[int], min
     yield from mine(list(transactions), (), own)
 
 
-def frequent_patterns(df: DataFrame, basket: str, item: str, min_support: int, groups: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(patterns, ranked): pattern (ascending ranks) with support, all frequent ones.
+def grow_closed(transactions: Iterable[tuple[tuple[int, ...], int]], own: set[int], min_support: int, k: int | None = None) -> Iterable[tuple[tuple[int, ...], int]]:
+    """Patterns closed among the transactions given, the last item one of the group's own; with k, those that can be in an item's top k.
 
-    Equal prefixes of a group are counted before they meet, so a group's task sees
-    different prefixes only; more groups make them smaller.
+    Transactions are bitmaps.  Items in every transaction of a pattern join it at
+    once; a pattern that thereby gains an item after the one it was extended by is
+    reached from there, and its branch is left.  Once every item of a branch has k
+    patterns of larger support, the branch is left too.
     """
+    rows = list(transactions)
+    names = sorted({i for items, _ in rows for i in items})
+    bit = {i: 1 << n for n, i in enumerate(names)}
+    root = [(sum(bit[i] for i in items), n) for items, n in rows]
+    best: dict[int, list[int]] = {}
+
+    def members(mask: int) -> list[int]:
+        out = []
+        while mask:
+            low = mask & -mask
+            out.append(low.bit_length() - 1)
+            mask ^= low
+        return out
+
+    def useless(mask: int, support: int) -> bool:
+        return k is not None and all(len(best.get(i, ())) >= k and best[i][0] > support for i in members(mask))
+
+    stack = [(root, 0, n) for n, i in reversed(list(enumerate(names))) if i in own]
+    while stack:
+        base, pattern, i = stack.pop()
+        under = [(mask, n) for mask, n in base if mask >> i & 1]
+        support = sum(n for _, n in under)
+        if support < min_support:
+            continue
+        whole, seen = -1, 0
+        for mask, _ in under:
+            whole &= mask
+            seen |= mask
+        if whole >> (i + 1) != pattern >> (i + 1):
+            continue
+        lower = (1 << i) - 1
+        if useless(whole | seen & lower, support):
+            continue
+        inside = members(whole)
+        yield tuple(names[x] for x in inside), support
+        if k is not None:
+            for x in inside:
+                heap = best.setdefault(x, [])
+                if len(heap) < k:
+                    heappush(heap, support)
+                elif support > heap[0]:
+                    heapreplace(heap, support)
+        stack += [(under, whole, x) for x in members(seen & lower & ~whole)]
+
+
+def _mined(df: DataFrame, basket: str, item: str, min_support: int, groups: int, ranks_at: str | None, miner) -> tuple[DataFrame, DataFrame]:
     ranked = rank_items(frequent_items(df, basket, item, min_support), groups)
+    if ranks_at:
+        ranked.write.parquet(ranks_at)
+        ranked = df.sparkSession.read.schema(ranked.schema).parquet(ranks_at)
     shards = group_transactions(df, basket, item, ranked).groupBy("group_id", "items").agg(F.count("*").alias("n"))
-    own = ranked.groupBy("group_id").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+    own = ranked.groupBy("group_id").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))  # a row for each group
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        def mined(group: int, lo: int, hi: int, rows: list) -> Iterable[pd.DataFrame]:
+            got = iter(miner(rows, set(range(lo, hi + 1))))
+            while part := list(islice(got, 10_000)):
+                yield pd.DataFrame({"group_id": group, "pattern": [list(p) for p, _ in part], "support": [s for _, s in part]})
+
+        head, rows = None, []
+        for b in batches:
+            for g, lo, hi, items, n in zip(b["group_id"], b["lo"], b["hi"], b["items"], b["n"], strict=True):
+                if head != (g, lo, hi):
+                    if rows:
+                        yield from mined(*head, rows)
+                    head, rows = (g, lo, hi), []
+                rows.append((tuple(int(i) for i in items), int(n)))
+        if rows:
+            yield from mined(*head, rows)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(tuple(int(i) for i in x), int(n)) for x, n in zip(part["items"], part["n"], strict=True)]
-        lo, hi = int(part["lo"].iloc[0]), int(part["hi"].iloc[0])
-        got = list(grow(rows, set(range(lo, hi + 1)), min_support))
-        return pd.DataFrame({"pattern": [list(p) for p, _ in got], "support": [s for _, s in got]})
+    placed = shards.join(F.broadcast(own), "group_id").select("group_id", "lo", "hi", "items", "n").repartition("group_id").sortWithinPartitions("group_id")
+    return placed.mapInPandas(run, "group_id bigint, pattern array<bigint>, support bigint"), ranked
 
-    patterns = shards.join(F.broadcast(own), "group_id").groupBy("group_id").applyInPandas(run, "pattern array<bigint>, support bigint")
-    return patterns, ranked
 
+def frequent_patterns(df: DataFrame, basket: str, item: str, min_support: int, groups: int = 64, longest: int | None = None, ranks_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(patterns, ranked): pattern (ascending ranks) with support, all frequent ones of up to `longest` items.
 
-def closed(patterns: DataFrame) -> DataFrame:
-    """Without the patterns that one with one item more equals in support."""
-    less = F.transform(F.sequence(F.lit(1), F.size("pattern")), lambda i: F.filter("pattern", lambda x: x != F.element_at("pattern", i)))
-    covered = patterns.where(F.size("pattern") > 1).select(F.explode(less).alias("pattern"), "support").distinct()
-    return patterns.join(covered, ["pattern", "support"], "left_anti")
+    Equal prefixes of a group are counted before they meet, so a group's task sees
+    different prefixes only; more groups make them smaller.  Patterns leave the task
+    while it mines.  ranks_at: where to keep the ranks, which are otherwise computed
+    for each use.
+    """
+    patterns, ranked = _mined(df, basket, item, min_support, groups, ranks_at, lambda rows, own: grow(rows, own, min_support, longest))
+    return patterns.select("pattern", "support"), ranked
+
+
+def closed_patterns(df: DataFrame, basket: str, item: str, min_support: int, groups: int = 64, k: int | None = None, ranks_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(patterns, ranked): the closed frequent patterns, or with k those that can be in the top k of one of their items.
+
+    A group's patterns are closed among items up to its own.  One that a later
+    group's pattern continues with the same support is not closed, and goes.
+    """
+    patterns, ranked = _mined(df, basket, item, min_support, groups, ranks_at, lambda rows, own: grow_closed(rows, own, min_support, k))
+    size = ranked.agg(F.max(F.when(F.col("group_id") == 0, F.col("rank")))).first()[0] or 1
+    group = lambda x: F.floor((x - 1) / F.lit(size))
+    last = F.filter(F.sequence(F.lit(1), F.size("pattern") - 1), lambda i: group(F.element_at("pattern", i)) != group(F.element_at("pattern", i + 1)))
+    shorter = patterns.where(F.size("pattern") > 1).select(F.explode(F.transform(last, lambda i: F.slice("pattern", 1, i))).alias("pattern"), "support").distinct()
+    return patterns.select("pattern", "support").join(shorter, ["pattern", "support"], "left_anti"), ranked
 
 
-def top_patterns(df: DataFrame, basket: str, item: str, min_support: int = 2, k: int = 50, groups: int = 64) -> DataFrame:
+def top_patterns(df: DataFrame, basket: str, item: str, min_support: int = 2, k: int = 50, groups: int = 64, ranks_at: str | None = None) -> DataFrame:
     """item, rank, support, pattern (array of items): each item's k closed patterns by support, then length, then items."""
-    patterns, ranked = frequent_patterns(df, basket, item, min_support, groups)
-    each = closed(patterns).select("pattern", "support", F.explode("pattern").alias("r"))
+    patterns, ranked = closed_patterns(df, basket, item, min_support, groups, k, ranks_at)
+    each = patterns.select("pattern", "support", F.explode("pattern").alias("r"))
     best = top_k_per_group(each, ["r"], [F.desc("support"), F.desc(F.size("pattern")), F.col("pattern")], k)
     names = ranked.select(F.col("rank").alias("r2"), F.col("item").cast("string").alias("name"))
     named = best.select("r", F.col("rank"), "support", F.posexplode("pattern")).join(names, F.col("col") == F.col("r2")).groupBy("r", "rank", "support").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("pattern"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from flowjob.types import PlanError, need
 
 
-def partition(df: DataFrame, n: int, by: str | Column, method: str = "hash") -> DataFrame:
-    """hash: equal keys together; range: ranges of keys; custom: the expression is the partition's number."""
+def partition(df: DataFrame, n: int, by: str | Column | None = None, method: str = "hash") -> DataFrame:
+    """hash: equal keys together; range: ranges of keys; custom: the expression is the partition's number; round_robin: equal sizes."""
+    if method == "round_robin":
+        return df.repartition(n)
     by = F.col(by) if isinstance(by, str) else by
     if method == "hash":
         return df.repartition(n, by)
@@ -37,6 +39,33 @@ def sort_total(df: DataFrame, *order: str | Column, partitions: int | None = Non
     return (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).sortWithinPartitions(*order)
 
 
+def number_rows(df: DataFrame, *order: str | Column, path: str, name: str = "row", partitions: int | None = None) -> DataFrame:
+    """Each row's number, from 1, in one order over all rows; any types, directions and places of nulls.
+
+    The sorted ranges are written once below `path`, each row with its place in its
+    range, so numbers and counts come from the same ranges.  Equal rows get
+    different numbers in no set order.
+    """
+    at = F.monotonically_increasing_id()
+    rows = sort_total(df, *order, partitions=partitions).withColumns({"__p": F.shiftright(at, 33), "__i": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    sizes = rows.groupBy("__p").count()
+    before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))  # a row for each range
+    return rows.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__i") + 1).drop("__p", "__i", "__before")
+
+
+def interleave(inputs: Sequence[DataFrame], order: Sequence[str], paths: Sequence[str], name: str = "row") -> DataFrame:
+    """Rows of the inputs taken in turn, one from each, in each input's own order: turn, input and row number."""
+    numbered = [number_rows(x, *order, path=p, name="turn").withColumn("input", F.lit(i)) for i, (x, p) in enumerate(zip(inputs, paths[:-1], strict=True))]
+    return number_rows(concat(*numbered), "turn", "input", path=paths[-1], name=name)
+
+
+def merge_partitions(df: DataFrame, n: int) -> DataFrame:
+    """At most n partitions, each several of the old ones read one after another; no shuffle."""
+    return df.coalesce(n)
+
+
 def total_rank(df: DataFrame, key: str, *ties: str, name: str = "rank", buckets: int = 200) -> DataFrame:
     """Each row's number in the order of a numeric key, then of ties.
 

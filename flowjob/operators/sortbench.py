@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,8 +60,8 @@ def generate_records(spark: SparkSession, n: int, tasks: int = 8) -> DataFrame:
 def validate(df: DataFrame, key: str, position: str, checksum_of: str | None = None, partitions: int | None = None) -> DataFrame:
     """One row: records, unsorted, duplicates, first_unsorted (0-based, null if none), first_key, last_key, checksum.
 
-    position gives the order in which the data set is read.  Each range of
-    positions is summed up in one pass that holds one record; the summaries, one a
+    position gives the order in which the data set is read; keys are not null.  Each range of
+    positions is summed up in one pass that holds one batch; the summaries, one a
     partition, are then checked at their boundaries.
     """
     need(df, [key, position], "validate")
@@ -74,15 +75,19 @@ def validate(df: DataFrame, key: str, position: str, checksum_of: str | None = N
         first = last = start = None
         bad = None
         for b in batches:
-            for p, k, c in zip(b["p"], b["k"], b["c"], strict=True):
-                if n == 0:
-                    first, start = k, p
-                elif k < last:
-                    unsorted += 1
-                    bad = n if bad is None else bad
-                elif k == last:
-                    same += 1
-                last, n, total = k, n + 1, total + int(c)
+            if not len(b):
+                continue
+            k = b["k"].to_numpy()
+            if n == 0:
+                first, start = k[0], b["p"].iloc[0]
+            else:
+                k = np.concatenate([np.array([last], k.dtype), k])
+            less = np.flatnonzero(k[1:] < k[:-1])
+            if bad is None and len(less):
+                bad = int(less[0]) + n + (n == 0)
+            unsorted += len(less)
+            same += int((k[1:] == k[:-1]).sum())
+            last, n, total = k[-1], n + len(b), total + int(b["c"].sum())
         if n:
             yield pd.DataFrame({"start": [start], "n": [n], "unsorted": [unsorted], "same": [same], "bad": pd.array([bad], "Int64"), "first": [first], "last": [last], "total": [total]})
 
@@ -102,5 +107,16 @@ def validate(df: DataFrame, key: str, position: str, checksum_of: str | None = N
     )
 
 
+def generate_text(spark: SparkSession, n: int, tasks: int, words: int, vocabulary: Sequence[str]) -> DataFrame:
+    """number, line: n lines of so many words of the vocabulary, drawn by a multiplicative rule from line and place; JVM only."""
+    if not vocabulary or tasks < 1:
+        raise ValueError("a vocabulary and a task are needed")
+    # fixed values: multipliers and modulus of the rule
+    draw = lambda j: F.pmod((F.col("id") * 1103515 + j * 12345) % 2147483647 * 48271 % 2147483647, F.lit(len(vocabulary)))
+    names = F.array(*map(F.lit, vocabulary))
+    line = F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(words).cast("bigint")), lambda j: F.get(names, draw(j).cast("int"))), " ")
+    return spark.range(0, n, 1, tasks).select(F.col("id").alias("number"), line.alias("line"))
+
+
 def record_checksum(record: bytes) -> int:
     return zlib.crc32(record)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Callable, Iterable, Sequence
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,11 @@ class Pipeline:
     def generate(self, n: int, tasks: int, *columns: Column, fn=None, schema: str | None = None) -> DataFrame:
         return readers.generate(self.spark, n, tasks, *columns, fn=fn, schema=schema)
 
-    def write(self, df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", by: list[str] | None = None) -> None:
+    def write(self, df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", by: list[str] | None = None, compression: str | None = None) -> None:
         if path in self._outputs:
             raise PlanError(f"two outputs at {path}")
         self._outputs.add(path)
-        self._steps.append(lambda: sinks.write(df, path, format, mode, by))
+        self._steps.append(lambda: sinks.write(df, path, format, mode, by, compression))
 
     # ---- rows
     def map(self, df: DataFrame, *columns: str | Column, where: Column | None = None) -> DataFrame:
@@ -43,6 +44,14 @@ class Pipeline:
         """A function of a whole partition's batches; code after its loop runs at the partition's end."""
         return df.mapInArrow(fn, schema) if arrow else df.mapInPandas(fn, schema)
 
+    def process_partitions(self, df: DataFrame, fn: Callable[[int, Iterable], Iterable], schema: str) -> DataFrame:
+        """Like process, but the function also gets the partition's number."""
+
+        def run(batches):
+            return fn(TaskContext.get().partitionId(), batches)
+
+        return df.mapInPandas(run, schema)
+
     # ---- grouping
     def group_aggregate(self, df: DataFrame, keys: Sequence[str | Column], *aggs: Column) -> DataFrame:
         return aggregate.group_aggregate(df, keys, *aggs)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from flowjob.functions import scalars as S
 from flowjob.operators import aggregate, joins, mining, ordering, sortbench, wordcount
 from flowjob.plans.pipeline import Pipeline
+from flowjob.session import scratch
 from flowjob.sources import readers, sinks
 from flowjob.streaming import events as ev
 
@@ -35,12 +33,6 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "flowjob-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- words and lines
 
 _WORDS = "SELECT unnest(string_split(text, ' ')) AS word FROM documents"
@@ -172,6 +164,39 @@ def lookup_join(spark, d):
     return joins.lookup_join(t(spark, d, "lineitem").select("l_partkey", "l_quantity"), parts, "l_partkey").groupBy("p_brand").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, n_name AS name FROM nation")
+def combine_three(spark, d):
+    def fn(key, batches):
+        n, name = [0, 0, 0], None
+        for b in batches:
+            for i, part in b.groupby("input"):
+                n[i] += len(part)
+                if i == 0:
+                    name = part["row0"].iloc[0]["n_name"]
+        yield pd.DataFrame({"k": [key[0]], "customers": [n[1]], "suppliers": [n[2]], "name": [name]})
+
+    n, c, s = t(spark, d, "nation"), t(spark, d, "customer"), t(spark, d, "supplier")
+    inputs = [n.select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name"), c.select(F.col("c_nationkey").cast("bigint").alias("k"), "c_custkey"), s.select(F.col("s_nationkey").cast("bigint").alias("k"), "s_suppkey")]
+    return joins.combine(inputs, ["k"], fn, "k bigint, customers bigint, suppliers bigint, name string")
+
+
+_CLICKS = "SELECT user_id, ts, {} FROM events WHERE event_type {} (SELECT min(event_type) FROM events)"
+
+
+@query(f"SELECT l.user_id, l.ts, l.event_id, (SELECT max(struct_pack(ts := r.ts, value := r.value)).value FROM ({_CLICKS.format('value', '=')}) r WHERE r.user_id = l.user_id AND r.ts <= l.ts) AS value FROM ({_CLICKS.format('event_id', '<>')}) l")
+def asof_events(spark, d):
+    e = t(spark, d, "events")
+    first = e.agg(F.min("event_type").alias("first"))  # one row
+    e = e.join(F.broadcast(first))
+    return joins.asof_join(e.where("event_type <> first").select("user_id", "ts", "event_id"), e.where("event_type = first").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"])
+
+
+@query("SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_acctbal >= n_nationkey * 100 AND c_acctbal < n_nationkey * 150 + 10")
+def range_join_balances(spark, d):
+    ranges = t(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 100).alias("lo"), (F.col("n_nationkey") * 150 + 10).alias("hi"))
+    return joins.range_join(t(spark, d, "customer").select("c_custkey", "c_acctbal"), ranges, "c_acctbal", "lo", "hi", 250).select("c_custkey", "n_nationkey")
+
+
 def _outer(how: str):
     def fn(spark, d):
         c, o = t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_custkey", "o_orderkey")
@@ -206,12 +231,60 @@ def sort_partitions(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rank FROM orders")
 def sort_total(spark, d):
+    return ordering.number_rows(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", path=scratch(spark, "sorted"), name="rank")
+
+
+@query(ORACLE_SQL["sort_total"])
+def total_rank(spark, d):
     return ordering.total_rank(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
-@query("SELECT p_partkey, p_size, p_brand FROM part ORDER BY p_size DESC, p_brand, p_partkey DESC")
+@query("SELECT p_partkey, p_size, p_brand, row_number() OVER (ORDER BY p_size DESC, p_brand, p_partkey DESC) AS row FROM part")
 def sort_desc_custom(spark, d):
-    return ordering.sort_total(t(spark, d, "part").select("p_partkey", "p_size", "p_brand"), F.desc("p_size"), F.asc("p_brand"), F.desc("p_partkey"))
+    return ordering.number_rows(t(spark, d, "part").select("p_partkey", "p_size", "p_brand"), F.desc("p_size"), F.asc("p_brand"), F.desc("p_partkey"), path=scratch(spark, "sorted"))
+
+
+@query("SELECT o_custkey, count(*) AS n, CAST(1 AS BIGINT) AS n_partitions FROM orders GROUP BY ALL")
+def hash_partition(spark, d):
+    rows = ordering.partition(t(spark, d, "orders").select("o_custkey"), 8, "o_custkey").select("o_custkey", F.spark_partition_id().alias("p"))
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("p").alias("n_partitions"))
+
+
+@query("SELECT true AS ordered, count(*) AS n FROM orders")
+def range_partition(spark, d):
+    """Ranges of keys don't overlap."""
+    rows = ordering.partition(t(spark, d, "orders").select("o_orderkey"), 8, "o_orderkey", "range").groupBy(F.spark_partition_id().alias("p")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count("*").alias("n"))
+    rows = rows.withColumn("before", F.lag("hi").over(Window.orderBy("p")))  # a row for each partition
+    return rows.agg(F.bool_and(F.coalesce(F.col("before") < F.col("lo"), F.lit(True))).alias("ordered"), F.sum("n").alias("n"))
+
+
+@query("SELECT CAST(3 AS BIGINT) AS n_partitions, count(*) AS n FROM orders")
+def merge_partitions(spark, d):
+    rows = ordering.merge_partitions(ordering.partition(t(spark, d, "orders").select("o_orderkey"), 12, method="round_robin"), 3)
+    return rows.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p").alias("n_partitions"), F.count("*").alias("n"))
+
+
+_TURNS = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, {n} AS name, CAST({i} AS INT) AS input, row_number() OVER (ORDER BY {k}) AS turn FROM {x}" for i, (x, k, n) in enumerate((("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"))))
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY turn, input) AS row FROM ({_TURNS})")
+def interleave_inputs(spark, d):
+    inputs = [t(spark, d, x).select(F.col(k).cast("bigint").alias("k"), F.col(n).alias("name")) for x, k, n in (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"))]
+    return ordering.interleave(inputs, ["k"], [scratch(spark, "turns") for _ in range(3)])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def limit_offset(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(20)
+
+
+@query("SELECT CAST(o_orderkey % 4 AS INT) AS part, count(*) AS n FROM orders GROUP BY 1")
+def process_numbered_partitions(spark, d):
+    def fn(number, batches):
+        yield pd.DataFrame({"part": [number], "n": [sum(len(b) for b in batches)]})
+
+    rows = ordering.partition(t(spark, d, "orders").select((F.col("o_orderkey") % 4).alias("k")), 4, F.col("k"), "custom")
+    return Pipeline(spark).process_partitions(rows, fn, "part int, n bigint")
 
 
 @query("SELECT CAST(o_orderkey % 4 AS INT) AS part, count(*) AS n, min(o_orderkey % 4) AS lo, max(o_orderkey % 4) AS hi FROM orders GROUP BY 1")
@@ -246,6 +319,25 @@ def gensort_shape(spark, d):
     return rows.select("number", F.base64("key").alias("key64"), F.length("record").alias("width"), F.crc32("record").alias("crc"))
 
 
+@query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS unsorted, CAST(0 AS BIGINT) AS lost FROM orders")
+def gensort_files(spark, d):
+    """Records are generated, written, read, sorted, written again, and validated as they were written."""
+    n = t(spark, d, "orders").count()
+    made = readers.printable_records(spark, sinks.write_records(sortbench.generate_records(spark, n, 8), scratch(spark, "records")))
+    done = ordering.number_rows(made, "key", path=scratch(spark, "sorted"))
+    checked = sortbench.validate(done, "key", "row", checksum_of="record")
+    before = made.agg(F.sum(F.crc32("record").cast("decimal(38,0)")).alias("made"))
+    return checked.join(before).select("records", "unsorted", (F.col("checksum") - F.col("made")).cast("bigint").alias("lost"))
+
+
+_VOCABULARY = ("amber", "birch", "cedar", "delta", "ember", "fjord", "grove")
+
+
+@query(f"SELECT i AS number, string_agg(([{', '.join(repr(w) for w in _VOCABULARY)}])[CAST((i * 1103515 + j * 12345) % 2147483647 * 48271 % 2147483647 % 7 AS INT) + 1], ' ' ORDER BY j) AS line FROM (SELECT range AS i FROM range(0, 5000)), (SELECT range AS j FROM range(1, 13)) GROUP BY i")
+def generate_text(spark, d):
+    return sortbench.generate_text(spark, 5000, 8, 12, _VOCABULARY)
+
+
 _VAL = "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, lag(o_custkey) OVER (ORDER BY o_orderkey) AS b FROM orders"
 
 
@@ -282,6 +374,46 @@ def scalar_functions(spark, d):
     return t(spark, d, "customer").select("c_custkey", F.char_length("c_name").cast("bigint").alias("chars"), S.byte_length(F.col("c_name")).cast("bigint").alias("bytes"), S.pair_text(F.col("c_name"), F.col("c_custkey")).alias("pair"))
 
 
+_SIZES = "SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY 1"
+
+
+@query(f"SELECT k, list_reduce(list_prepend(CAST(0 AS BIGINT), l), lambda a, x: (a * 31 + x) % 2147483647) AS h, CAST(len(l) AS BIGINT) AS n, true AS same FROM ({_SIZES})")
+def list_functions(spark, d):
+    """Sequence hash, and a shuffle that keeps all items."""
+    lists = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
+    rows = lists.withColumn("s", S.shuffled(F.col("l"), 7))
+    return rows.select("k", S.sequence_hash(F.col("l")).alias("h"), F.size("s").cast("bigint").alias("n"), (F.array_sort("s") == F.col("l")).alias("same"))
+
+
+@query("SELECT p_partkey, CASE WHEN encode(p_name) < encode(p_brand) THEN -1 WHEN p_name = p_brand THEN 0 ELSE 1 END AS sign, left(p_name, 4) AS head FROM part")
+def byte_functions(spark, d):
+    """Comparison by bytes and leading bytes as keys."""
+    return t(spark, d, "part").select("p_partkey", S.compare_bytes(F.col("p_name"), F.col("p_brand")).alias("sign"), S.key_of(F.col("p_name"), 4).cast("string").alias("head"))
+
+
+@query("SELECT l_orderkey, list_has_all([1, 2, 3, 4], list(l_linenumber)) AS subset FROM lineitem GROUP BY 1")
+def subset_test(spark, d):
+    lists = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("l"))
+    return lists.select("l_orderkey", S.is_subset(F.col("l"), F.array(*map(F.lit, (1, 2, 3, 4)))).alias("subset"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) v(n, s)")
+def rows_in_memory(spark, d):
+    return readers.from_rows(spark, [(1, "a"), (2, None), (3, "c")], "n int, s string")
+
+
+@query("SELECT range AS n, range * 3 AS triple FROM range(0, 1000)")
+def own_source(spark, d):
+    """A source defined by its splits and a function that reads one."""
+
+    def plan(options):
+        step = int(options["step"])
+        return [(a, min(a + step, 1000)) for a in range(0, 1000, step)]
+
+    readers.register_source(spark, "tripled_numbers", "n bigint, triple bigint", plan, lambda split: ((n, 3 * n) for n in range(*split)))
+    return spark.read.format("tripled_numbers").option("step", "300").load()
+
+
 # ---------------------------------------------------------------- mining
 
 _ITEMS = "SELECT l_partkey AS item, count(DISTINCT l_orderkey) AS support FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 10"
@@ -307,7 +439,7 @@ def group_transactions(spark, d):
 
 @query("WITH b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT x.item AS a, y.item AS b, count(*) AS support FROM b x JOIN b y ON x.o = y.o AND x.item < y.item GROUP BY ALL HAVING count(*) >= 20")
 def frequent_pairs(spark, d):
-    patterns, ranked = mining.frequent_patterns(_brands(spark, d), "o", "item", 20, 8)
+    patterns, ranked = mining.frequent_patterns(_brands(spark, d), "o", "item", 20, 8, longest=2, ranks_at=scratch(spark, "ranks"))
     pairs = patterns.where(F.size("pattern") == 2).select(F.col("pattern")[0].alias("x"), F.col("pattern")[1].alias("y"), "support")
     one = ranked.select(F.col("rank").alias("x"), F.col("item").alias("i"))
     two = ranked.select(F.col("rank").alias("y"), F.col("item").alias("j"))
@@ -319,9 +451,21 @@ def _brands(spark: SparkSession, d: str) -> DataFrame:
     return joins.lookup_join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey"), parts, "l_partkey").select("o", "item")
 
 
-@query(None)
+_PATTERNS = """WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
+r AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS r FROM b GROUP BY item HAVING count(*) >= 20),
+br AS (SELECT o, r FROM b JOIN r USING (item)),
+sub AS (SELECT o, [r] AS p, r AS last FROM br UNION ALL SELECT sub.o, list_append(p, br.r), br.r FROM sub JOIN br ON sub.o = br.o AND br.r > sub.last),
+pat AS (SELECT p, count(*) AS s FROM sub GROUP BY p HAVING count(*) >= 20),
+less AS (SELECT DISTINCT [x for x in p if x <> y] AS p, s FROM (SELECT p, s, unnest(p) AS y FROM pat)),
+each AS (SELECT unnest(p) AS i, p, s FROM pat WHERE NOT EXISTS (SELECT 1 FROM less WHERE less.p = pat.p AND less.s = pat.s)),
+best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, len(p) DESC, p) AS rank FROM each),
+names AS (SELECT i, rank, s, string_agg(n.item, ',' ORDER BY n.r) AS pattern FROM (SELECT i, rank, s, unnest(p) AS x FROM best WHERE rank <= 10) JOIN r n ON n.r = x GROUP BY ALL)
+SELECT r.item, rank, s AS support, pattern FROM names JOIN r ON r.r = i"""
+
+
+@query(_PATTERNS)
 def topk_patterns(spark, d):
-    return mining.top_patterns(_brands(spark, d), "o", "item", 20, 10, 8).withColumn("pattern", F.array_join("pattern", ","))
+    return mining.top_patterns(_brands(spark, d), "o", "item", 20, 10, 8, ranks_at=scratch(spark, "ranks")).withColumn("pattern", F.array_join("pattern", ","))
 
 
 # ---------------------------------------------------------------- files
@@ -339,6 +483,28 @@ def roundtrip_text(spark, d):
     return readers.read(spark, sinks.write_pairs(t(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("value")), path), "text")
 
 
+def _round_trip(format: str):
+    def fn(spark, d):
+        rows = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+        return readers.read(spark, sinks.write(rows, scratch(spark, format), format, compression="gzip" if format != "orc" else "zlib"), format, rows.schema)
+
+    return fn
+
+
+for _format in ("csv", "json", "orc"):
+    QUERIES[f"roundtrip_{_format}"] = _round_trip(_format)
+    ORACLE_SQL[f"roundtrip_{_format}"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def overwrite_output(spark, d):
+    """The second write takes the place of the first."""
+    path = scratch(spark, "overwritten")
+    sinks.write(t(spark, d, "nation").select("n_nationkey"), path)
+    rows = t(spark, d, "region").select("r_regionkey", "r_name")
+    return readers.read(spark, sinks.write(rows, path, mode="overwrite"), schema=rows.schema)
+
+
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
 def split_by_partition_write(spark, d):
     rows = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
@@ -378,6 +544,23 @@ def rollup_sums(spark, d):
     return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, d):
+    return t(spark, d, "lineitem").groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY ALL")
+def pivot_counts(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.count(F.lit(1)).alias("n")).select("o_orderpriority", F.coalesce("F", F.lit(0)).cast("bigint").alias("f"), F.coalesce("O", F.lit(0)).cast("bigint").alias("o"))
+
+
+@query("SELECT true AS near, count(DISTINCT o_custkey) AS n FROM orders")
+def approximate_distinct(spark, d):
+    """The sketch's estimate is within 10 % of the count."""
+    both = t(spark, d, "orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("e"), F.count_distinct("o_custkey").alias("n"))
+    return both.select((F.abs(F.col("e") - F.col("n")) <= F.col("n") * 0.1).alias("near"), "n")
+
+
 @query("SELECT o_orderkey, o_custkey, lag(o_totalprice) OVER w AS before, row_number() OVER w AS nth FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_lag(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

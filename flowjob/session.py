@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_LOCAL: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where none is set, a session in one process gets a folder that goes at its end;
+    on a cluster that fails, since executors don't see each other's local folders.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="flowjob-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = _LOCAL[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def build_session(app: str = "flowjob", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """AQE on (coalescing, skewed joins), UTC, compressed and checksummed shuffles."""

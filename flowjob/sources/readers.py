@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +36,43 @@ def fixed_records(spark: SparkSession, path: str, width: int = 100, key_bytes: i
     return df.select(F.substring("record", 1, key_bytes).alias("key"), "record")
 
 
+def printable_records(spark: SparkSession, path: str, key_bytes: int = 10) -> DataFrame:
+    """Records that end in \\r\\n: key and record as binary columns, read and split by the JVM's text reader."""
+    value = F.concat(F.col("value").cast("binary"), F.lit(b"\r\n"))
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.substring(value, 1, key_bytes).alias("key"), value.alias("record"))
+
+
+def register_source(spark: SparkSession, name: str, schema: str, plan: Callable[[dict], Sequence], read: Callable[[object], Iterable]) -> None:
+    """A source of one's own for spark.read.format(name): plan(options) lists splits, read(split) gives tuples or Arrow batches.
+
+    Each split is one task, read again if its executor is lost.
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.options = dict(options)
+
+        def partitions(self):
+            return [InputPartition(x) for x in plan(self.options)]
+
+        def read(self, partition):
+            yield from read(partition.value)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return schema
+
+        def reader(self, schema):
+            return Reader(self.options)
+
+    spark.dataSource.register(Source)
+
+
 def from_rows(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 

@@ -1,4 +1,4 @@
-"""Sinks: record files, text, fixed-width records, fan-out by a column."""
+"""Sinks: record files, text, printable records of a fixed width, fan-out by a column."""
 
 from __future__ import annotations
 
@@ -31,3 +31,13 @@ def write_pairs(df: DataFrame, path: str, key: str = "key", value: str = "value"
     """Lines like [word, 3]."""
     need(df, [key, value], "write_pairs")
     return write(df.select(pair_text(F.col(key), F.col(value)).alias("value")), path, "text", mode)
+
+
+def write_records(df: DataFrame, path: str, record: str = "record", width: int = 100, mode: str = "errorifexists") -> str:
+    """Printable binary records of `width` bytes that end in \\r\\n, one after another with nothing between; others fail the job."""
+    need(df, [record], "write_records")
+    body, end = F.expr(f"substring(`{record}`, 1, {width - 2})"), F.expr(f"substring(`{record}`, {width - 1}, 2)")
+    fits = (F.octet_length(record) == width) & (end == F.lit(b"\r\n"))
+    text = F.when(fits, body.cast("string")).otherwise(F.raise_error(F.lit(f"a record that isn't {width} bytes with its line end")).cast("string"))
+    df.select(text.alias("value")).write.mode(mode).option("lineSep", "\r\n").text(path)
+    return path

@@ -208,3 +208,69 @@ def test_wide_record_round_trip(spark, tmp_path):
     kind = T.StructType([T.StructField("s", T.StringType(), False), T.StructField("n", T.IntegerType()), T.StructField("t", record(T.LongType(), T.BooleanType())), T.StructField("v", variants(one=pair(T.StringType(), T.IntegerType()), two=T.StructType([T.StructField("x", T.DoubleType())]))), T.StructField("b", T.BinaryType()), T.StructField("a", T.ArrayType(T.IntegerType()))])
     df = spark.createDataFrame([("x", None, (1, True), ("one", ("k", 2), None), bytearray(b"\x00\xff"), [1, 2])], kind)
     assert readers.read(spark, sinks.write(df, str(tmp_path / "r"), compression="gzip"), schema=kind).collect() == df.collect()
+
+
+def test_closed_patterns_that_always_occur_together():
+    rows = [(tuple(range(40)), 7), (tuple(range(0, 40, 2)), 5), ((1, 3), 2)]
+    got = dict(mining.grow_closed(rows, set(range(40)), 2))
+    assert got == {tuple(range(40)): 7, tuple(range(0, 40, 2)): 12, (1, 3): 9}
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_closed_patterns_against_all_patterns(k):
+    r = random.Random(11)
+    for _ in range(30):
+        rows = [(tuple(sorted(r.sample(range(9), r.randint(1, 7)))), r.randint(1, 3)) for _ in range(12)]
+        every = dict(mining.grow(rows, set(range(9)), 3))
+        want = {p: n for p, n in every.items() if not any(set(p) < set(q) and m == n for q, m in every.items())}
+        got = list(mining.grow_closed(rows, set(range(9)), 3, k))
+        assert len(got) == len(set(got)) and dict(got).items() <= want.items()
+        if k is None:
+            assert dict(got) == want
+        for i in range(9):
+            best = lambda x: sorted(((-n, p) for p, n in x if i in p), key=lambda y: y[0])
+            assert [n for n, _ in best(got)][: k or 99] == [n for n, _ in best(want.items())][: k or 99]
+
+
+def test_numbers_and_turns(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c"), (None, "x"), (1, "a"), (2, "b"), (2, "b")], "n int, s string")
+    got = {(x["s"], x["row"]) for x in ordering.number_rows(df, F.desc_nulls_first("n"), path=str(tmp_path / "a")).collect()}
+    assert got == {("x", 1), ("c", 2), ("b", 3), ("b", 4), ("a", 5)}
+    assert ordering.number_rows(df.where("false"), "n", path=str(tmp_path / "e")).count() == 0
+    one, two = (spark.createDataFrame([(x,) for x in v], "v string") for v in ("ace", "bd"))
+    turns = ordering.interleave([one, two], ["v"], [str(tmp_path / x) for x in "xyz"])
+    assert "".join(x["v"] for x in turns.orderBy("row").collect()) == "abcde"
+
+
+def test_printable_records_keep_their_bytes(spark, tmp_path):
+    rows = sortbench.generate_records(spark, 300, 3)
+    path = sinks.write_records(rows, str(tmp_path / "r"))
+    assert sum(p.stat().st_size for p in (tmp_path / "r").glob("part-*")) == 30_000
+    back = readers.printable_records(spark, path)
+    want = {bytes(x["record"]) for x in rows.collect()}
+    assert {bytes(x["record"]) for x in back.collect()} == want == {bytes(x["record"]) for x in readers.fixed_records(spark, path).collect()}
+    with pytest.raises(Exception, match="100 bytes"):
+        sinks.write_records(spark.createDataFrame([(b"short\r\n",)], "record binary"), str(tmp_path / "bad"))
+
+
+def test_asof_and_range_joins(spark):
+    left = spark.createDataFrame([("a", 1, 10), ("a", 5, 11), (None, 3, 12), ("b", 9, 13)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 1, 100), ("a", 4, 101), ("a", 6, 102), (None, 2, 103), ("b", 10, 104)], "k string, t int, v int")
+    got = {x["id"]: x["v"] for x in joins.asof_join(left, right, ["k"], "t", ["v"]).collect()}
+    assert got == {10: 100, 11: 101, 12: 103, 13: None}
+    points = spark.createDataFrame([(-5.0,), (0.0,), (9.5,), (None,)], "p double")
+    ranges = spark.createDataFrame([(-10.0, 0.0), (0.0, 9.5), (3.0, 3.0), (None, 1.0), (-100.0, 100.0)], "lo double, hi double")
+    pairs = sorted((x["p"], x["lo"]) for x in joins.range_join(points, ranges, "p", "lo", "hi", 4).collect())
+    assert pairs == [(-5.0, -100.0), (-5.0, -10.0), (0.0, -100.0), (0.0, 0.0), (9.5, -100.0)]
+
+
+def test_fold_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame([(i % 3, i) for i in range(50)], "k int, v bigint").repartition(7)
+        assert dict(aggregate.group_fold(df, "k", "v", max).collect()) == {0: 48, 1: 49, 2: 47}
+        assert aggregate.group_fold(df.where("false"), "k", "v", max).count() == 0
+        got = sortbench.validate(spark.createDataFrame([(i, k) for i, k in enumerate([1, 3, 2, 2, 5, 4])], "p int, k int"), "k", "p", partitions=2).first()
+        assert (got["unsorted"], got["duplicates"], got["first_unsorted"]) == (2, 1, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
