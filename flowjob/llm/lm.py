@@ -409,6 +409,13 @@ TRIE, COUNTS, TOKENS, SUMS, DOCUMENT = 0, 1, 3, 5, 6
 _WAYS = "shard int, kind tinyint, base bigint, keys binary, aux binary"
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: rows on their way are long, and copies are made of one slice at a time."""
+    for x in batches:
+        for i in range(0, x.num_rows, rows):
+            yield x.slice(i, rows)
+
+
 class _Shard:
     """What came of a shard's training counts so far, and the trie of them."""
 
@@ -470,7 +477,7 @@ class Model:
             def made() -> pa.RecordBatch:
                 return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "kind": pa.array([TRIE], pa.int8()), "base": pa.nulls(1, pa.int64()), "keys": pa.array([shard.built()], pa.binary()), "aux": pa.nulls(1, pa.binary())})
 
-            for x in batches:
+            for x in _sliced(batches):
                 for number, kind, keys, aux in zip(*(x.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
                     if number != now:
                         if now is not None:
@@ -559,7 +566,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
             return filled(len(cut) - 1, kind=pa.array(np.full(len(cut) - 1, SUMS, np.int8)), base=pa.array(doc[cut[:-1]]), keys=binary(number), aux=binary(values))
 
         held_sums, n_held = [], 0
-        for x in batches:
+        for x in _sliced(batches):
             kinds = np.asarray(x.column(1))
             if len(done := np.flatnonzero(kinds == DOCUMENT)):
                 yield x.take(pa.array(done))
@@ -593,7 +600,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of a part's documents come first, then their facts."""
         now, total = None, np.zeros(0)
-        for x in batches:
+        for x in _sliced(batches):
             done = []
             for i, (part, kind) in enumerate(zip((np.asarray(x.column(2)) >> 33).tolist(), x.column(1).to_pylist(), strict=True)):
                 if part != now:
