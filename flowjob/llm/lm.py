@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,8 @@ DISCOUNT = 0.75
 PAD, BEGIN, END, ANY, FIRST = range(5)  # codes of marks; from FIRST on the frequent words
 _NARROW = 21  # bits of a frequent word's code
 _RARE = 1 << 62  # other words' codes: this, and 62 bits of their hash
-_ENTRIES = 512  # of one row on its way to a shard
+_ENTRIES = 1024  # of one row on its way to a shard
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 CHUNK_BYTES, CHUNK_TEXTS = 4 << 20, 1 << 16
 
 
@@ -209,23 +211,15 @@ def _counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray | None =
     return tuple(np.concatenate(p) for p in zip(*outs, strict=True))
 
 
-def _planes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Entries as bytes, those of full rows byte by byte: all first bytes, then all second ones (they compress better so)."""
-    out = values.copy()
-    full = begin[np.diff(np.append(begin, len(values))) == _ENTRIES]
-    at = full[:, None] + np.arange(_ENTRIES)
-    out[at] = values[at].transpose(0, 2, 1).reshape(len(full), _ENTRIES, values.shape[1])
-    return out
+def _squeezed(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Rows of entries as compressed bytes: all first bytes, then all second ones (entropy coding gains most so)."""
+    end = np.append(begin[1:], len(values))
+    return pa.array([_ZIP.compress(values[a:b].T.tobytes()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
 
 
-def _from_planes(rows: list[bytes], width: int) -> np.ndarray:
-    full = _ENTRIES * width
-    flat = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    out = flat.copy()
-    at = ((np.cumsum(sizes) - sizes) // width)[sizes == full][:, None] + np.arange(_ENTRIES)
-    out[at] = flat[at].reshape(len(at), width, _ENTRIES).transpose(0, 2, 1)
-    return out
+def _unsqueezed(rows: list[bytes], width: int) -> np.ndarray:
+    parts = [np.frombuffer(_UNZIP.decompress(x), np.uint8).reshape(width, -1).T for x in rows]
+    return np.concatenate(parts) if parts else np.zeros((0, width), np.uint8)
 
 
 def _shipped(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, aux: np.ndarray, base: int, first_kind: int) -> Iterator[dict[str, pa.Array]]:
@@ -240,26 +234,21 @@ def _shipped(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, aux
         place = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
         begin = np.flatnonzero(place % _ENTRIES == 0)
         words = [x[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, : 8 if kind else 3] for x in (c, a, b)]
-        offsets = np.append(begin, len(s)).astype(np.int32)
-
-        def binary(values: np.ndarray, offsets=offsets) -> pa.Array:
-            planes = _planes(values, offsets[:-1])
-            return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets * np.int32(values.shape[1])), pa.py_buffer(planes)])
-
         x = aux[order]
-        yield {"shard": pa.array(s[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), first_kind + kind, np.int8)), "base": pa.array(np.full(len(begin), base, np.int64)), "keys": binary(np.concatenate(words, 1)), "aux": binary(x.view(np.uint8).reshape(len(x), -1))}
+        yield {"shard": pa.array(s[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), first_kind + kind, np.int8)), "base": pa.array(np.full(len(begin), base, np.int64)), "keys": _squeezed(np.concatenate(words, 1), begin), "aux": _squeezed(x.view(np.uint8).reshape(len(x), -1), begin)}
 
 
 def _entries(keys: tuple[list[bytes], list[bytes]], aux: tuple[list[bytes], list[bytes]], aux_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """a, b, c and aux of shipped rows, narrow ones first."""
     parts = []
     for rows, width in zip(keys, (3, 8), strict=True):
-        flat = np.zeros((sum(map(len, rows)) // (3 * width), 3, 8), np.uint8)
-        flat[:, :, :width] = _from_planes(rows, 3 * width).reshape(-1, 3, width)
+        packed = _unsqueezed(rows, 3 * width)
+        flat = np.zeros((len(packed), 3, 8), np.uint8)
+        flat[:, :, :width] = packed.reshape(-1, 3, width)
         parts.append(flat.reshape(-1).view("<i8").reshape(-1, 3))
     c, a, b = np.ascontiguousarray(np.concatenate(parts).T)
     width = np.dtype(aux_type).itemsize
-    return a, b, c, np.concatenate([_from_planes(rows, width).reshape(-1).view(aux_type) for rows in aux])
+    return a, b, c, np.concatenate([_unsqueezed(rows, width).reshape(-1).view(aux_type) for rows in aux])
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -536,14 +525,14 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
         """A shard's trie or counts come first, then the tokens; the sums of each document's tokens go out."""
         v = held.value
         now, shard, trie = None, None, None
-        waiting: list[tuple[int, bytes, bytes, int]] = []
+        waiting: list[tuple[int, bytes, bytes, int, int]] = []
         size = 0
 
         def sums() -> tuple[np.ndarray, np.ndarray]:
             by = [[w for w in waiting if w[0] == k] for k in (TOKENS, TOKENS + 1)]
             a, b, c, text = _entries(tuple([w[1] for w in rows] for rows in by), tuple([w[2] for w in rows] for rows in by), np.uint16)
-            doc = text + np.repeat([w[3] for rows in by for w in rows], [len(w[2]) // 2 for rows in by for w in rows])
-            narrow = sum(len(w[2]) for w in by[0]) // 2
+            doc = text + np.repeat([w[3] for rows in by for w in rows], [w[4] for rows in by for w in rows])
+            narrow = sum(w[4] for w in by[0])
             key = _packed(a[:narrow], b[:narrow], c[:narrow])
             order = np.argsort(key)
             new = np.diff(key[order], prepend=-1) != 0
@@ -590,8 +579,8 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
                     if shard is not None:
                         raw, shard = shard.built(), None
                         trie = Trie(raw) if raw else trie
-                    waiting.append((kind, keys, aux, base))
-                    size += len(aux) // 2
+                    waiting.append((kind, keys, aux, base, zstandard.frame_content_size(aux) // 2))
+                    size += waiting[-1][4]
         if size:
             held_sums.append(sums())
         if held_sums:
