@@ -1,8 +1,16 @@
 """Near-duplicate documents by a chosen-path set similarity join over minhashes.
 
 Texts with equal shingle sets form a class; one text stands for it.  A class has
-`SKETCH` minwise tokens of 32 bits.  In each of `trees` independent trees all classes
-begin at the root, and a node of more than `limit` classes branches: its path selects
+`SKETCH` minwise tokens of 32 bits.  Large groups of near copies are settled first, each
+around a pivot.  The number of tokens in which two classes differ is a distance, so what
+differs from a class in `SKETCH - AGREE` tokens at most, as candidates do, differs from
+the pivot in so many more at most: a class that agrees with the pivot in `AGREE` tokens
+(the core) has all its candidates among those that agree with it in `2 * AGREE - SKETCH`
+(the ball).  Core classes are confirmed against the pivot, a ball's components are compared
+with each other, and then its core is done.  Where that would take more rows than the
+trees do, and beyond the `PIVOTS` largest groups, classes stay for the trees.
+
+In each of `trees` independent trees all other classes begin at the root, and a node of more than `limit` classes branches: its path selects
 a coordinate, and at times a second one (1 / 0.8 on average, so that what a pair of
 similarity 0.8 has in common neither grows nor dies out), and each of its classes goes
 on to the children that its own tokens there name.  A node of `limit` classes or fewer
@@ -51,6 +59,8 @@ TREES, SKETCH, LIMIT, DEPTH, BLOCK = 21, 64, 32, 5, 2048
 BLOCK_SHINGLES = 8_000_000
 #: A pair of similarity 0.8 agrees on 51 of 64 sketch bytes, with a deviation of 3.2.
 AGREE = 36
+#: Groups that are settled before the trees, at most, and the classes of each of which one becomes the pivot.
+PIVOTS, SAMPLE = 4096, 16
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -163,6 +173,18 @@ def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "cls", "n", "sketch").repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, _PAIRS)
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """rows: node, n, label.  Of each node the largest label with its count, the number of rows and the largest set."""
+    counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("n").alias("longest"))
+
+
+def _blocks(count: Column, block: int) -> Column:
+    """The blocks that so many rows of a node are dealt to."""
+    most = F.greatest(F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))), F.lit(min(64, block)))
+    return F.greatest(F.ceil(count / most), F.lit(1)).cast("int")
+
+
 def _deal(rows: DataFrame, block: int) -> DataFrame:
     """rows (node, cls, n, sketch, label) with i, j: the pairs of blocks that each goes to.
 
@@ -171,12 +193,8 @@ def _deal(rows: DataFrame, block: int) -> DataFrame:
     are joined with is written first: then both sides of the join are plain
     exchanges, and a hot node's rows can be split.
     """
-    counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    sizes = counts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("n").alias("longest"))
-    most = F.greatest(F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))), F.lit(min(64, block)))
-    blocks = lambda c: F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
-    r = rows.join(written(sizes, "blocks"), "node").withColumn("main", F.col("label") == F.col("top.label"))
-    r = r.withColumn("nm", blocks(F.col("top.c"))).withColumn("nr", blocks(F.col("m") - F.col("top.c")))
+    r = rows.join(written(_sizes(rows), "blocks"), "node").withColumn("main", F.col("label") == F.col("top.label"))
+    r = r.withColumn("nm", _blocks(F.col("top.c"), block)).withColumn("nr", _blocks(F.col("m") - F.col("top.c"), block))
     own = F.pmod(F.xxhash64("cls", "node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
     # the rest's block k meets main block b under key (-1 - b, k), and rest block l >= k under key (k, l)
     rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda b: F.struct((-1 - b).alias("i"), F.col("own").alias("j"))), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
@@ -291,6 +309,93 @@ def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, _PAIRS)
 
 
+def _tokens(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u4").reshape(len(column), SKETCH)
+
+
+def _pivots(known: DataFrame, limit: int) -> list[tuple[bytes, int, bytes]]:
+    """cls, n, tokens of a class amid each large group, the largest groups first.
+
+    More than `limit` classes with two tokens in common are a group; of `SAMPLE` of them
+    the one most like the others is taken, unless it is like a pivot already.  What
+    comes to the driver is bounded by `PIVOTS`.
+    """
+    keyed = known.select(F.xxhash64(F.substr("tokens", F.lit(1), F.lit(8))).alias("k"), "cls", "n", "tokens")
+    largest = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > limit).orderBy(F.desc("c"), "k").limit(PIVOTS)
+    some = keyed.join(F.broadcast(largest), "k").where(F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / SAMPLE)) == 0)
+    groups = some.groupBy("k").agg(F.max("c").alias("c"), F.sort_array(F.collect_list(F.struct("cls", "n", "tokens"))).alias("g")).toArrow().to_pylist()
+    out, taken = [], np.zeros((len(groups), SKETCH), np.uint32)
+    for group in sorted(groups, key=lambda r: (-r["c"], r["k"])):
+        tokens = _tokens([x["tokens"] for x in group["g"]])
+        amid = int((tokens[:, None] == tokens[None]).sum((1, 2)).argmax())
+        if not ((taken[: len(out)] == tokens[amid]).sum(1) >= AGREE).any():
+            taken[len(out)] = tokens[amid]
+            out.append(tuple(group["g"][amid][c] for c in ("cls", "n", "tokens")))
+    return out
+
+
+class _Balls:
+    """Pivots, found by the tokens that a class has in common with them."""
+
+    def __init__(self, pivots: list[tuple[bytes, int, bytes]], percent: int):
+        self.n, self.percent = np.array([p[1] for p in pivots]), percent
+        tokens = _tokens([p[2] for p in pivots]).T
+        self.order = np.argsort(tokens, 1, kind="stable")
+        self.tokens = np.take_along_axis(tokens, self.order, 1)
+
+    def find(self, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class and the pivot of each place in a ball, and whether it is in the core; a core class and its candidates may differ in size by `percent` each."""
+        meets = []
+        for order, held, asked in zip(self.order, self.tokens, np.ascontiguousarray(tokens.T), strict=True):
+            first, last = np.searchsorted(held, asked), np.searchsorted(held, asked, "right")
+            some = np.flatnonzero(last > first)
+            many = (last - first)[some]
+            at = np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            meets.append(np.repeat(some, many) * len(self.n) + order[at])
+        key, agree = np.unique(np.concatenate(meets), return_counts=True)
+        row, pivot = np.divmod(key, len(self.n))
+        least, most = np.minimum(n[row], self.n[pivot]), np.maximum(n[row], self.n[pivot])
+        core = (agree >= AGREE) & (100 * least >= self.percent * most)
+        ball = (agree >= 2 * AGREE - SKETCH) & (10_000 * least >= self.percent**2 * most)
+        return row[ball], pivot[ball], core[ball]
+
+
+def _balls(known: DataFrame, limit: int, percent: int) -> DataFrame | None:
+    """node, cls, n, sketch, p, core: for each pivot p (its number is the node) with a core of more than `limit` classes and not many more around it, its ball."""
+    pivots = _pivots(known, limit)
+    if not pivots:
+        return None
+
+    def found(batch: pa.RecordBatch, balls: _Balls) -> Iterator[tuple]:
+        """batch: n, tokens, ..."""
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            yield part, *balls.find(np.asarray(part.column(0)), _tokens(part.column(1).to_pylist()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls, sizes = _Balls(pivots, percent), np.zeros((2, len(pivots)), np.int64)
+        for batch in batches:
+            for _, _, pivot, core in found(batch, balls):
+                sizes += [np.bincount(pivot, minlength=len(pivots)), np.bincount(pivot[core], minlength=len(pivots))]
+        at = np.flatnonzero(sizes[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[0][at]), pa.array(sizes[1][at])], ["node", "ball", "core"])
+
+    counted = known.select("n", "tokens").mapInArrow(count, "node bigint, ball bigint, core bigint").groupBy("node").agg(F.sum("ball").alias("ball"), F.sum("core").alias("core"))
+    chosen = [pivots[r["node"]] for r in counted.where((F.col("core") > limit) & (F.col("ball") <= 4 * F.col("core"))).orderBy("node").collect()]
+    if not chosen:
+        return None
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls = _Balls(chosen, percent)
+        names = pa.array([p[0] for p in chosen], pa.binary())
+        for batch in batches:
+            for part, row, pivot, core in found(batch, balls):
+                got = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(pivot), got.column(2), got.column(0), got.column(3), names.take(pa.array(pivot)), pa.array(core)], ["node", "cls", "n", "sketch", "p", "core"])
+
+    return written(known.select("n", "tokens", "cls", "sketch").mapInArrow(deal, "node bigint, cls binary, n bigint, sketch binary, p binary, core boolean"), "balls")
+
+
 def _children(node: Column, tokens: Column, percent: int) -> Column:
     """array<bigint>: the children of its node that a class goes on to; the node alone selects their coordinates."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(SKETCH)).cast("int")
@@ -348,8 +453,6 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def described(rows: DataFrame) -> DataFrame:
         return rows.join(known.select("cls", "n", "sketch"), "cls").select("node", "cls", "n", "sketch", F.col("cls").alias("label"))
 
-    each = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
-    rows = known.select("cls", "tokens", each).select("cls", F.explode(_children(F.xxhash64("tree"), F.col("tokens"), percent)).alias("node"))
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct(), "candidates")
         return written(_confirm(pairs, wanted(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), shingle, percent), "links")
@@ -360,7 +463,22 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         several = rows.groupBy("node").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("node")
         return written(rows.join(written(several, "several"), "node"), "mixed")
 
-    small, levels, links = [], [], []
+    def blocks(rows: DataFrame) -> DataFrame:
+        """Links between the components of each node, all compared with each other."""
+        near = written(_promising(_deal(rows, block), percent), "promising")
+        return _compare_blocks(near, wanted(near.select("cls")), shingle, percent)
+
+    small, levels, links, first = [], [], [], known
+    balls = _balls(known, limit, percent)
+    if balls is not None:
+        links.append(confirmed(balls.where("core and cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))))
+        around = mixed(balls, components(links[0]))
+        dear = _sizes(around).where((F.col("m") - F.col("top.c")) * _blocks(F.col("m"), block) > trees * F.col("top.c")).select("node")
+        dear = written(dear, "dear")  # nodes that the trees take apart with fewer rows
+        links.append(written(blocks(around.join(dear, "node", "left_anti")), "links"))
+        first = known.join(written(balls.join(dear, "node", "left_anti").where("core").select("cls").distinct(), "settled"), "cls", "left_anti")
+    each = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
+    rows = first.select("cls", "tokens", each).select("cls", F.explode(_children(F.xxhash64("tree"), F.col("tokens"), percent)).alias("node"))
     for level in range(depth):
         levels.append(met(rows))
         small.append(levels[-1].where(F.col("m") <= limit).select("cls", "node"))
@@ -370,7 +488,7 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if level == 1:  # unrelated classes are apart by now: what stays together is most often one group of copies
             heads = written(described(large), "large")
             links.append(confirmed(_compare_pivots(heads, percent)))
-            large = mixed(heads, components(links[0])).select("cls", "node")
+            large = mixed(heads, components(reduce(DataFrame.unionByName, links))).select("cls", "node")
         rows = large.join(known.select("cls", "tokens"), "cls").select("cls", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
     large = written(described(large), "large")
     links.append(confirmed(_compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(_compare_pivots(large, percent))))
@@ -379,8 +497,7 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         rows = mixed(large, joined)
         if not rows.isEmpty():
-            near = written(_promising(_deal(rows, block), percent), "promising")
-            links.append(_compare_blocks(near, wanted(near.select("cls")), shingle, percent))
+            links.append(blocks(rows))
             joined = components(reduce(DataFrame.unionByName, links))
     full = known.join(joined, known["cls"] == joined["node"], "left").select("cls", "least", "rep", F.coalesce("root", "cls").alias("root"))
     best = full.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("rep.doc_id").isNotNull(), F.col("rep"))).alias("r1"), F.min("rep").alias("r2"))

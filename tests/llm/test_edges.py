@@ -205,6 +205,43 @@ def test_branching(spark, monkeypatch):
     assert len(levels) >= 2 and nearmin.trees_for(0.999999) <= nearmin.TREES
 
 
+def test_a_large_group_of_near_copies_is_settled_before_the_trees(spark, monkeypatch):
+    """Its classes make few rows of nodes and few candidates, and links of classes around it with each other and with it are all found."""
+    import random
+
+    from flowjob.llm import nearmin
+
+    rng = random.Random(11)
+    base, texts = [f"b{i}" for i in range(200)], []
+
+    def changed(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"x{rng.randrange(10**6)}"
+        return words
+
+    texts = [changed(base, rng.randrange(1, 12)) for _ in range(300)]
+    texts += [t for _ in range(20) for far in [changed(base, rng.randrange(12, 60))] for t in (far, changed(far, 4))]
+    texts += [changed([f"u{i}-{k}" for k in range(80)], 3) for i in range(40)]
+    plain = list(enumerate(map(" ".join, texts)))
+    made: dict[str, int] = {}
+    real = nearmin.written
+
+    def written(df, name="table"):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nearmin, "written", written)
+    docs = spark.createDataFrame(plain, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearmin.label(docs).collect())
+    assert [g[1:] for g in got] == brute.components(plain)
+    assert made["nodes"] < 10 * len(plain) and made["candidates"] < 3 * len(plain), made
+    assert not made["dear"]
+    dear = nearmin.label(docs, block=1)  # blocks so small that the trees take the group
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in dear.collect()) == got and made["dear"] == 1
+
+
 def test_line_dedup(docs, none, spark):
     from flowjob.llm import linechunks
 
