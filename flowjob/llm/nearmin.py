@@ -61,6 +61,8 @@ BLOCK_SHINGLES = 8_000_000
 AGREE = 36
 #: Groups that are settled before the trees, at most, and the classes of each of which one becomes the pivot.
 PIVOTS, SAMPLE = 4096, 16
+#: Rows for each core class that a group's blocks may take, at most; in the trees it has 1.25 for each tree and level.
+DEAR = 8
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -279,15 +281,22 @@ def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent:
             out: tuple[list, list] = [], []
             for i in range(len(n)):
                 at, agree = block.candidates(i)
-                for j in at[np.argsort(-agree, kind="stable")].tolist():
-                    a, b = find(label[i]), find(label[j])
-                    if a == b:
+                own = find(label[i])
+                at = [j for j in at[np.argsort(-agree, kind="stable")].tolist() if find(label[j]) != own]
+                for k in range(0, len(at), 256):  # together, as most of them may be checked in vain
+                    some = [j for j in at[k : k + 256] if find(label[j]) != find(label[i])]
+                    if not some:
                         continue
-                    same = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
-                    if 100 * same >= percent * (n[i] + n[j] - same):
-                        parent[a] = b
-                        out[0].append(block.cls[i])
-                        out[1].append(block.cls[j])
+                    mine, sets_of = shingles(i), [shingles(j) for j in some]
+                    other = np.concatenate(sets_of)
+                    hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+                    same = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, sets_of[:-1])]))
+                    for j in np.array(some)[100 * same >= percent * (n[i] + n[some] - same)].tolist():
+                        a, b = find(label[i]), find(label[j])
+                        if a != b:
+                            parent[a] = b
+                            out[0].append(block.cls[i])
+                            out[1].append(block.cls[j])
             return _pairs(*out)
 
         yield from _by_block(batches, linked)
@@ -473,7 +482,8 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if balls is not None:
         links.append(confirmed(balls.where("core and cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))))
         around = mixed(balls, components(links[0]))
-        dear = _sizes(around).where((F.col("m") - F.col("top.c")) * _blocks(F.col("m"), block) > trees * F.col("top.c")).select("node")
+        cores = balls.where("core").groupBy("node").agg(F.count("*").alias("cores"))
+        dear = _sizes(around).join(cores, "node").where((F.col("m") - F.col("top.c")) * _blocks(F.col("m"), block) > DEAR * F.col("cores")).select("node")
         dear = written(dear, "dear")  # nodes that the trees take apart with fewer rows
         links.append(written(blocks(around.join(dear, "node", "left_anti")), "links"))
         first = known.join(written(balls.join(dear, "node", "left_anti").where("core").select("cls").distinct(), "settled"), "cls", "left_anti")
