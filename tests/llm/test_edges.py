@@ -567,6 +567,31 @@ def test_perplexity_bands(spark):
     assert got[3000]["kept"] and got[3001]["kept"]
 
 
+def test_every_language_has_its_own_model(spark, monkeypatch):
+    """However many languages there are: those of few documents are dealt by language, with the same results."""
+    import random
+
+    from flowjob.llm import quality
+
+    rng = random.Random(10)
+    some = {k: ["".join(rng.choice(f"{chr(97 + k)}{chr(98 + k)}{chr(99 + k)}aeou") for _ in range(rng.randrange(2, 9))) for _ in range(60)] for k in range(6)}
+    plain = [(i, " ".join(rng.choice(some[i % 6]) for _ in range(rng.randrange(30, 200))), None if i % 6 == 5 else f"l{i % 6}", "x") for i in range(240)]
+    plain += [(i, " ".join("".join(rng.choice("zqxjkvw ") for _ in range(9)) for _ in range(30)), f"l{i % 5}", None) for i in range(240, 250)]
+    plain += [(300, "too short", "empty", "y"), (301, None, "empty", None), (302, None, None, None)]
+    docs = spark.createDataFrame(plain, "doc_id int, text string, lang string, gram string")
+    got = {}
+    for most in (64, 6, 1):  # all languages are frequent, most, none
+        monkeypatch.setattr(quality, "MOST_LANGUAGES", most)
+        kept = quality.keep(docs)
+        assert kept.columns == docs.columns
+        got[most] = sorted(map(tuple, quality.measure(docs).collect())), sorted(r["doc_id"] for r in kept.collect())
+        assert got[most][1] == [r[0] for r in got[most][0] if r[7]]
+    monkeypatch.setattr(quality, "MOST_LANGUAGES", len(plain))
+    assert quality.languages(docs)[1] is None
+    want = sorted(map(tuple, quality.measure(docs).collect()))
+    assert [g[0] == want for g in got.values()] == [True] * 3
+
+
 def test_components(spark):
     from flowjob.llm.components import components
 
