@@ -7,8 +7,10 @@ differs from a class in `SKETCH - AGREE` tokens at most, as candidates do, diffe
 the pivot in so many more at most: a class that agrees with the pivot in `AGREE` tokens
 (the core) has all its candidates among those that agree with it in `2 * AGREE - SKETCH`
 (the ball).  Core classes are confirmed against the pivot, a ball's components are compared
-with each other, and then its core is done.  Where that would take more rows than the
-trees do, and beyond the `PIVOTS` largest groups, classes stay for the trees.
+with each other, and then its core is done.  Groups are found by two tokens in common,
+in `TURNS` turns by two others each: unrelated classes that share the two tokens can hide
+a group in one turn, but not in all.  Where settling would take more rows than the
+trees do, and beyond the `PIVOTS` largest groups of each turn, classes stay for the trees.
 
 In each of `trees` independent trees all other classes begin at the root, and a node of more than `limit` classes branches: its path selects
 a coordinate, and at times a second one (1 / 0.8 on average, so that what a pair of
@@ -59,8 +61,8 @@ TREES, SKETCH, LIMIT, DEPTH, BLOCK = 21, 64, 32, 5, 2048
 BLOCK_SHINGLES = 8_000_000
 #: A pair of similarity 0.8 agrees on 51 of 64 sketch bytes, with a deviation of 3.2.
 AGREE = 36
-#: Groups that are settled before the trees, at most, and the classes of each of which one becomes the pivot.
-PIVOTS, SAMPLE = 4096, 16
+#: Groups that are settled in a turn before the trees, at most, the classes of each of which one becomes the pivot, and turns.
+PIVOTS, SAMPLE, TURNS = 4096, 16, 4
 #: Rows for each core class that a group's blocks may take, at most; in the trees it has 1.25 for each tree and level.
 DEAR = 8
 _rng = np.random.default_rng(7)
@@ -322,22 +324,22 @@ def _tokens(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u4").reshape(len(column), SKETCH)
 
 
-def _pivots(known: DataFrame, limit: int) -> list[tuple[bytes, int, bytes]]:
+def _pivots(known: DataFrame, limit: int, turn: int = 0, tried: list = ()) -> list[tuple[bytes, int, bytes]]:
     """cls, n, tokens of a class amid each large group, the largest groups first.
 
-    More than `limit` classes with two tokens in common are a group; of `SAMPLE` of them
-    the one most like the others is taken, unless it is like a pivot already.  What
-    comes to the driver is bounded by `PIVOTS`.
+    More than `limit` classes with two tokens in common, others in each turn, are a group;
+    of `SAMPLE` of them the one most like the others is taken, unless it is like a pivot
+    already, or like one tried before.  What comes to the driver is bounded by `PIVOTS`.
     """
-    keyed = known.select(F.xxhash64(F.substr("tokens", F.lit(1), F.lit(8))).alias("k"), "cls", "n", "tokens")
+    keyed = known.select(F.xxhash64(F.substr("tokens", F.lit(8 * turn + 1), F.lit(8))).alias("k"), "cls", "n", "tokens")
     largest = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > limit).orderBy(F.desc("c"), "k").limit(PIVOTS)
     some = keyed.join(F.broadcast(largest), "k").where(F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / SAMPLE)) == 0)
     groups = some.groupBy("k").agg(F.max("c").alias("c"), F.sort_array(F.collect_list(F.struct("cls", "n", "tokens"))).alias("g")).toArrow().to_pylist()
-    out, taken = [], np.zeros((len(groups), SKETCH), np.uint32)
+    out, taken, old = [], np.zeros((len(groups), SKETCH), np.uint32), _tokens([p[2] for p in tried])
     for group in sorted(groups, key=lambda r: (-r["c"], r["k"])):
         tokens = _tokens([x["tokens"] for x in group["g"]])
         amid = int((tokens[:, None] == tokens[None]).sum((1, 2)).argmax())
-        if not ((taken[: len(out)] == tokens[amid]).sum(1) >= AGREE).any():
+        if not any(((seen == tokens[amid]).sum(1) >= AGREE).any() for seen in (taken[: len(out)], old)):
             taken[len(out)] = tokens[amid]
             out.append(tuple(group["g"][amid][c] for c in ("cls", "n", "tokens")))
     return out
@@ -369,9 +371,9 @@ class _Balls:
         return row[ball], pivot[ball], core[ball]
 
 
-def _balls(known: DataFrame, limit: int, percent: int) -> DataFrame | None:
-    """node, cls, n, sketch, p, core: for each pivot p (its number is the node) with a core of more than `limit` classes and not many more around it, its ball."""
-    pivots = _pivots(known, limit)
+def _balls(known: DataFrame, limit: int, percent: int, turn: int, tried: list) -> DataFrame | None:
+    """node, cls, n, sketch, p, core: for each pivot p (its number is the node) with a core of more than `limit` classes and not many more around it, its ball.  Its pivots are added to those tried."""
+    pivots = _pivots(known, limit, turn, tried)
     if not pivots:
         return None
 
@@ -393,6 +395,7 @@ def _balls(known: DataFrame, limit: int, percent: int) -> DataFrame | None:
     chosen = [pivots[r["node"]] for r in counted.where((F.col("core") > limit) & (F.col("ball") <= 4 * F.col("core"))).orderBy("node").collect()]
     if not chosen:
         return None
+    tried += chosen
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = _Balls(chosen, percent)
@@ -477,20 +480,27 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         near = written(_promising(_deal(rows, block), percent), "promising")
         return _compare_blocks(near, wanted(near.select("cls")), shingle, percent)
 
-    small, levels, links, first = [], [], [], known
-    balls = _balls(known, limit, percent)
-    if balls is not None:
+    small, levels, links, first, tried = [], [], [], known, []
+    for turn in range(TURNS):  # what one turn has settled is met by no later one: all its candidates were in its ball
+        balls = _balls(first, limit, percent, turn, tried)
+        if balls is None:
+            continue
         links.append(confirmed(balls.where("core and cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))))
-        around = mixed(balls, components(links[0]))
+        around = mixed(balls, components(reduce(DataFrame.unionByName, links)))
         cores = balls.where("core").groupBy("node").agg(F.count("*").alias("cores"))
         dear = _sizes(around).join(cores, "node").where((F.col("m") - F.col("top.c")) * _blocks(F.col("m"), block) > DEAR * F.col("cores")).select("node")
         dear = written(dear, "dear")  # nodes that the trees take apart with fewer rows
         links.append(written(blocks(around.join(dear, "node", "left_anti")), "links"))
-        first = known.join(written(balls.join(dear, "node", "left_anti").where("core").select("cls").distinct(), "settled"), "cls", "left_anti")
+        settled = written(balls.join(dear, "node", "left_anti").where("core").select("cls").distinct(), "settled")
+        before, first = first, written(first.select("cls", "n", "tokens", "sketch").join(settled, "cls", "left_anti"), "unsettled")
+        if before is not known:
+            discard(before)
     each = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
     rows = first.select("cls", "tokens", each).select("cls", F.explode(_children(F.xxhash64("tree"), F.col("tokens"), percent)).alias("node"))
     for level in range(depth):
         levels.append(met(rows))
+        if level:
+            discard(rows)
         small.append(levels[-1].where(F.col("m") <= limit).select("cls", "node"))
         large = levels[-1].where(F.col("m") > limit).select("cls", "node")
         if large.isEmpty():
@@ -499,7 +509,8 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             heads = written(described(large), "large")
             links.append(confirmed(_compare_pivots(heads, percent)))
             large = mixed(heads, components(reduce(DataFrame.unionByName, links))).select("cls", "node")
-        rows = large.join(known.select("cls", "tokens"), "cls").select("cls", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
+        if level < depth - 1:
+            rows = written(large.join(known.select("cls", "tokens"), "cls").select("cls", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node")), "children")  # read twice
     large = written(described(large), "large")
     links.append(confirmed(_compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(_compare_pivots(large, percent))))
     discard(*levels)

@@ -242,6 +242,41 @@ def test_a_large_group_of_near_copies_is_settled_before_the_trees(spark, monkeyp
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in dear.collect()) == got and made["dear"] == 1
 
 
+def test_a_large_group_hidden_among_unrelated_texts_is_settled(spark, monkeypatch):
+    """Near copies that share two tokens with far more texts that are no copies."""
+    import random
+
+    import pyarrow as pa
+
+    from flowjob.llm import nearmin
+
+    rng = random.Random(12)
+    alone = pa.array([f"q{i} q{i}" for i in range(20_000)])  # one shingle each
+    least = [[((s ^ nearmin._XOR[k]) * nearmin._MULTIPLY[k])[0] for k in range(2)] for s in nearmin.shingle_sets(alone, 2)]
+    common = [alone[min(range(len(least)), key=lambda i: least[i][k])].as_py() for k in range(2)]  # the two tokens of nearly all texts with them
+    base, texts = [f"b{i}" for i in range(200)], []
+    for _ in range(160):
+        t = list(base)
+        for k in rng.sample(range(200), rng.randrange(1, 12)):
+            t[k] = f"x{rng.randrange(10**6)}"
+        texts.append([*common, *t])
+    texts += [[*common, *(f"u{i}-{k}" for k in range(12))] for i in range(6000)]
+    plain = list(enumerate(map(" ".join, texts)))
+    made: dict[str, int] = {}
+    real = nearmin.written
+
+    def written(df, name="table"):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nearmin, "written", written)
+    docs = spark.createDataFrame(plain, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearmin.label(docs).collect())
+    assert [g[1:] for g in got[:160]] == brute.components(plain[:160]) and all(g[0] == g[2] for g in got[160:])
+    assert made.get("settled", 0) >= 150, made
+
+
 def test_line_dedup(docs, none, spark):
     from flowjob.llm import linechunks
 
