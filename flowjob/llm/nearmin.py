@@ -9,22 +9,24 @@ the pivot in so many more at most: a class that agrees with the pivot in `AGREE`
 (the ball).  Core classes are confirmed against the pivot, a ball's components are compared
 with each other, and then its core is done.  Groups are found by two tokens in common,
 in `TURNS` turns by two others each: unrelated classes that share the two tokens can hide
-a group in one turn, but not in all.  Where settling would take more rows than the
-trees do, and beyond the `PIVOTS` largest groups of each turn, classes stay for the trees.
+a group in one turn, but not in all.  The pivots of all turns are settled together, as each
+settling reads texts.  Where it would take more rows than the trees do, and beyond the
+`PIVOTS` largest groups of each turn, classes stay for the trees.
 
 In each of `trees` independent trees all other classes begin at the root, and a node of more than `limit` classes branches: its path selects
 a coordinate, and at times a second one (1 / 0.8 on average, so that what a pair of
 similarity 0.8 has in common neither grows nor dies out), and each of its classes goes
 on to the children that its own tokens there name.  A node of `limit` classes or fewer
-is compared exhaustively, on a byte of each token first.  Branching is DataFrame
-functions alone, and a level is one count and one join, so a hot node's rows are split.
+is compared exhaustively, on a byte of each token first.  A node of `block` classes or fewer
+goes to one task, which does all of its further levels in memory.  A larger one branches by
+DataFrame functions alone, a level being one count and one join, so a hot node's rows are split.
 
-Nodes that are still large after two levels hold groups of near copies, most often.  All
-their classes are compared with one pivot; candidates are confirmed on the full sets,
+Nodes that are still larger than `block` after two levels hold groups of near copies, most often.
+All their classes are compared with one pivot; candidates are confirmed on the full sets,
 recomputed from the texts, and confirmed links give components.  Nodes whose classes
 are in one component by then are done, so a large group of copies is never paired
-within itself; the others go on branching.  What is still large after `depth` levels is
-treated alike once more, and then compared exhaustively, in pairs of blocks that no task
+within itself; the others go on branching.  What has more than `limit` classes after `depth`
+levels, in a task or not, is treated alike once more, and then compared exhaustively, in pairs of blocks that no task
 exceeds: the classes outside the node's largest component with all others, first on
 the sketches, which leaves the classes with any candidate, and those on the full
 sets, until they are linked.  A pair of similarity 0.8 meets in a tree with probability
@@ -65,6 +67,8 @@ AGREE = 36
 PIVOTS, SAMPLE, TURNS = 4096, 16, 4
 #: Rows for each core class that a group's blocks may take, at most; in the trees it has 1.25 for each tree and level.
 DEAR = 8
+#: Bits of the bitmap that spares texts a shuffle: 2 MB at most.
+MARKS = 1 << 24
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -134,6 +138,15 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _marked(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The docs (tkey) whose bit is set in a broadcast bitmap of reps (k): all that a join by these keeps and few others, so that its shuffle takes no other texts."""
+    own, asked = F.pmod("tkey", F.lit(MARKS)), F.pmod("k", F.lit(MARKS))
+    marks = reps.groupBy(F.bitmap_bucket_number(asked).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(asked)).alias("marks"))
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substr("marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(marks), F.bitmap_bucket_number(own) == F.col("bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "marks")
+
+
 _PAIRS = "a binary, b binary"
 
 
@@ -149,16 +162,20 @@ def _pairs(first: list, second: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(first, second, strict=True)], pa.binary()), pa.array([max(x) for x in zip(first, second, strict=True)], pa.binary())], ["a", "b"])
 
 
+def _alike(sketch: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places i < j of candidates among all pairs."""
+    i, j = np.nonzero(((sketch[:, None, :] == sketch[None, :, :]).sum(2) >= AGREE) & _fit(n[:, None], n[None, :], percent))
+    return i[i < j], j[i < j]
+
+
 def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
     """rows: node, cls, n, sketch of small nodes.  Candidate pairs within each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(held: list) -> tuple[list, list]:
             sk = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), SKETCH)
-            n = np.array([r[1] for r in held])
-            i, j = np.nonzero(((sk[:, None, :] == sk[None, :, :]).sum(2) >= AGREE) & _fit(n[:, None], n[None, :], percent))
-            keep = i < j
-            return [held[x][0] for x in i[keep].tolist()], [held[x][0] for x in j[keep].tolist()]
+            i, j = _alike(sk, np.array([r[1] for r in held]), percent)
+            return [held[x][0] for x in i.tolist()], [held[x][0] for x in j.tolist()]
 
         node, held = None, []
         for batch in batches:
@@ -324,24 +341,32 @@ def _tokens(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u4").reshape(len(column), SKETCH)
 
 
-def _pivots(known: DataFrame, limit: int, turn: int = 0, tried: list = ()) -> list[tuple[bytes, int, bytes]]:
+def _pivots(known: DataFrame, limit: int, turn: int) -> list[tuple[bytes, int, bytes]]:
     """cls, n, tokens of a class amid each large group, the largest groups first.
 
     More than `limit` classes with two tokens in common, others in each turn, are a group;
     of `SAMPLE` of them the one most like the others is taken, unless it is like a pivot
-    already, or like one tried before.  What comes to the driver is bounded by `PIVOTS`.
+    already.  What comes to the driver is bounded by `PIVOTS`.
     """
     keyed = known.select(F.xxhash64(F.substr("tokens", F.lit(8 * turn + 1), F.lit(8))).alias("k"), "cls", "n", "tokens")
     largest = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > limit).orderBy(F.desc("c"), "k").limit(PIVOTS)
     some = keyed.join(F.broadcast(largest), "k").where(F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / SAMPLE)) == 0)
     groups = some.groupBy("k").agg(F.max("c").alias("c"), F.sort_array(F.collect_list(F.struct("cls", "n", "tokens"))).alias("g")).toArrow().to_pylist()
-    out, taken, old = [], np.zeros((len(groups), SKETCH), np.uint32), _tokens([p[2] for p in tried])
+    amid = []
     for group in sorted(groups, key=lambda r: (-r["c"], r["k"])):
         tokens = _tokens([x["tokens"] for x in group["g"]])
-        amid = int((tokens[:, None] == tokens[None]).sum((1, 2)).argmax())
-        if not any(((seen == tokens[amid]).sum(1) >= AGREE).any() for seen in (taken[: len(out)], old)):
-            taken[len(out)] = tokens[amid]
-            out.append(tuple(group["g"][amid][c] for c in ("cls", "n", "tokens")))
+        best = group["g"][int((tokens[:, None] == tokens[None]).sum((1, 2)).argmax())]
+        amid.append((best["cls"], best["n"], best["tokens"]))
+    return _unlike(amid)
+
+
+def _unlike(pivots: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, int, bytes]]:
+    """The pivots that are like none of those taken before them."""
+    out, taken = [], np.zeros((len(pivots), SKETCH), np.uint32)
+    for pivot, tokens in zip(pivots, _tokens([p[2] for p in pivots]), strict=True):
+        if not ((taken[: len(out)] == tokens).sum(1) >= AGREE).any():
+            taken[len(out)] = tokens
+            out.append(pivot)
     return out
 
 
@@ -371,9 +396,9 @@ class _Balls:
         return row[ball], pivot[ball], core[ball]
 
 
-def _balls(known: DataFrame, limit: int, percent: int, turn: int, tried: list) -> DataFrame | None:
-    """node, cls, n, sketch, p, core: for each pivot p (its number is the node) with a core of more than `limit` classes and not many more around it, its ball.  Its pivots are added to those tried."""
-    pivots = _pivots(known, limit, turn, tried)
+def _balls(known: DataFrame, limit: int, percent: int) -> DataFrame | None:
+    """node, cls, n, sketch, p, core: for each pivot p (its number is the node) with a core of more than `limit` classes and not many more around it, its ball.  Of pivots that are alike, found in different turns, that with the largest core is taken."""
+    pivots = list(dict.fromkeys(p for turn in range(TURNS) for p in _pivots(known, limit, turn)))
     if not pivots:
         return None
 
@@ -392,10 +417,9 @@ def _balls(known: DataFrame, limit: int, percent: int, turn: int, tried: list) -
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[0][at]), pa.array(sizes[1][at])], ["node", "ball", "core"])
 
     counted = known.select("n", "tokens").mapInArrow(count, "node bigint, ball bigint, core bigint").groupBy("node").agg(F.sum("ball").alias("ball"), F.sum("core").alias("core"))
-    chosen = [pivots[r["node"]] for r in counted.where((F.col("core") > limit) & (F.col("ball") <= 4 * F.col("core"))).orderBy("node").collect()]
+    chosen = _unlike([pivots[r["node"]] for r in counted.where((F.col("core") > limit) & (F.col("ball") <= 4 * F.col("core"))).orderBy(F.desc("core"), "node").collect()])
     if not chosen:
         return None
-    tried += chosen
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = _Balls(chosen, percent)
@@ -417,6 +441,58 @@ def _children(node: Column, tokens: Column, percent: int) -> Column:
     return F.when(twice, F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
+def _descend(ids: np.ndarray, at: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The children, and whose they are, of the classes at[i] in nodes ids[i]; as ``_children``, by another hash."""
+    roll = [K.mix(ids + np.uint64(k)) for k in (1, 2, 3)]
+    first = roll[0] % np.uint64(SKETCH)
+    second = (first + np.uint64(1) + roll[1] % np.uint64(SKETCH - 1)) % np.uint64(SKETCH)
+    twice = roll[2] % np.uint64(percent) < 100 - percent
+    ids, at, k = np.concatenate([ids, ids[twice]]), np.concatenate([at, at[twice]]), np.concatenate([first, second[twice]])
+    return K.pair(K.pair(ids, k), tokens[at, k.astype(np.int64)]), at
+
+
+def _branch(rows: DataFrame, limit: int, depth: int, percent: int) -> DataFrame:
+    """rows: node, level, m, cls, n, tokens, children, of nodes that a task can hold.
+
+    All their levels from the next one on.  node, a, b: candidate pairs a, b of nodes of
+    `limit` classes or fewer, the node null; and each class a of a node that is larger
+    after the last level, b null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def branched(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cls, n, tokens = t["cls"].to_pylist(), np.asarray(t["n"]), _tokens(t["tokens"].to_pylist())
+            sketch, children = (tokens & np.uint32(255)).astype(np.uint8), t["children"].to_pylist()
+            at = np.repeat(np.arange(len(cls)), [len(x) for x in children])
+            ids = np.array([y for x in children for y in x], np.int64).view(np.uint64)
+            pairs = [np.zeros(0, np.int64)]
+            for level in range(t["level"][0].as_py() + 1, depth):
+                if not len(ids):
+                    break
+                order = np.lexsort((at, ids))
+                ids, at = ids[order], at[order]
+                cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+                size = np.diff(cuts)
+                for a, b in zip(cuts[:-1][(size > 1) & (size <= limit)].tolist(), cuts[1:][(size > 1) & (size <= limit)].tolist(), strict=True):
+                    i, j = _alike(sketch[at[a:b]], n[at[a:b]], percent)
+                    pairs.append(at[a:b][i] * len(cls) + at[a:b][j])
+                large = np.repeat(size > limit, size)
+                ids, at = ids[large], at[large]
+                if level < depth - 1:
+                    ids, at = _descend(ids, at, tokens, percent)
+            i, j = np.divmod(np.unique(np.concatenate(pairs)), len(cls))
+            found = _pairs([cls[x] for x in i.tolist()], [cls[x] for x in j.tolist()])
+            node = pa.array([None] * len(i) + ids.view(np.int64).tolist(), pa.int64())
+            a, b = (pa.concat_arrays([found.column(k), pa.array(rest, pa.binary())]) for k, rest in ((0, [cls[x] for x in at.tolist()]), (1, [None] * len(at))))
+            return pa.RecordBatch.from_arrays([node, a, b], ["node", "a", "b"])
+
+        yield from _by_block(batches, branched)
+
+    rows = rows.select("node", "level", "m", "cls", "n", "tokens", "children")
+    return rows.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, f"node bigint, {_PAIRS}")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar; texts: cls, text."""
     left = pairs.join(texts.withColumnRenamed("text", "tb"), pairs["b"] == texts["cls"]).select("a", "b", "tb")
@@ -454,8 +530,8 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def wanted(names: DataFrame) -> DataFrame:
         """cls, text for the classes named."""
-        reps = names.distinct().join(known, "cls").select("cls", F.col("rep.doc_id").alias("i"), F.col("rep.tkey").alias("k"))
-        got = docs.join(reps, (docs["tkey"] == reps["k"]) & docs["doc_id"].eqNullSafe(reps["i"])).select("cls", "text")
+        reps = written(names.distinct().join(known, "cls").select("cls", F.col("rep.doc_id").alias("i"), F.col("rep.tkey").alias("k")), "wanted")
+        got = _marked(docs, reps).join(reps, (docs["tkey"] == reps["k"]) & docs["doc_id"].eqNullSafe(reps["i"])).select("cls", "text")
         return written(got.dropDuplicates(["cls"]), "texts")
 
     def met(rows: DataFrame) -> DataFrame:
@@ -480,21 +556,17 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         near = written(_promising(_deal(rows, block), percent), "promising")
         return _compare_blocks(near, wanted(near.select("cls")), shingle, percent)
 
-    small, levels, links, first, tried = [], [], [], known, []
-    for turn in range(TURNS):  # what one turn has settled is met by no later one: all its candidates were in its ball
-        balls = _balls(first, limit, percent, turn, tried)
-        if balls is None:
-            continue
+    small, middle, levels, links, first = [], [], [], [], known
+    balls = _balls(known, limit, percent)
+    if balls is not None:
         links.append(confirmed(balls.where("core and cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))))
-        around = mixed(balls, components(reduce(DataFrame.unionByName, links)))
+        around = mixed(balls, components(links[0]))
         cores = balls.where("core").groupBy("node").agg(F.count("*").alias("cores"))
         dear = _sizes(around).join(cores, "node").where((F.col("m") - F.col("top.c")) * _blocks(F.col("m"), block) > DEAR * F.col("cores")).select("node")
         dear = written(dear, "dear")  # nodes that the trees take apart with fewer rows
         links.append(written(blocks(around.join(dear, "node", "left_anti")), "links"))
         settled = written(balls.join(dear, "node", "left_anti").where("core").select("cls").distinct(), "settled")
-        before, first = first, written(first.select("cls", "n", "tokens", "sketch").join(settled, "cls", "left_anti"), "unsettled")
-        if before is not known:
-            discard(before)
+        first = written(known.select("cls", "tokens").join(settled, "cls", "left_anti"), "unsettled")
     each = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
     rows = first.select("cls", "tokens", each).select("cls", F.explode(_children(F.xxhash64("tree"), F.col("tokens"), percent)).alias("node"))
     for level in range(depth):
@@ -502,7 +574,10 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if level:
             discard(rows)
         small.append(levels[-1].where(F.col("m") <= limit).select("cls", "node"))
-        large = levels[-1].where(F.col("m") > limit).select("cls", "node")
+        most = limit if level == depth - 1 else max(limit, block)  # what one task can hold branches there
+        held = levels[-1].where((F.col("m") > limit) & (F.col("m") <= most)).join(known.select("cls", "n", "tokens"), "cls")
+        middle.append(held.select("node", F.lit(level).alias("level"), "m", "cls", "n", "tokens", _children(F.col("node"), F.col("tokens"), percent).alias("children")))
+        large = levels[-1].where(F.col("m") > most).select("cls", "node")
         if large.isEmpty():
             break
         if level == 1:  # unrelated classes are apart by now: what stays together is most often one group of copies
@@ -511,8 +586,10 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             large = mixed(heads, components(reduce(DataFrame.unionByName, links))).select("cls", "node")
         if level < depth - 1:
             rows = written(large.join(known.select("cls", "tokens"), "cls").select("cls", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node")), "children")  # read twice
-    large = written(described(large), "large")
-    links.append(confirmed(_compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(_compare_pivots(large, percent))))
+    branched = written(_branch(reduce(DataFrame.unionByName, middle), limit, depth, percent), "branched")
+    large = written(described(large.unionByName(branched.where("node IS NOT NULL").select(F.col("a").alias("cls"), "node"))), "large")
+    apart = _compare_nodes(described(reduce(DataFrame.unionByName, small)), percent).unionByName(branched.where("node IS NULL").select("a", "b"))
+    links.append(confirmed(apart.unionByName(_compare_pivots(large, percent))))
     discard(*levels)
     joined = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():

@@ -277,6 +277,37 @@ def test_a_large_group_hidden_among_unrelated_texts_is_settled(spark, monkeypatc
     assert made.get("settled", 0) >= 150, made
 
 
+def test_nodes_that_a_task_can_hold_branch_there(spark, monkeypatch):
+    """Their further levels make no rows of tables, and texts are shuffled for none but candidates, a few times in all."""
+    import random
+
+    from flowjob.llm import nearmin
+
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(8)]
+    texts = []
+    for i in range(120):
+        t = [w for k in range(20) for w in (rng.choice(common), f"u{i}-{k}" if k % 3 else rng.choice(common))]
+        texts += [" ".join(t), " ".join([*t[:30], "changed", *t[31:]])] if i % 2 else [" ".join(t)]
+    plain = list(enumerate(texts))
+    made: dict[str, list[int]] = {}
+    real = nearmin.written
+
+    def written(df, name="table"):
+        out = real(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(nearmin, "written", written)
+    docs = spark.createDataFrame(plain, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearmin.label(docs, limit=8).collect())
+    assert [g[1:] for g in got] == brute.components(plain)
+    assert "children" not in made and sum(made["branched"]) and len(made["texts"]) <= 4, made
+    some, reps = docs.selectExpr("doc_id", "xxhash64(text) AS tkey"), docs.where("doc_id % 9 = 0").selectExpr("xxhash64(text) AS k")
+    left = {r["doc_id"] for r in nearmin._marked(some, reps).collect()}
+    assert left >= {i for i, _ in plain if i % 9 == 0} and len(left) < 30
+
+
 def test_line_dedup(docs, none, spark):
     from flowjob.llm import linechunks
 
