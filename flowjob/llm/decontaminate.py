@@ -271,7 +271,7 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
             for a, b in K.slices(batch.column(1), SHARD_BYTES):
                 yield pa.RecordBatch.from_pydict(_shard(batch.column(0)[a:b], batch.column(1)[a:b], (x.value for x in held), with_matches))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.releasing(run), schema)
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = WINDOW) -> DataFrame:
@@ -292,4 +292,4 @@ def remove(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
                 n = _shard(pa.nulls(b - a), texts[a:b], (x.value for x in held), False)["longest_match"]
                 yield batch.slice(a, b - a).filter(pa.compute.less(n, min_words))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(K.releasing(run), documents.schema)

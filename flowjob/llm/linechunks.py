@@ -110,7 +110,7 @@ def _chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
                     out += [pa.array(list(lines), pa.binary()), pa.array([near[i : i + 16 * NEAR] for i in range(0, len(near), 16 * NEAR)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "key", "no", "chunk", "bytes", "near"][: len(out)])
 
-    return docs.mapInArrow(run, T.StructType([*kinds, *[T.StructField(n, T.BinaryType()) for n in ("bytes", "near")][: 2 * with_bytes]]))
+    return docs.mapInArrow(K.releasing(run), T.StructType([*kinds, *[T.StructField(n, T.BinaryType()) for n in ("bytes", "near")][: 2 * with_bytes]]))
 
 
 def alike(one: bytes, other: bytes) -> int:
@@ -159,7 +159,7 @@ def _settle(rows: DataFrame, pass_on: bool) -> DataFrame:
                 got[k] = pa.compute.if_else(along.is_null(), got[k], pa.scalar(None, got[k].type))
             yield pa.RecordBatch.from_arrays([*got, along], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(K.releasing(run), schema)
 
 
 def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -230,4 +230,4 @@ def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     cols.append(pa.StructArray.from_arrays([pa.array((f * there).astype(np.int64)) for f in figures], list(counts)))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(K.releasing(run), schema)

@@ -135,7 +135,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     cls[i], tok[i], sk[i] = name[j].tobytes(), token[j].tobytes(), sketch[j].tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cls, pa.binary()), pa.array(tok, pa.binary()), pa.array(sk, pa.binary())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.releasing(run), schema)
 
 
 def _marked(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield _pairs(*compared(held))
 
-    return rows.select("node", "cls", "n", "sketch").repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, _PAIRS)
+    return rows.select("node", "cls", "n", "sketch").repartition("node").sortWithinPartitions("node", "cls").mapInArrow(K.releasing(run), _PAIRS)
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _promising(dealt: DataFrame, percent: int) -> DataFrame:
 
         yield from _by_block(batches, some)
 
-    return dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(run, dealt.schema)
+    return dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(K.releasing(run), dealt.schema)
 
 
 def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -320,7 +320,7 @@ def _compare_blocks(promising: DataFrame, texts: DataFrame, size: int, percent:
 
         yield from _by_block(batches, linked)
 
-    return full.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(run, _PAIRS)
+    return full.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(K.releasing(run), _PAIRS)
 
 
 def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
@@ -334,7 +334,7 @@ def _compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
             got = x.filter(pa.array(ok))
             yield _pairs(got.column(0).to_pylist(), got.column(3).to_pylist())
 
-    return both.mapInArrow(run, _PAIRS)
+    return both.mapInArrow(K.releasing(run), _PAIRS)
 
 
 def _tokens(column: list[bytes]) -> np.ndarray:
@@ -416,7 +416,7 @@ def _balls(known: DataFrame, limit: int, percent: int) -> DataFrame | None:
         at = np.flatnonzero(sizes[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[0][at]), pa.array(sizes[1][at])], ["node", "ball", "core"])
 
-    counted = known.select("n", "tokens").mapInArrow(count, "node bigint, ball bigint, core bigint").groupBy("node").agg(F.sum("ball").alias("ball"), F.sum("core").alias("core"))
+    counted = known.select("n", "tokens").mapInArrow(K.releasing(count), "node bigint, ball bigint, core bigint").groupBy("node").agg(F.sum("ball").alias("ball"), F.sum("core").alias("core"))
     chosen = _unlike([pivots[r["node"]] for r in counted.where((F.col("core") > limit) & (F.col("ball") <= 4 * F.col("core"))).orderBy(F.desc("core"), "node").collect()])
     if not chosen:
         return None
@@ -429,7 +429,7 @@ def _balls(known: DataFrame, limit: int, percent: int) -> DataFrame | None:
                 got = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(pivot), got.column(2), got.column(0), got.column(3), names.take(pa.array(pivot)), pa.array(core)], ["node", "cls", "n", "sketch", "p", "core"])
 
-    return written(known.select("n", "tokens", "cls", "sketch").mapInArrow(deal, "node bigint, cls binary, n bigint, sketch binary, p binary, core boolean"), "balls")
+    return written(known.select("n", "tokens", "cls", "sketch").mapInArrow(K.releasing(deal), "node bigint, cls binary, n bigint, sketch binary, p binary, core boolean"), "balls")
 
 
 def _children(node: Column, tokens: Column, percent: int) -> Column:
@@ -490,7 +490,7 @@ def _branch(rows: DataFrame, limit: int, depth: int, percent: int) -> DataFrame:
         yield from _by_block(batches, branched)
 
     rows = rows.select("node", "level", "m", "cls", "n", "tokens", "children")
-    return rows.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, f"node bigint, {_PAIRS}")
+    return rows.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(K.releasing(run), f"node bigint, {_PAIRS}")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -514,7 +514,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             assert done == x.num_rows
             yield x.select([0, 1]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, _PAIRS)
+    return both.mapInArrow(K.releasing(run), _PAIRS)
 
 
 def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -150,7 +150,7 @@ def _pieces(docs: DataFrame, capacity: int, with_text: bool) -> DataFrame:
                     cols.append(pa.array([raw[s:e].decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.releasing(run), schema)
 
 
 def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, with_text: bool = False) -> DataFrame:
@@ -192,4 +192,4 @@ def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     held.append(batch.slice(a, b - a))
         yield from packed(held)
 
-    return order.mapInArrow(run, schema)
+    return order.mapInArrow(K.releasing(run), schema)

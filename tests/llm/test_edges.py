@@ -658,6 +658,54 @@ def test_every_language_has_its_own_model(spark, monkeypatch):
     assert [g[0] == want for g in got.values()] == [True] * 3
 
 
+def test_stages_of_the_pipeline_exchange_small_batches(spark, tmp_path):
+    import pyarrow as pa
+    from corpus_pipeline import STAGES
+    from flowjob.llm.tables import BATCH_BYTES
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes])})
+
+    spark.createDataFrame([("1", PROSE)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in STAGES:
+        session = spark.newSession()
+        long = "repeat(concat('w', id, ' x '), if(id = 7, 2 * 1024 * 1024, 6000))"
+        docs = session.range(0, 500, 1, 1).selectExpr("id doc_id", f"if(id = 9, null, {long}) text", "'en' lang", "'s' source", "0L n_chars")
+        out = stage(session, docs, str(tmp_path))
+        sizes = docs.mapInArrow(seen, "rows bigint, bytes bigint").collect()
+        assert sum(r["rows"] for r in sizes) == 500, name
+        assert all(r["rows"] == 1 or r["bytes"] < 3 * BATCH_BYTES for r in sizes), name
+        if name == "decontamination":  # nothing is lost between batches, nor a row larger than they are
+            assert out.selectExpr("count(*)", "sum(doc_id)", "max(length(text)) > 8388608").first()[:] == (500, 124750, True)
+
+
+def test_a_worker_keeps_nothing_that_was_freed():
+    import ctypes
+    from pathlib import Path
+
+    import numpy as np
+    from flowjob.llm import textkit as K
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("the C library has no malloc_trim")
+    held = []
+
+    def run(batches):
+        for batch in batches:
+            arrays = [np.ones(4000) for _ in range(4000)]
+            held.append(np.ones(4000))  # lies above them, so that they stay with the process
+            del arrays
+            yield batch
+
+    size = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+    before = size()
+    assert list(run([1])) == [1]
+    kept = size() - before
+    assert list(K.releasing(run)([2])) == [2]
+    assert kept > 100 and size() - before < 20
+
+
 def test_components(spark):
     from flowjob.llm.components import components
 
