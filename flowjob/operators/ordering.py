@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +74,23 @@ def total_rank(df: DataFrame, key: str, *ties: str, name: str = "rank", buckets:
 
     No task sees all rows: rows go to ranges between quantiles of the key, are
     numbered there, and a range's number starts after the rows of those before it.
+    Equal keys share a range.  The ranges' sizes, a row for each, come to the driver:
+    joined with the rows that they count, they let the optimizer infer a filter that
+    names a column of the other side.
     """
     need(df, [key, *ties], "total_rank")
-    cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.001)))
-    bucket = F.lit(0)
+    cuts = sorted({c + 0.0 for c in df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.001) if math.isfinite(c)})
+    value = F.col(key).cast("double")
+    rows = df.withColumn("__value", F.when(value == 0, 0.0).otherwise(value))  # -0.0 equals 0.0
     if cuts:
-        bucket = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, c: acc + (F.col(key) > c).cast("int"))
-    rows = df.withColumn("__bucket", F.coalesce(bucket, F.lit(-1)))
-    sizes = rows.groupBy("__bucket").count()
-    before = sizes.select("__bucket", (F.sum("count").over(Window.orderBy("__bucket")) - F.col("count")).alias("__before"))  # at most `buckets` rows
+        rows = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__value", outputCol="__range", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("__range", F.lit(0))
+    rows = rows.withColumn("__bucket", F.when(F.col(key).isNull(), 0).otherwise(F.col("__range").cast("int") + 1)).drop("__value", "__range")
+    sizes = dict(rows.groupBy("__bucket").count().collect())  # at most `buckets` rows, one for nulls, one for NaN
+    before = F.array(*(F.lit(n).cast("bigint") for n in accumulate((sizes.get(i, 0) for i in range(len(cuts) + 2)), initial=0)))
     own = F.row_number().over(Window.partitionBy("__bucket").orderBy(key, *ties))
-    return rows.withColumn("__own", own).join(F.broadcast(before), "__bucket").withColumn(name, (F.col("__own") + F.col("__before")).cast("bigint")).drop("__bucket", "__own", "__before")
+    return rows.withColumn("__own", own).withColumn(name, F.col("__own") + F.get(before, F.col("__bucket"))).drop("__bucket", "__own")
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -274,3 +276,28 @@ def test_fold_across_batches(spark):
         assert (got["unsorted"], got["duplicates"], got["first_unsorted"]) == (2, 1, 2)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_total_rank_in_a_new_session(spark, tmp_path):
+    """As the first query of a session: there the optimizer inferred a filter on one side of a join with a column of the other."""
+    spark.range(3000).selectExpr("id as a", "id % 7 as b", "cast(id % 5 as string) as c", "cast(id * 7919 % 3001 as double) / 8 as v").write.parquet(str(tmp_path / "in"))
+    code = f"""
+from flowjob.operators import ordering
+from flowjob.session import build_session
+spark = build_session("rank", "local[2]", 2, **{{"spark.ui.enabled": "false"}})
+rows = ordering.total_rank(spark.read.parquet("{tmp_path}/in").select("a", "v"), "v", "a").collect()
+assert [x["rank"] for x in sorted(rows, key=lambda x: (x["v"], x["a"]))] == list(range(1, 3001))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_total_rank_of_odd_keys(spark):
+    keys = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.5, -2.0, 0.0, -0.0]
+    rows = [(k, i) for i, k in enumerate(keys * 20)]
+    df = spark.createDataFrame(rows, "k double, t int")
+    by_key = lambda x: (0, 0.0, x[1]) if x[0] is None else (2, 0.0, x[1]) if x[0] != x[0] else (1, x[0] + 0.0, x[1])
+    for frame, want in ((df, sorted(rows, key=by_key)), (df.where("k is null"), [x for x in rows if x[0] is None]), (df.where("false"), [])):
+        got = ordering.total_rank(frame, "k", "t", buckets=16).orderBy("rank").collect()
+        assert [x["t"] for x in got] == [t for _, t in want]
+        assert [x["rank"] for x in got] == list(range(1, len(want) + 1))
