@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowjob.types import PlanError, need
 
@@ -65,7 +69,10 @@ def _settle(fold: Callable) -> Callable:
 
 
 def reduce_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Iterable[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str | T.StructType, order: Sequence[str] = ()) -> DataFrame:
-    """fn(key, batches) -> batches for each group, 0 or more rows; the group streams by in batches (in `order`) and is never held whole."""
+    """fn(key, batches) -> batches for each group, 0 or more rows; the group streams by in batches (in `order`) and is never held whole.
+
+    Frames cost some 0.4 ms for each group: of many small groups, reduce_rows makes none.
+    """
     need(df, keys, "reduce_groups")
     where = [df.columns.index(k) for k in keys]
 
@@ -105,5 +112,31 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Itera
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def reduce_rows(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Iterable[tuple]], Iterable[tuple]], schema: str | T.StructType, order: Sequence[str] = ()) -> DataFrame:
+    """fn(key, rows) -> rows for each group, 0 or more; rows are tuples of plain values, nulls None.
+
+    The group streams by (in `order`) and is never held whole, nor is what the
+    function makes.  Null keys are one group, as are NaN ones.
+    """
+    need(df, keys, "reduce_rows")
+    where = [df.columns.index(k) for k in keys]
+    key_of = itemgetter(*where)
+    kind = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def values(column: pa.Array, is_key: bool) -> list:
+        real = pa.types.is_floating(column.type)
+        plain = column.null_count == 0 and (real or pa.types.is_integer(column.type))
+        out = column.to_numpy().tolist() if plain else column.to_pylist()
+        return [x if x == x else np.nan for x in out] if is_key and real else out  # one object, equal to itself
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(values(c, i in where) for i, c in enumerate(b.columns)), strict=True) for b in batches)
+        made = chain.from_iterable(fn(key if len(where) > 1 else (key,), group) for key, group in groupby(rows, key_of))
+        while out := list(islice(made, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()

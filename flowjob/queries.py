@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -96,29 +97,29 @@ def group_fold_udaf(spark, d):
 
 @query("SELECT o_custkey, count(*) AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders GROUP BY ALL")
 def reduce_groups(spark, d):
-    def fn(key, batches):
+    def fn(key, rows):
         n, lo, hi = 0, None, None
-        for b in batches:
-            n += len(b)
-            lo = b["o_orderdate"].min() if lo is None else min(lo, b["o_orderdate"].min())
-            hi = b["o_orderdate"].max() if hi is None else max(hi, b["o_orderdate"].max())
-        yield pd.DataFrame({"o_custkey": [key[0]], "n": [n], "first_date": [lo], "last_date": [hi]})
+        for _, date in rows:
+            n += 1
+            if date is not None:
+                lo = date if lo is None or date < lo else lo
+                hi = date if hi is None or date > hi else hi
+        yield key[0], n, lo, hi
 
     rows = t(spark, d, "orders").select("o_custkey", "o_orderdate")
     kind = rows.schema["o_orderdate"].dataType.simpleString()
-    return aggregate.reduce_groups(rows, ["o_custkey"], fn, f"o_custkey bigint, n bigint, first_date {kind}, last_date {kind}")
+    return aggregate.reduce_rows(rows, ["o_custkey"], fn, f"o_custkey bigint, n bigint, first_date {kind}, last_date {kind}")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 2")
 def reduce_multi_output(spark, d):
-    def fn(key, batches):
-        best: list[tuple] = []
-        for b in batches:
-            best = sorted([*best, *zip(-b["l_extendedprice"], b["l_linenumber"], strict=True)])[:2]
-        yield pd.DataFrame({"l_orderkey": key[0], "l_linenumber": [n for _, n in best], "l_extendedprice": [-x for x, _ in best]})
+    def place(row):  # nulls last, NaN first
+        _, line, price = row
+        number = price is not None and price == price
+        return price is None, price == price, -price if number else 0.0, line is None, line
 
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return aggregate.reduce_groups(rows, ["l_orderkey"], fn, rows.schema)
+    return aggregate.reduce_rows(rows, ["l_orderkey"], lambda key, rows: heapq.nsmallest(2, rows, key=place), rows.schema)
 
 
 @query("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem")

@@ -301,3 +301,42 @@ def test_total_rank_of_odd_keys(spark):
         got = ordering.total_rank(frame, "k", "t", buckets=16).orderBy("rank").collect()
         assert [x["t"] for x in got] == [t for _, t in want]
         assert [x["rank"] for x in got] == list(range(1, len(want) + 1))
+
+
+def test_rows_of_groups_stream_as_tuples(spark):
+    nan = float("nan")
+    rows = [(None, 1, "a"), (nan, 2, None), (None, None, "b"), (nan, 3, "c"), (1.5, 2**53 + 1, "d"), (-0.5, None, None)]
+    df = spark.createDataFrame(rows, "k double, n bigint, s string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = aggregate.reduce_rows(df, ["k"], lambda key, rows: [(key[0], sum(n or 0 for _, n, _ in rows))], "k double, n bigint").collect()
+        assert sorted((str(x["k"]), x["n"]) for x in got) == [("-0.5", 0), ("1.5", 2**53 + 1), ("None", 1), ("nan", 5)]
+        first = aggregate.reduce_rows(df, ["k", "s"], lambda key, rows: [next(rows)] if key[0] is None else (), df.schema, order=["n"]).collect()
+        assert sorted(x["s"] for x in first) == ["a", "b"]
+        assert aggregate.reduce_rows(df.where("false"), ["k"], lambda key, rows: rows, df.schema).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_two_lines_of_an_order(spark, tmp_path):
+    """Null orders are one group; null prices come last, and NaN is the greatest, as in the query's SQL."""
+    import duckdb
+
+    from flowjob.queries import ORACLE_SQL, QUERIES
+
+    nan = float("nan")
+    rows = [(None, 1, 5.0), (None, 2, 7.0), (None, 3, 6.0), (1, 1, None), (1, 2, 3.0), (1, 3, None), (2, 1, 4.0), (2, 2, nan), (2, 3, nan), (2, 4, nan), (3, 2, 1.0), (3, 1, 1.0), (3, 3, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {str(tuple(x)) for x in QUERIES["reduce_multi_output"](spark, str(tmp_path)).collect()}
+    assert got == {str(x) for x in con.execute(ORACLE_SQL["reduce_multi_output"]).fetchall()} and len(got) == 8
+
+
+def test_many_small_groups_take_no_frames(spark, tmp_path, monkeypatch):
+    from flowjob.queries import QUERIES
+
+    spark.range(60_000).selectExpr("id div 3 as l_orderkey", "cast(id % 3 as int) as l_linenumber", "cast(id * 7919 % 1001 as double) as l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    frames = lambda *a, **b: pytest.fail("a frame for each group")
+    monkeypatch.setattr(aggregate, "reduce_groups", frames)
+    assert QUERIES["reduce_multi_output"](spark, str(tmp_path)).count() == 40_000
