@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowjob.operators.aggregate import reduce_groups
+from flowjob.operators.aggregate import reduce_groups, reduce_rows
 from flowjob.types import PlanError, need, same_key_type
 
 HOW = ("inner", "left", "right", "full", "left_semi", "left_anti")
@@ -45,12 +46,44 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: str, how: str = "inner")
 
 
 def cogroup(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], fn: Callable, schema: str | T.StructType) -> DataFrame:
-    """fn(left pandas, right pandas) -> pandas for each key of either side; a key's rows must fit in a task."""
+    """fn(left pandas, right pandas) -> pandas for each key of either side; a key's rows must fit in a task.
+
+    Frames cost milliseconds for each key: of many small groups, cogroup_rows makes none.
+    """
     need(left, left_on, "cogroup")
     need(right, right_on, "cogroup")
     return left.groupBy(*left_on).cogroup(right.groupBy(*right_on)).applyInPandas(fn, schema)
 
 
+def cogroup_rows(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], fn: Callable[[tuple, list[tuple], Iterable[tuple]], Iterable[tuple]], schema: str | T.StructType) -> DataFrame:
+    """fn(key, left rows, right rows) -> rows for each key of either side; rows are tuples of plain values, nulls None.
+
+    A key's left rows are held, its right ones stream by.  Null keys of both sides
+    are one group.
+    """
+    need(left, left_on, "cogroup_rows")
+    need(right, right_on, "cogroup_rows")
+    for a, b in zip(left_on, right_on, strict=True):
+        same_key_type(left, right, a, b, "cogroup_rows")
+    keys = [f"__k{i}" for i in range(len(left_on))]
+    n, m = len(keys) + 1, len(keys) + 1 + len(left.columns)
+    names = [*keys, "__side", *(f"__l{i}" for i in range(len(left.columns))), *(f"__r{i}" for i in range(len(right.columns)))]
+    none = lambda x: [F.lit(None).cast(f.dataType) for f in x.schema.fields]
+    mine = left.select(*(F.col(c) for c in left_on), F.lit(0), *(F.col(c) for c in left.columns), *none(right)).toDF(*names)
+    theirs = right.select(*(F.col(c) for c in right_on), F.lit(1), *none(left), *(F.col(c) for c in right.columns)).toDF(*names)
+
+    def run(key: tuple, rows: Iterable[tuple]) -> Iterable[tuple]:
+        held, rest = [], ()
+        for x in rows:
+            if x[n - 1]:
+                rest = (y[m:] for y in chain([x], rows))
+                break
+            held.append(x[n:m])
+        return fn(key, held, iter(rest))
+
+    return reduce_rows(mine.unionByName(theirs), keys, run, schema, order=["__side"])
+
+
 def combine(inputs: Sequence[DataFrame], keys: Sequence[str], fn: Callable, schema: str | T.StructType) -> DataFrame:
     """fn(key, batches) -> batches for each key of any of n inputs; rows stream by, input after input.
 

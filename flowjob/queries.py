@@ -151,12 +151,18 @@ def inner_join_custom_key(spark, d):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
 def cogroup_join(spark, d):
-    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        n, total = len(right), round(float(right["o_totalprice"].sum()), 2)
-        return pd.DataFrame({"c_custkey": left["c_custkey"], "n_orders": n, "total": total})
-
-    c, o = t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select("o_custkey", "o_totalprice")
-    return joins.cogroup(c, o, ["c_custkey"], ["o_custkey"], fn, "c_custkey bigint, n_orders bigint, total double")
+    def fn(key, left, right):
+        n, total = 0, 0.0
+        if left and key[0] is not None:  # nulls match nothing
+            for _, there, price in right:
+                n += there
+                total += 0.0 if price is None else price
+        if left:
+            yield key[0], n * len(left), round(total * len(left), 2)
+
+    c = t(spark, d, "customer").select("c_custkey")
+    o = t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").isNotNull().cast("int"), "o_totalprice")
+    return joins.cogroup_rows(c, o, ["c_custkey"], ["o_custkey"], fn, "c_custkey bigint, n_orders bigint, total double")
 
 
 @query("SELECT p_brand, sum(l_quantity) AS qty, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
