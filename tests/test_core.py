@@ -1,4 +1,5 @@
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -369,3 +370,13 @@ def test_orders_of_odd_customers(spark, tmp_path):
     made = QUERIES["cogroup_join"](spark, str(tmp_path))
     assert "FlatMapCoGroups" not in plan_of(made)
     assert sorted((tuple(x) for x in made.collect()), key=str) == sorted(con.execute(ORACLE_SQL["cogroup_join"]).fetchall(), key=str)
+
+
+def test_no_sketch_for_each_key(spark, tmp_path):
+    from flowjob.queries import QUERIES
+
+    spark.range(5000).selectExpr("if(id % 10 = 0, null, id % 700) as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    made = QUERIES["approximate_distinct"](spark, str(tmp_path))
+    by_key = re.findall(r"Keys \[[1-9].*\nFunctions.*", plan_of(made))
+    assert by_key and not any("approx_count_distinct" in x for x in by_key)
+    assert [tuple(x) for x in made.collect()] == [(True, 630)]
